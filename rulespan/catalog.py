@@ -1,0 +1,11 @@
+"""All queries of the rule engine, by name, with the SQL that states the same result."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
