@@ -23,8 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
     diameter. Empty input gives an empty result; loops and repeats are allowed."""
     spark = edges.sparkSession
     links = materialize(edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo <> hi").distinct(), "cc")
-    before = None
-    while True:
+    while not _is_forest_of_stars(links):
         both = links.select(F.col("hi").alias("n"), F.col("lo").alias("m")).unionByName(links.select(F.col("lo").alias("n"), F.col("hi").alias("m")))
         least = both.groupBy("n").agg(F.min("m").alias("least")).withColumn("least", F.least("least", "n"))
         large = both.where("m > n").join(least, "n").select(F.col("m").alias("hi"), F.col("least").alias("lo")).where("hi <> lo")
@@ -34,17 +33,17 @@ def components(edges: DataFrame) -> DataFrame:
         small = materialize(small.unionByName(root.select("hi", F.col("least").alias("lo"))).distinct(), "cc-small")
         release(spark, large, links)
         links = small
-        # Done when every node has one link, to a node that has none: the smallest.
-        row = links.agg(F.count("*").alias("n"), F.countDistinct("hi").alias("his"), F.coalesce(F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")), F.lit(0)).alias("s")).first()
-        state = (row["n"], row["his"], row["s"])
-        if state == before or not row["n"]:
-            break
-        before = state
     nodes = links.select(F.col("hi").alias("node"), F.col("lo").alias("label"))
     return nodes.unionByName(links.select(F.col("lo").alias("node"), F.col("lo").alias("label")).distinct())
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable | None = None, rounds: int = 4) -> DataFrame:
+def _is_forest_of_stars(links: DataFrame) -> bool:
+    """Whether every larger end has one link, to a node that is no larger end itself."""
+    ends = links.select(F.col("hi").alias("n"), F.lit(1).alias("up")).unionByName(links.select(F.col("lo").alias("n"), F.lit(0).alias("up")).distinct())
+    return ends.groupBy("n").agg(F.sum("up").alias("ups"), F.min("up").alias("least")).where("ups > 1 or (ups = 1 and least = 0)").isEmpty()
+
+
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable | None = None, rounds: int = 3) -> DataFrame:
     """Components of the verified links between members of the same bucket.
 
     ``members(k, c[, code])``: item c is in bucket k. ``verify(pairs(a, b))`` returns
@@ -60,7 +59,6 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], n
     coded = "code" in members.columns
     extra = ["code"] if coded else []
     left = materialize(members.select("k", "c", *extra).distinct(), "members")
-    edges: DataFrame | None = None
     labels: DataFrame | None = None
     for turn in range(rounds + 1):
         last = turn == rounds
@@ -89,8 +87,10 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], n
             pairs = pairs.select(F.col("first.c").alias("a"), F.col("c").alias("b"))
         pairs = materialize(pairs.distinct(), "pairs")
         found = materialize(verify(pairs), "links")
-        edges = found if edges is None else materialize(edges.unionByName(found), "links")
-        labels = components(edges)
+        if not found.isEmpty():
+            # Earlier components count as links to their least items.
+            edges = found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
+            labels = materialize(components(edges), "labels")
         left = materialize(kept.where("c <> first.c").select("k", "c", *extra), "members")
         release(spark, kept, pairs)
         if last:
