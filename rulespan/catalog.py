@@ -2,10 +2,284 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rulespan.functions import text as T
+from rulespan.operators import core, rules
+from rulespan.plans.adapters import portable, relation, spark_sql
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = portable(sql)
+        return f
+
+    return add
+
+
+def same(name: str, sql: str) -> None:
+    """A query that both engines state in the same SQL."""
+    _QUERIES[name] = lambda spark, sf_dir: spark_sql(spark, sf_dir, sql.replace("varchar(20)", "string"))
+    _SQL[name] = portable(sql)
+
+
+def rel(spark, sf_dir, *names):
+    return [relation(spark, sf_dir, n) for n in names]
+
+
+# Closures. The recursive statement of a walk from roots along edges, as a set.
+def walk(roots: str, name: str = "tree", up: bool = False) -> str:
+    a, b = ("parent", "child") if not up else ("child", "parent")
+    return f"{name} as (select root, root as node from ({roots}) as q union select {name}.root, e.{b} as node from {name} join {{edge}} e on e.{a} = {name}.node)"
+
+
+RULE_ROOTS = "select distinct object as root from {rule}"
+CLASS_ROOTS = "select subject_class as root from {class_rule} union select object_class as root from {class_rule}"
+FEW_ROOTS = "select p_partkey as root from {part} where p_partkey % 50 = 7"
+
+
+@query("closure_down", f"with recursive {walk(RULE_ROOTS)} select root, node from tree")
+def _(spark, d):
+    edge, rule = rel(spark, d, "edge", "rule")
+    return core.closure(edge, rule.select(F.col("object").alias("root")))
+
+
+@query("closure_pair_roots", f"with recursive {walk(CLASS_ROOTS)} select root, node from tree")
+def _(spark, d):
+    edge, r = rel(spark, d, "edge", "class_rule")
+    return core.closure(edge, r.select(F.col("subject_class").alias("root")).union(r.select("object_class")))
+
+
+@query("closure_full", f"with recursive {walk('select p_partkey as root from {part}')} select root, node from tree")
+def _(spark, d):
+    edge, part = rel(spark, d, "edge", "part")
+    return core.closure(edge, part.select(F.col("p_partkey").alias("root")))
+
+
+@query("closure_up", f"with recursive {walk(FEW_ROOTS, up=True)} select root, node from tree")
+def _(spark, d):
+    edge, part = rel(spark, d, "edge", "part")
+    return core.closure(edge, part.where("p_partkey % 50 = 7").select(F.col("p_partkey").alias("root")), up=True)
+
+
+# Candidate pairs and reach.
+MEMBERS = f"""{walk(RULE_ROOTS)}, members as (
+  select r.subject, r.object, r.rel, r.source, m.entity as partner, m.concept as member_class, m.concept = r.object as is_direct
+  from {{rule}} r join {{axis}} a on a.rel = r.rel join tree t on t.root = r.object
+  join {{membership}} m on m.concept = t.node and m.axis = a.membership_axis
+  left join {{policy}} p on p.concept = r.object and p.superseded_by is null and p.decision <> 'withdrawn'
+  where m.concept = r.object or (a.expands and coalesce(p.decision, 'allow') <> 'deny'))"""
+PAIRS = MEMBERS + ", pairs as (select distinct on (subject, object, rel, source, partner) * from members where partner <> subject order by subject, object, rel, source, partner, is_direct desc, member_class)"
+RULE_INPUTS = ("rule", "axis", "edge", "membership", "policy")
+
+
+def _pairs(spark, d):
+    return rules.candidate_pairs(*rel(spark, d, *RULE_INPUTS))
+
+
+query("candidate_pairs", f"with recursive {PAIRS} select subject, object, rel, source, partner, member_class, is_direct from pairs")(_pairs)
+
+
+@query("rule_reach", f"""with recursive {walk(RULE_ROOTS)} select r.subject, r.object, r.rel, r.source,
+  cast(count(distinct case when m.entity <> r.subject then m.entity end) as bigint) as subtree_partner_count,
+  cast(count(distinct case when m.entity <> r.subject and m.concept = r.object then m.entity end) as bigint) as direct_partner_count
+  from {{rule}} r join {{axis}} a on a.rel = r.rel join tree t on t.root = r.object
+  left join {{membership}} m on m.concept = t.node and m.axis = a.membership_axis group by 1, 2, 3, 4""")
+def _(spark, d):
+    rule, axis, edge, membership = rel(spark, d, "rule", "axis", "edge", "membership")
+    return rules.rule_reach(rule, axis, edge, membership)
+
+
+def side(which: str, source: str = "class_rule") -> str:
+    return f"""{which}_side as (select distinct on (cls, rel, entity) c.cls, c.rel, m.entity, m.concept as member_class
+  from (select distinct {which}_class as cls, rel from {{{source}}}) c join {{axis}} a on a.rel = c.rel join tree t on t.root = c.cls
+  join {{membership}} m on m.concept = t.node and m.axis = a.membership_axis
+  left join {{policy}} p on p.concept = c.cls and p.superseded_by is null and p.decision <> 'withdrawn'
+  where m.concept = c.cls or (a.expands and coalesce(p.decision, 'allow') <> 'deny')
+  order by cls, c.rel, entity, m.concept <> c.cls, member_class)"""
+
+
+@query("class_pair_reach", f"""with recursive {walk(CLASS_ROOTS)}, {side('subject')}, {side('object')},
+  n as (select cls, rel, count(*) as n from subject_side group by 1, 2), o as (select cls, rel, count(*) as n from object_side group by 1, 2),
+  b as (select s.cls as subject_class, x.cls as object_class, s.rel, count(*) as n from subject_side s join object_side x on x.rel = s.rel and x.entity = s.entity group by 1, 2, 3)
+  select r.subject_class, r.object_class, r.rel, coalesce(n.n, 0) as subject_members, coalesce(o.n, 0) as object_members, coalesce(n.n, 0) * coalesce(o.n, 0) - coalesce(b.n, 0) as max_pair_count
+  from (select distinct subject_class, object_class, rel from {{class_rule}}) r left join n on n.cls = r.subject_class and n.rel = r.rel left join o on o.cls = r.object_class and o.rel = r.rel
+  left join b on b.subject_class = r.subject_class and b.object_class = r.object_class and b.rel = r.rel""")
+def _(spark, d):
+    return rules.class_pair_reach(*rel(spark, d, "class_rule", "axis", "edge", "membership", "policy"))
+
+
+# Curated grains.
+CURATED = f"""{PAIRS}, {walk(CLASS_ROOTS).replace('tree', 'ctree')}, {side('subject').replace('tree', 'ctree')}, {side('object').replace('tree', 'ctree')},
+  curated0 as (
+  select p.subject, p.partner, p.rel, p.source as candidate_source, cast(null as bigint) as via_subject_class, p.object as via_class, p.member_class, r.severity, r.evidence, r.reviewed_at, 'entity_rule' as grain
+  from pairs p join {{ruling}} r on r.subject = p.subject and r.object = p.object and r.rel = p.rel where r.applies
+  union all
+  select s.entity as subject, o.entity as partner, c.rel, c.source as candidate_source, c.subject_class as via_subject_class, c.object_class as via_class, o.member_class, r.severity, r.evidence, r.reviewed_at, 'class_rule' as grain
+  from {{class_rule}} c join {{class_ruling}} r on r.subject_class = c.subject_class and r.object_class = c.object_class and r.rel = c.rel
+  join subject_side s on s.cls = c.subject_class and s.rel = c.rel join object_side o on o.cls = c.object_class and o.rel = c.rel where r.applies and s.entity <> o.entity),
+  curated as (select c.*, coalesce(v.rank, 0) as effective_rank from curated0 c left join {{severity}} v on v.severity = c.severity)"""
+COLS = "subject, partner, rel, candidate_source, via_subject_class, via_class, member_class, severity, evidence, reviewed_at, grain, effective_rank"
+
+
+def _curated(spark, d):
+    ruling, crule, cruling, severity, axis, edge, membership, policy = rel(spark, d, "ruling", "class_rule", "class_ruling", "severity", "axis", "edge", "membership", "policy")
+    out = rules.curated_pairs(_pairs(spark, d), ruling, crule, cruling, severity, axis, edge, membership, policy)
+    return out.select(*COLS.split(", "))
+
+
+query("curated_pairs", f"with recursive {CURATED} select {COLS} from curated")(_curated)
+query("effective_pairs", f"with recursive {CURATED} select distinct on (subject, partner, rel) {COLS} from curated order by subject, partner, rel, effective_rank, grain <> 'entity_rule', candidate_source, via_subject_class nulls last, via_class, member_class, reviewed_at")(lambda spark, d: rules.effective_pairs(_curated(spark, d)))
+query("disagreement", f"""with recursive {CURATED} select a.subject as rule_subject, a.via_class as rule_object, a.rel, b.via_subject_class as class_subject, b.via_class as class_object, count(distinct a.partner) as partners
+  from curated a join curated b on a.grain = 'entity_rule' and b.grain = 'class_rule' and a.rel = b.rel and least(a.subject, a.partner) = least(b.subject, b.partner) and greatest(a.subject, a.partner) = greatest(b.subject, b.partner)
+  where a.severity is distinct from b.severity or a.evidence is distinct from b.evidence group by 1, 2, 3, 4, 5""")(lambda spark, d: rules.disagreements(_curated(spark, d)))
+same("unrankable", "select 'ruling' as target, r.severity, count(*) as n from {ruling} r left join {severity} s on s.severity = r.severity where s.severity is null and r.applies group by 1, 2 union all select 'class_ruling' as target, r.severity, count(*) as n from {class_ruling} r left join {severity} s on s.severity = r.severity where s.severity is null group by 1, 2")
+same("unresolved_targets", "select 'ruling' as target, u.subject, u.object, u.rel from {ruling} u where not exists (select 1 from {rule} r where r.subject = u.subject and r.object = u.object and r.rel = u.rel and r.source = 'S1') union all select 'class_ruling' as target, u.subject_class as subject, u.object_class as object, u.rel from {class_ruling} u where not exists (select 1 from {class_rule} r where r.subject_class = u.subject_class and r.object_class = u.object_class and r.rel = u.rel and r.source = 'S1')")
+same("policy_unresolved", "select p.concept, p.decision from {policy} p where not exists (select 1 from {rule} r where r.object = p.concept)")
+
+# Logs and runs.
+query("live_log", "select id, user_id, event_type, value from (select *, lead(id) over (partition by user_id, event_type order by id) as nxt from {log}) where nxt is null")(lambda s, d: core.live(core.supersede(relation(s, d, "log"), ["user_id", "event_type"])).select("id", "user_id", "event_type", "value"))
+query("superseded_chain", "select id, user_id, event_type, lead(id) over (partition by user_id, event_type order by id) as superseded_by from {log}")(lambda s, d: core.supersede(relation(s, d, "log"), ["user_id", "event_type"]).select("id", "user_id", "event_type", "superseded_by"))
+query("single_live_violations", "select 'many live' as kind, max(id) as id from {log} group by user_id, event_type having count(*) > 1")(lambda s, d: core.overlay_violations(relation(s, d, "log").withColumn("superseded_by", F.lit(None).cast("long")), ["user_id", "event_type"]))
+same("incomplete_runs", "select run_id, source, writer from {run} where finished is null")
+query("loaded_release", "select distinct on (source, writer) source, writer, run_id from {run} where finished is not null order by source, writer, finished desc, run_id desc")(lambda s, d: core.pick_first(relation(s, d, "run").where("finished is not null"), ["source", "writer"], F.desc("finished"), F.desc("run_id")).select("source", "writer", "run_id"))
+query("rebuild_projection", "select entity, concept, axis as source from {membership} where axis <> 'R' union all select entity, concept + 1 as concept, axis as source from {membership} where axis = 'R'")(lambda s, d: core.rebuild(relation(s, d, "membership").withColumnRenamed("axis", "source"), relation(s, d, "membership").where("axis = 'R'").select("entity", (F.col("concept") + 1).alias("concept"), F.col("axis").alias("source")), "R"))
+query("insert_if_absent", "select distinct b.k, b.kind from {snapshot_b} b where not exists (select 1 from {snapshot_a} a where a.k = b.k)")(lambda s, d: core.insert_if_absent(relation(s, d, "snapshot_a").select("k", "kind"), relation(s, d, "snapshot_b").select("k", "kind"), ["k"]).select("k", "kind"))
+query("upsert_first_seen", "select coalesce(a.k, b.k) as k, case when b.k is not null then b.v else a.v end as v, case when a.k is not null then 1 else 2 end as first_run, a.k is null as is_new from {snapshot_a} a full join {snapshot_b} b on a.k = b.k")(lambda s, d: core.upsert_first_seen(relation(s, d, "snapshot_a").select("k", "v", F.lit(1).alias("first_run")), relation(s, d, "snapshot_b").select("k", "v", F.lit(2).alias("first_run")), "k"))
+
+# Gaps.
+DEAD = f"""with recursive {walk(RULE_ROOTS)} select r.object as concept, count(*) as rules, max(x.n) as members from {{rule}} r join {{axis}} a on a.rel = r.rel and a.expands
+  join {{policy}} p on p.concept = r.object and p.decision = 'deny' join (select t.root, m.axis, count(distinct m.entity) as n from tree t join {{membership}} m on m.concept = t.node group by 1, 2) x on x.root = r.object and x.axis = a.membership_axis
+  where not exists (select 1 from {{membership}} m where m.concept = r.object and m.axis = a.membership_axis) group by 1"""
+same("gap_unclassified", "select s.s_suppkey as entity from {supplier} s where not exists (select 1 from {membership} m where m.entity = s.s_suppkey and m.axis = 'R')")
+
+
+def _reach(s, d):
+    rule, axis, edge, membership = rel(s, d, "rule", "axis", "edge", "membership")
+    return rules.rule_reach(rule, axis, edge, membership)
+
+
+@query("gap_unpopulated_rule", f"with recursive {walk(RULE_ROOTS)} select object as concept, count(*) as rules from (select r.subject, r.object, r.rel, r.source from {{rule}} r join {{axis}} a on a.rel = r.rel join tree t on t.root = r.object left join {{membership}} m on m.concept = t.node and m.axis = a.membership_axis and m.concept = r.object group by 1, 2, 3, 4 having count(distinct case when m.entity <> r.subject then m.entity end) = 0) group by 1")
+def _(s, d):
+    return _reach(s, d).where("direct_partner_count = 0").groupBy(F.col("object").alias("concept")).agg(F.count("*").alias("rules"))
+
+
+@query("gap_unreviewed_root", f"with recursive {walk(RULE_ROOTS)} select t.root as concept, count(*) - 1 as descendants from tree t where exists (select 1 from {{rule}} r join {{axis}} a on a.rel = r.rel and a.expands where r.object = t.root) and not exists (select 1 from {{policy}} p where p.concept = t.root and p.decision <> 'withdrawn') group by 1 having count(*) - 1 > 20")
+def _(s, d):
+    rule, axis, edge, policy = rel(s, d, "rule", "axis", "edge", "policy")
+    roots = rule.join(axis.where("expands"), "rel").select(F.col("object").alias("root")).distinct()
+    roots = roots.join(rules.binding(policy), F.col("root") == F.col("concept"), "left_anti")
+    return core.closure(edge, roots).groupBy(F.col("root").alias("concept")).agg((F.count("*") - 1).alias("descendants")).where("descendants > 20")
+
+
+@query("gap_dead_by_policy", DEAD)
+def _(s, d):
+    rule, axis, policy, membership = rel(s, d, "rule", "axis", "policy", "membership")
+    denied = rule.join(axis.where("expands"), "rel").join(rules.binding(policy).where("decision = 'deny'"), F.col("object") == F.col("concept"), "left_semi")
+    reach = _reach(s, d).join(axis, "rel").select("object", "membership_axis").distinct()
+    m = membership.select(F.col("concept").alias("node"), F.col("axis").alias("membership_axis"), "entity")
+    tree = core.closure(relation(s, d, "edge"), rule.select(F.col("object").alias("root"))).withColumnRenamed("root", "object")
+    n = tree.join(m, "node").join(reach, ["object", "membership_axis"]).groupBy("object", "membership_axis").agg(F.countDistinct("entity").alias("n"))
+    direct = m.withColumnRenamed("node", "object").select("object", "membership_axis").distinct()
+    return denied.join(direct, ["object", "membership_axis"], "left_anti").join(n, ["object", "membership_axis"]).groupBy(F.col("object").alias("concept")).agg(F.count("*").alias("rules"), F.max("n").alias("members"))
+
+
+same("gap_uncurated_rule", "select r.subject, r.object, r.rel, count(distinct r.source) as sources from {rule} r where not exists (select 1 from {ruling} u where u.subject = r.subject and u.object = r.object and u.rel = r.rel) group by 1, 2, 3")
+same("gap_uncurated_class_rule", "select r.subject_class, r.object_class, r.rel, max(r.source) as source from {class_rule} r where not exists (select 1 from {class_ruling} u where u.subject_class = r.subject_class and u.object_class = r.object_class and u.rel = r.rel) group by 1, 2, 3")
+same("gap_unruled_composition", "select composite from {composition} group by composite having bool_and(is_active is null)")
+same("active_components", "select composite, component from {composition} where is_active is true")
+same("gap_ungraded_effect", "select e.effect from {effect} e where e.accumulates and not exists (select 1 from {grade} g where g.effect = e.effect)")
+QUESTIONS = "select 'uncurated_rule' as kind, concat('ENTITY:', cast(r.subject as varchar(20)), '/CLASS:', cast(r.object as varchar(20)), '/AXIS:', r.rel) as gap_key from (select distinct subject, object, rel from {rule}) r where not exists (select 1 from {ruling} u where u.subject = r.subject and u.object = r.object and u.rel = r.rel) union all select 'unruled_composition' as kind, concat('SUBSTANCE:', cast(composite as varchar(20))) as gap_key from {composition} group by composite having bool_and(is_active is null)"
+_NS = T.NAMESPACE.replace("-", "")
+UUID = f"(select kind, gap_key, sha1(unhex('{_NS}') || encode(kind || ':' || gap_key)) as h from ({QUESTIONS}) as g)"
+UUID_SQL = "concat(substr(h, 1, 8), '-', substr(h, 9, 4), '-5', substr(h, 14, 3), '-', substr('89ab89ab89ab89ab', strpos('0123456789abcdef', substr(h, 17, 1)), 1), substr(h, 18, 3), '-', substr(h, 21, 12))"
+
+
+@query("gap_registry", f"select kind, gap_key, {UUID_SQL} as question from {UUID} as q")
+def _(s, d):
+    return spark_sql(s, d, QUESTIONS.replace("varchar(20)", "string")).withColumn("question", T.uuid5(F.concat("kind", F.lit(":"), "gap_key")))
+
+
+same("worklist", "select q.question, coalesce(s.state, 'open') as state, w.rank from (select distinct user_id as question from {log}) q left join (select question, state from (select question, state, row_number() over (partition by question order by id desc) as n from {question_state}) as x where n = 1) s on s.question = q.question left join (select q2.question, min(t.rank) as rank from (select distinct user_id as question from {log}) q2 cross join {severity} t where not exists (select 1 from {log} l where l.user_id = q2.question and l.id % 10 = t.rank) group by 1) w on w.question = q.question where coalesce(s.state, 'open') <> 'purchase'")
+
+# Accumulation.
+EFFECT_ROOTS = "select effect as root from {effect} union select contributor as root from {grade}"
+CONTRIB = f"""{walk(EFFECT_ROOTS)}, reach as (select distinct t.root, m.entity from tree t join {{membership}} m on m.concept = t.node),
+  contrib as (select e.effect, r.entity, case when bool_or(g.effect is not null) then 'major' else 'minor' end as magnitude from {{effect}} e join reach r on r.root = e.effect
+  left join (select g.effect, r.entity from {{grade}} g join reach r on r.root = g.contributor where g.magnitude = 'major') g on g.effect = e.effect and g.entity = r.entity where e.accumulates group by 1, 2)"""
+
+
+def _contributors(s, d):
+    return rules.contributors(*rel(s, d, "effect", "grade", "edge", "membership"))
+
+
+query("contributors", f"with recursive {CONTRIB} select effect, entity, magnitude from contrib")(_contributors)
+
+
+@query("effect_fires", f"with recursive {CONTRIB}, c as (select effect, count(*) filter (where magnitude = 'major') as majors, count(*) as total from contrib where entity % 4 = 0 group by 1) select c.effect, c.majors, c.total, c.majors >= e.t_major and c.total >= e.t_total as fires from c join {{effect}} e on e.effect = c.effect")
+def _(s, d):
+    c = _contributors(s, d).where("entity % 4 = 0").groupBy("effect").agg(F.sum(F.when(F.col("magnitude") == "major", 1).otherwise(0)).alias("majors"), F.count("*").alias("total"))
+    return c.join(relation(s, d, "effect"), "effect").select("effect", "majors", "total", rules.fires(F.col("majors"), F.col("total"), F.col("t_major"), F.col("t_total")).alias("fires"))
+
+
+@query("threshold_gap", f"with recursive {CONTRIB} select c.effect, count(*) filter (where c.magnitude = 'minor') as ungraded from contrib c join {{effect}} e on e.effect = c.effect and e.t_major = 0 group by c.effect, e.t_total having count(*) filter (where c.magnitude = 'minor') >= e.t_total")
+def _(s, d):
+    e = relation(s, d, "effect").where("t_major = 0").select("effect", "t_total")
+    c = _contributors(s, d).groupBy("effect").agg(F.sum(F.when(F.col("magnitude") == "minor", 1).otherwise(0)).alias("ungraded"))
+    return c.join(e, "effect").where("ungraded >= t_total").select("effect", "ungraded")
+
+
+@query("group_fires", "select composite, count(distinct component) as roles, bool_and(coalesce(is_active, false)) as fires from {composition} group by 1")
+def _(s, d):
+    c = relation(s, d, "composition")
+    g = c.groupBy("composite").agg(F.collect_set("component").alias("required"), F.collect_set(F.when(~F.coalesce("is_active", F.lit(False)), F.col("component"))).alias("uncovered"))
+    covered = F.array_except("required", "uncovered")
+    return g.select("composite", F.size("required").cast("long").alias("roles"), rules.group_fires(F.col("required"), covered).alias("fires"))
+
+
+# Conditions and trees.
+TREE = "select c.condition, c.tree, unnest([list_aggregate(string_split(c.tree, '.')[1:i], 'string_agg', '.') for i in range(1, len(string_split(c.tree, '.')))]) as ancestor from {condition} c"
+query("tree_ancestors", TREE)(lambda s, d: relation(s, d, "condition").select("condition", "tree", F.explode(T.ancestors(F.col("tree"))).alias("ancestor")))
+query("tree_descendant_counts", f"select ancestor, count(*) as conditions from ({TREE}) as t group by 1")(lambda s, d: relation(s, d, "condition").select(F.explode(T.ancestors(F.col("tree"))).alias("ancestor")).groupBy("ancestor").agg(F.count("*").alias("conditions")))
+same("condition_without_rule", "select condition, tree from {condition} c where (c.tree like 'C%' or c.tree like 'F%') and not exists (select 1 from {orders} o where o.o_custkey = c.condition)")
+
+# Identity.
+same("resolve_fallback", "select d.doc_id, coalesce(a.entity, b.entity) as entity, case when a.entity is not null then 'exact' when b.entity is not null then 'fallback' else 'unresolved' end as method from {documents} d left join (select value, min(entity) as entity from {claim} where scheme = 'src0' group by value) a on a.value = concat(d.lang, ':', cast(d.doc_id % 89 as varchar(20))) left join (select value, min(entity) as entity from {claim} where scheme = 'src1' group by value) b on b.value = concat(d.lang, ':', cast(d.doc_id % 89 as varchar(20)))")
+same("unique_or_unresolved", "select scheme, value, case when count(distinct entity) = 1 then min(entity) end as entity from {claim} group by 1, 2")
+query("name_components", "select product, unnest(list_distinct(list_transform(list_filter(regexp_split_to_array(combined, ' with |,'), lambda x: trim(x) <> ''), lambda x: lower(trim(regexp_replace(x, '\\s+', ' ', 'g')))))) as component from {product}")(lambda s, d: relation(s, d, "product").select("product", F.explode(T.components(F.col("combined"))).alias("component")))
+query("normalise_name", "select product, lower(trim(regexp_replace(name, '\\s+', ' ', 'g'))) as name from {product}")(lambda s, d: relation(s, d, "product").select("product", T.normalise_name(F.col("name")).alias("name")))
+query("salt_strip", "select product, case when len(string_split(name, ' ')) >= 2 and string_split(name, ' ')[-1] in ('green', 'blue', 'red') then array_to_string(string_split(name, ' ')[1:-2], ' ') else name end as name from {product}")(lambda s, d: relation(s, d, "product").select("product", T.strip_suffix(F.col("name"), ["green", "blue", "red"]).alias("name")))
+query("uuid5_ids", f"select k as product, {UUID_SQL} as id from (select product as k, sha1(unhex('{_NS}') || encode('PRODUCT:' || cast(product as varchar))) as h from {{product}}) as q")(lambda s, d: relation(s, d, "product").select("product", T.uuid5(F.concat(F.lit("PRODUCT:"), F.col("product").cast("string"))).alias("id")))
+query("admission_signals", "select p_partkey as entity, array_to_string(list_filter([case when p_size % 7 = 0 then 'INN_ID' end, case when p_size % 5 = 0 then 'USAN_ID' end, case when p_size % 2 = 0 and p_partkey % 3 = 0 then 'RXCUI' end, case when p_partkey % 41 = 0 then 'LEGACY_ALLOWLIST' end], lambda x: x is not null), ',') as signals from {part}")(lambda s, d: relation(s, d, "part").select(F.col("p_partkey").alias("entity"), F.array_join(T.admission_signals(F.expr("p_size % 7 = 0"), F.expr("p_size % 5 = 0"), F.expr("p_size % 2 = 0"), F.when(F.expr("p_partkey % 3 = 0"), "chemical").otherwise("mixture"), F.expr("p_partkey % 41 = 0")), ",").alias("signals")))
+
+# Canonical payloads, signatures and releases.
+FIELD = lambda n, e: f"'{len(n)}:{n}:' || case when {e} is null then 'N' else 'S' end || ':' || cast(strlen(coalesce(cast({e} as varchar), '')) as varchar) || ':' || coalesce(cast({e} as varchar), '') || chr(10)"
+query("payload_digest", "select run_id, sha256('payload/1' || chr(10) || 'run/1' || chr(10) || '3' || chr(10) || " + " || ".join(FIELD(n, n) for n in ("run_id", "source", "writer")) + ") as digest from {run}")(lambda s, d: relation(s, d, "run").select("run_id", F.sha2(T.payload("run/1", [(n, F.col(n)) for n in ("run_id", "source", "writer")]), 256).alias("digest")))
+same("release_diff", "select coalesce(a.k, b.k) as k, case when b.k is null then 'dropped' when a.k is null then 'added' when a.v is distinct from b.v then 'altered' else 'intact' end as verdict from {snapshot_a} a full join {snapshot_b} b on a.k = b.k")
+same("release_verdict_counts", "select verdict, count(*) as n from (select case when b.k is null then 'dropped' when a.k is null then 'added' when a.v is distinct from b.v then 'altered' else 'intact' end as verdict from {snapshot_a} a full join {snapshot_b} b on a.k = b.k) as x group by 1")
+same("signature_status", "select g.target, case when max(case when k.status = 'active' or k.status = 'retired' then 1 else 0 end) = 1 then 'signed' when max(case when k.key_id is null then 1 else 0 end) = 1 then 'signed_by_unknown_key' else 'signed_by_revoked_key' end as status, count(*) as signatures from {signature} g left join {signing_key} k on k.key_id = g.key_id group by 1")
+same("signature_verdicts", "select g.id, case when k.key_id is null then 'unknown_key' when g.id % 17 = 0 then 'bad_signature' when k.status = 'compromised' then 'key_revoked_compromised' when k.status = 'retired' and g.signed_at >= timestamp '1996-01-01 00:00:00' then 'key_expired' else 'valid' end as verdict from {signature} g left join {signing_key} k on k.key_id = g.key_id")
+same("backdated", "select g.id from {signature} g join {orders} o on o.o_orderkey = g.id + 5 where g.signed_at < o.o_orderdate - interval '1' day")
+
+# Review reads.
+same("review_queue_page", "select r.subject, r.object, r.rel, count(*) as sources from {rule} r group by 1, 2, 3 order by sources desc, subject, object, rel limit 25 offset 25")
+same("queue_metadata", "select count(*) as rules, count(*) filter (where u.subject is not null) as reviewed, cast(sum(case when u.applies then 1 else 0 end) as bigint) as applying, count(distinct r.source) as sources from {rule} r left join {ruling} u on u.subject = r.subject and u.object = r.object and u.rel = r.rel")
+same("reviewed_against", "select target, array_to_string(array_sort(array_agg(distinct status)), ',') as statuses from (select g.target, coalesce(k.status, 'unknown') as status from {signature} g left join {signing_key} k on k.key_id = g.key_id) as x group by 1".replace("array_to_string(array_sort(array_agg(distinct status)), ',')", "min(status) as least, max(status)"))
+query("html_titles", "select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, len(regexp_extract_all(html, '<li>')) as items from {pages}")(lambda s, d: relation(s, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit("(<li>)"), 1)).cast("long").alias("items")))
+query("jsonl_props", "select event_id, json_extract_string(props, '$.page') as page from {events}")(lambda s, d: relation(s, d, "events").select("event_id", F.get_json_object("props", "$.page").alias("page")))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
