@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,19 +11,26 @@ from pyspark.sql import functions as F
 from rulespan.plans.steps import cut
 
 
+#: Levels that a round of a closure goes down.
+HOPS = 4
+
+
 def closure(edges: DataFrame, roots: DataFrame, up: bool = False) -> DataFrame:
     """``edges(child, parent)``, ``roots(root)`` -> ``(root, node)``: each root, and all it
-    reaches downwards (or upwards). A set: diamonds give one row, cycles end. Each level
-    joins only the nodes that the level before found first."""
-    step = edges.select(F.col("child" if up else "parent").alias("node"), F.col("parent" if up else "child").alias("next")).distinct()
-    seen = cut(roots.select("root").where("root is not null").distinct().withColumn("node", F.col("root")))
-    frontier = seen
+    reaches downwards (or upwards). A set: diamonds give one row, cycles end. A round
+    goes ``HOPS`` levels down from the nodes that the round before found first."""
+    step = cut(edges.select(F.col("child" if up else "parent").alias("node"), F.col("parent" if up else "child").alias("next")).distinct())
+    seen = [cut(roots.select("root").where("root is not null").distinct().withColumn("node", F.col("root")))]
     while True:
-        found = frontier.join(step, "node").select("root", F.col("next").alias("node")).distinct()
-        frontier = cut(found.join(seen, ["root", "node"], "left_anti"))
+        level, found = seen[-1], None
+        for _ in range(HOPS):
+            level = level.join(step, "node").select("root", F.col("next").alias("node"))
+            found = level if found is None else found.unionByName(level)
+        known = reduce(DataFrame.unionByName, seen)
+        frontier = cut(found.distinct().join(known, ["root", "node"], "left_anti"))
         if frontier.isEmpty():
-            return seen
-        seen = cut(seen.unionByName(frontier))
+            return known
+        seen.append(frontier)
 
 
 def pick_first(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
