@@ -15,11 +15,12 @@ _POP8 = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 _SELECT8 = np.array([[([j for j in range(8) if i >> j & 1] + [0] * 8)[k] for k in range(8)] for i in range(256)], np.uint8)
 
 
-def _select(words: np.ndarray, before: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Places of the ones of the given ranks. ``before``: ones before each word."""
+def _select(words: np.ndarray, before: np.ndarray, rank: np.ndarray, zeros: bool = False) -> np.ndarray:
+    """Places of the ones (or zeros) of the given ranks. ``before``: how many come before each word."""
     word = np.searchsorted(before, rank, "right") - 1
     left = rank - before[word]
-    octets = words[word].view(np.uint8).reshape(-1, 8)
+    own = ~words[word] if zeros else words[word]
+    octets = own.view(np.uint8).reshape(-1, 8)
     counts = np.cumsum(_POP8[octets], axis=1, dtype=np.int64)
     byte = (counts <= left[:, None]).sum(axis=1)
     row = np.arange(len(rank))
@@ -85,16 +86,40 @@ class EliasFano:
             return np.zeros(len(x), np.int64)
         x = x.astype(U)
         h = (x >> U(self.low_bits)).astype(np.int64)
-        # The values with these high bits begin after the h-th zero.
-        most = len(self.high) * 64 - int(self.ones[-1]) - 64
-        h = np.minimum(h, max(most, 0))
-        zeros = ~self.high
-        first = np.where(h > 0, _select(zeros, self.zeros, np.maximum(h - 1, 0)) + 1 - h, 0)
-        at = np.minimum(first, self.n)
-        live = np.flatnonzero(at < self.n)
+        first, stop = self._bucket(h)
+        low = x & U((1 << self.low_bits) - 1)
+        return self._first_at_least(first, stop, low)
+
+    def _bucket(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of the values whose high bits are ``h``: from after the h-th zero to the next."""
+        most = len(self.high) * 64 - self.n - 1
+        first = np.zeros(len(h), np.int64)
+        some = h > 0
+        capped = np.minimum(h, most)
+        first[some] = _select(self.high, self.zeros, capped[some] - 1, True) + 1 - capped[some]
+        stop = _select(self.high, self.zeros, capped, True) - capped
+        return np.minimum(first, self.n), np.minimum(stop, self.n)
+
+    def _first_at_least(self, first: np.ndarray, stop: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """In each bucket the first place whose low bits reach ``low``, else its end."""
+        lo, hi = first.copy(), stop.copy()
+        live = np.flatnonzero(lo < hi)
         while len(live):
-            less = self.access(at[live]) < x[live]
-            at[live[less]] += 1
-            live = live[less]
-            live = live[at[live] < self.n]
-        return at
+            mid = (lo[live] + hi[live]) >> 1
+            less = self._low(mid) < low[live]
+            lo[live[less]] = mid[less] + 1
+            hi[live[~less]] = mid[~less]
+            live = live[lo[live] < hi[live]]
+        return lo
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """The place of the first value equal to x, -1 if there is none."""
+        if not len(x) or not self.n:
+            return np.full(len(x), -1, np.int64)
+        x = x.astype(U)
+        low = x & U((1 << self.low_bits) - 1)
+        first, stop = self._bucket((x >> U(self.low_bits)).astype(np.int64))
+        at = self._first_at_least(first, stop, low)
+        hit = at < stop
+        hit[hit] = self._low(at[hit]) == low[hit]
+        return np.where(hit, at, -1)

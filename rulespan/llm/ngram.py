@@ -133,10 +133,8 @@ class Vocabulary:
             arrays = load(self.uri, file)
             ef = _unpacked("hash", arrays)
             x = hashes[mine] & U((1 << (64 - self.bits)) - 1) if self.bits else hashes[mine]
-            at = ef.successor(x)
-            inside = at < n
-            hit = inside.copy()
-            hit[inside] = ef.access(at[inside]) == x[inside]
+            at = ef.find(x)
+            hit = at >= 0
             number[mine[hit]] = self.base[shard] + at[hit]
             count[mine[hit]] = arrays["count"][at[hit]]
         return number, count
@@ -178,21 +176,20 @@ class Level:
                 continue
             arrays = load(self.uri, file)
             contexts, pointer, child = (_unpacked(k, arrays) for k in ("context", "pointer", "child"))
-            x = (context[mine] - lo_c).astype(U)
-            at = contexts.successor(x)
-            inside = at < contexts.n
-            hit = inside.copy()
-            hit[inside] = contexts.access(at[inside]) == x[inside]
-            mine, at = mine[hit], at[hit]
-            back[mine] = value_of(arrays["back"][at])
+            # Bounds and base are looked up once for each context.
+            own, each = np.unique(context[mine], return_inverse=True)
+            at = contexts.find((own - lo_c).astype(U))
+            have = at >= 0
+            at = np.maximum(at, 0)
             first, stop = pointer.access(at).astype(np.int64), pointer.access(at + 1).astype(np.int64)
             # Words are relative to the value before the context's first child.
-            start = np.zeros(len(mine), U)
+            start = np.zeros(len(own), U)
             start[first > 0] = child.access(first[first > 0] - 1) + U(1)
-            target = start + word[mine].astype(U)
-            found = child.successor(target)
-            ok = found < stop
-            ok[ok] = child.access(found[ok]) == target[ok]
+            weight = np.where(have, value_of(arrays["back"][at]), 0.0)
+            back[mine] = weight[each]
+            mine, each = mine[have[each]], each[have[each]]
+            found = child.find(start[each] + word[mine].astype(U))
+            ok = (found >= first[each]) & (found < stop[each])
             number[mine[ok]] = self.base[s] + found[ok]
             p[mine[ok]] = value_of(arrays["p"][found[ok]])
         return number, p, back
@@ -408,7 +405,7 @@ def _score(vocabulary: Vocabulary, levels: list[Level]):
             total = batch.num_rows
             done = 0
             while done < total:
-                part = batch.slice(done, min(512, total - done))
+                part = batch.slice(done, min(2048, total - done))
                 done += part.num_rows
                 seq, start = _sequences(part.column(part.num_columns - 1), end)
                 distinct, back = np.unique(seq, return_inverse=True)
