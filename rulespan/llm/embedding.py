@@ -64,16 +64,18 @@ def _codes(models, width: int):
                 continue
             x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float64).reshape(len(c), -1)
             keys, code, owner = [], [], []
+            first = None
             for which, (mean, project) in enumerate(models):
                 sign = ((x - mean) @ project >= 0).astype(np.uint64)
                 bits = sign.shape[1]
                 packed = (sign << np.arange(bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+                first = packed if first is None else first
                 for t, low in enumerate(range(0, bits - width + 1, width)):
                     part = (packed >> np.uint64(low)) & np.uint64((1 << width) - 1)
                     table = np.uint64((which * 64 + t + 1) << 48)
                     for flip in [0, *(1 << i for i in range(width))]:
                         keys.append(table | (part ^ np.uint64(flip)))
-                        code.append(packed)
+                        code.append(first)
                         owner.append(c)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owner)), pa.array(np.concatenate(code).view(np.int64))], names=["k", "c", "code"])
 
@@ -182,7 +184,7 @@ def _one_length(classes: DataFrame, dims: int, threshold: float, seed: int) -> D
     width = int(min(bits, 40, max(8, round(np.log2(max(count, 2))))))
     if bits < width:
         width = bits
-    members = classes.select("c", "unit").mapInArrow(_codes(models, width), "k long, c long, code long")
+    members = materialize(classes.select("c", "unit").mapInArrow(_codes(models, width), "k long, c long, code long"), "emb-keys")
     # Codes of vectors at the threshold differ in about angle / pi of the bits; allow four deviations more.
     p = float(np.arccos(np.clip(threshold, -1, 1)) / np.pi)
     most = int(np.ceil(bits * p + 4 * np.sqrt(bits * p * (1 - p))))
@@ -193,7 +195,7 @@ def _one_length(classes: DataFrame, dims: int, threshold: float, seed: int) -> D
         both = pairs.join(a, "a").join(b, "b").select("a", "b", "unit_a", "unit_b")
         return both.mapInArrow(_cosines(threshold), "a long, b long")
 
-    labels = link_buckets(members, verify, lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= most, rounds=1)
+    labels = link_buckets(members.select("k", "c"), verify, members.select("c", "code").distinct(), lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= most, rounds=1)
     labels = materialize(labels, "emb-labels")
     item = labels.withColumnRenamed("node", "c").join(classes, "c")
     sizes = labels.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulespan.llm.common import materialize, release
@@ -43,11 +43,12 @@ def _is_forest_of_stars(links: DataFrame) -> bool:
     return ends.groupBy("n").agg(F.sum("up").alias("ups"), F.min("up").alias("least")).where("ups > 1 or (ups = 1 and least = 0)").isEmpty()
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable | None = None, rounds: int = 3) -> DataFrame:
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], codes: DataFrame | None = None, near: Callable[[Column, Column], Column] | None = None, rounds: int = 3) -> DataFrame:
     """Components of the verified links between members of the same bucket.
 
-    ``members(k, c[, code])``: item c is in bucket k. ``verify(pairs(a, b))`` returns
-    the pairs that really are links. ``near(code, code)`` may rule a pair out early.
+    ``members(k, c)``: item c is in bucket k. ``verify(pairs(a, b))`` returns the pairs
+    that really are links. ``codes(c, code)`` and ``near(code, code)`` may rule pairs out
+    before that, as a condition of the joins that make them.
 
     A bucket of n items is not expanded into n**2 pairs: each round compares a
     bucket's items with one centre (its least item), joins what links, and goes on
@@ -56,18 +57,19 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], n
     compared pair by pair, again between different components only, so that no
     connection is missed. Returns ``(node, label)`` for linked items."""
     spark = members.sparkSession
-    coded = "code" in members.columns
-    extra = ["code"] if coded else []
-    left = materialize(members.select("k", "c", *extra).distinct(), "members")
+    left = materialize(members.select("k", "c").distinct(), "members")
     labels: DataFrame | None = None
+
+    def coded(rows: DataFrame, c: str, code: str) -> DataFrame:
+        return rows.join(codes.select(F.col("c").alias(c), F.col("code").alias(code)), c)
+
     for turn in range(rounds + 1):
         last = turn == rounds
-        item = left
         if labels is not None:
             item = left.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
         else:
             item = left.withColumn("label", F.col("c"))
-        first = F.min(F.struct("c", "label", *extra)).alias("first")
+        first = F.min(F.struct("c", "label")).alias("first")
         mixed = item.groupBy("k").agg(first, F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("k", "first")
         kept = materialize(item.join(mixed, "k"), "mixed")
         release(spark, left)
@@ -75,23 +77,24 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], n
             release(spark, kept)
             break
         if last:
-            other = kept.select("k", F.col("c").alias("b"), F.col("label").alias("other_label"), *([F.col("code").alias("other_code")] if coded else []))
-            pairs = kept.join(other, "k").where("c < b and label <> other_label")
-            if near and coded:
-                pairs = pairs.where(near(F.col("code"), F.col("other_code")))
-            pairs = pairs.select(F.col("c").alias("a"), "b")
+            one = kept.select("k", F.col("c").alias("a"), "label")
+            two = kept.select("k", F.col("c").alias("b"), F.col("label").alias("other"))
+            on = (one["k"] == two["k"]) & (F.col("a") < F.col("b")) & (F.col("label") != F.col("other"))
+            if near is not None:
+                one, two = coded(one, "a", "code_a"), coded(two, "b", "code_b")
+                on = (one["k"] == two["k"]) & (F.col("a") < F.col("b")) & (F.col("label") != F.col("other")) & near(F.col("code_a"), F.col("code_b"))
+            pairs = one.join(two, on).select("a", "b").distinct()
         else:
-            pairs = kept.where("c <> first.c and label <> first.label")
-            if near and coded:
-                pairs = pairs.where(near(F.col("code"), F.col("first.code")))
-            pairs = pairs.select(F.col("first.c").alias("a"), F.col("c").alias("b"))
-        pairs = materialize(pairs.distinct(), "pairs")
+            pairs = kept.where("c <> first.c and label <> first.label").select(F.col("first.c").alias("a"), F.col("c").alias("b")).distinct()
+            if near is not None:
+                pairs = coded(coded(pairs, "a", "code_a"), "b", "code_b").where(near(F.col("code_a"), F.col("code_b"))).select("a", "b")
+        pairs = materialize(pairs, "pairs")
         found = materialize(verify(pairs), "links")
         if not found.isEmpty():
             # Earlier components count as links to their least items.
             edges = found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
             labels = materialize(components(edges), "labels")
-        left = materialize(kept.where("c <> first.c").select("k", "c", *extra), "members")
+        left = materialize(kept.where("c <> first.c").select("k", "c"), "members")
         release(spark, kept, pairs)
         if last:
             break

@@ -144,11 +144,30 @@ def _sets(words: int, lower: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, sets in shingle_sets(batch.column(1), words, lower):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["c", "items"])
+                codes = [parities(s) for s in sets]
+                code = pa.StructArray.from_arrays([pa.array([len(s) for s in sets], pa.int64()), *(pa.array([x[i] for x in codes], pa.int64()) for i in range(4))], names=["n", "p0", "p1", "p2", "p3"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary()), code], names=["c", "items", "code"])
 
     return run
 
 
+def parities(s: np.ndarray) -> list[int]:
+    """Whether each of 256 cells that shingles are hashed into holds an odd number of the
+    set's. Two sets differ in at least as many shingles as cells of other parity."""
+    odd = np.bincount((mix(s + U(0xA5A5A5A5)) >> U(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
+def may_link(percent: int):
+    """Whether two codes allow their sets to link: by sizes, and by parities."""
+
+    def near(x, y):
+        odd = sum((F.bit_count(x[f"p{i}"].bitwiseXOR(y[f"p{i}"])) for i in range(1, 4)), F.bit_count(x["p0"].bitwiseXOR(y["p0"])))
+        return (odd * (100 + percent) <= (x["n"] + y["n"]) * (100 - percent)) & (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"]))
+
+    return near
+
+
 def _verify(percent: int):
     """Rows in the order (centre, salt, centre first): which others reach the similarity."""
 
@@ -216,8 +235,8 @@ def join_components(docs: DataFrame, percent: int = 90, words: int = 3, lower: b
     release(spark, members)
     active = members2.select("c").distinct()
     texts = docs.join(active.join(classes, "c").select(F.col("class_id").alias("doc_id"), "c"), "doc_id").select("c", "text")
-    sets = materialize(texts.mapInArrow(_sets(words, lower), "c long, items binary"), "jac-sets")
-    labels = link_buckets(members2, verifier(sets, percent))
+    sets = materialize(texts.mapInArrow(_sets(words, lower), "c long, items binary, code struct<n:long,p0:long,p1:long,p2:long,p3:long>"), "jac-sets")
+    labels = link_buckets(members2, verifier(sets.select("c", "items"), percent), sets.select("c", "code"), may_link(percent))
     release(spark, members2, sets)
     named = classes.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     least = named.groupBy("label").agg(F.min("class_id").alias("component_id"))
