@@ -97,9 +97,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     not used; without any labels nothing is evidence and faults are rare."""
     drawn = labels.where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     drawn = drawn.select(F.col("doc_id").cast("long"), (F.coalesce("quality", F.lit(1)) == 0).alias("junk"), (F.coalesce("toxic", F.lit(0)) == 1).alias("toxic"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(drawn, "doc_id")
+    # The drawn labels are at most ``sample`` rows of a number and two flags, so no text is shuffled to meet them.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")
     # Equal texts count once, with any fault that one of them is labelled with.
     rows = rows.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("h")).agg(F.max("junk").alias("junk"), F.max("toxic").alias("toxic"), F.first("text").alias("text"))
+    rows = materialize(rows, "labelled")
     found = rows.select("junk", "toxic", "text").mapInArrow(_frequencies, "f long, n long, junk long, toxic long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("junk").alias("junk"), F.sum("toxic").alias("toxic"))
     # At most FEATURES + 1 rows, whatever the corpus.
     got = found.toPandas()
