@@ -89,11 +89,22 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], c
             if near is not None:
                 pairs = coded(coded(pairs, "a", "code_a"), "b", "code_b").where(near(F.col("code_a"), F.col("code_b"))).select("a", "b")
         pairs = materialize(pairs, "pairs")
-        found = materialize(verify(pairs), "links")
-        if not found.isEmpty():
-            # Earlier components count as links to their least items.
-            edges = found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-            labels = materialize(components(edges), "labels")
+        # Each item's pair with its least partner first: most others then lie in one
+        # component and need no verification.
+        least = pairs.groupBy(F.col("b").alias("of")).agg(F.min("a").alias("least"))
+        for wanted in (F.col("a") == F.col("least"), F.col("a") != F.col("least")):
+            tried = pairs.join(least, F.col("b") == F.col("of")).where(wanted).select("a", "b")
+            if labels is not None:
+                for end in ("a", "b"):
+                    own = labels.select(F.col("node").alias("node"), F.col("label").alias(f"label_{end}"))
+                    tried = tried.join(own, F.col(end) == F.col("node"), "left").drop("node").withColumn(f"label_{end}", F.coalesce(f"label_{end}", end))
+                tried = tried.where("label_a <> label_b").select("a", "b")
+            found = materialize(verify(tried), "links")
+            if not found.isEmpty():
+                # Earlier components count as links to their least items.
+                edges = found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
+                labels = materialize(components(edges), "labels")
+            release(spark)
         left = materialize(kept.where("c <> first.c").select("k", "c"), "members")
         release(spark, kept, pairs)
         if last:

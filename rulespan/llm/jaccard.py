@@ -146,7 +146,7 @@ def _sets(words: int, lower: bool):
             for a, sets in shingle_sets(batch.column(1), words, lower):
                 codes = [parities(s) for s in sets]
                 code = pa.StructArray.from_arrays([pa.array([len(s) for s in sets], pa.int64()), *(pa.array([x[i] for x in codes], pa.int64()) for i in range(4))], names=["n", "p0", "p1", "p2", "p3"])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary()), code], names=["c", "items", "code"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary()), code, pa.array([long_parities(s) for s in sets], pa.binary())], names=["c", "items", "code", "parity"])
 
     return run
 
@@ -158,6 +158,34 @@ def parities(s: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
+def long_parities(s: np.ndarray) -> bytes:
+    """Parities as above of two cells or more for each shingle, a power of two: they tell
+    large sets apart too. Each two neighbouring cells make one of half as many."""
+    bits = max(8, (2 * len(s) - 1).bit_length())
+    odd = np.bincount((mix(s + U(0xC3C3C3C3)) >> U(64 - bits)).astype(np.int64), minlength=1 << bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def odd_cells(x: bytes, y: bytes) -> int:
+    """Cells of other parity, counted with the fewer cells of the two."""
+    one, two = (np.unpackbits(np.frombuffer(v, np.uint8)) for v in sorted((x, y), key=len))
+    if len(two) > len(one):
+        two = np.bitwise_xor.reduce(two.reshape(len(one), -1), axis=1)
+    return int((one != two).sum())
+
+
+def _rule_out(percent: int):
+    """(a, b, sizes and long parities of both) -> the pairs that these allow to link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = [batch.column(i).to_pylist() for i in range(2, 6)]
+            may = [odd_cells(x, y) * (100 + percent) <= (n + m) * (100 - percent) for n, x, m, y in zip(*cols)]
+            yield batch.select([0, 1]).filter(pa.array(may, pa.bool_()))
+
+    return run
+
+
 def may_link(percent: int):
     """Whether two codes allow their sets to link: by sizes, and by parities."""
 
@@ -196,15 +224,23 @@ def _verify(percent: int):
     return run
 
 
-def verifier(sets: DataFrame, percent: int, salts: int = 16):
+def verifier(sets: DataFrame, percent: int, partners: int = 64):
     """A function of pairs (a, b) that keeps those whose sets link. A centre's set goes
-    once to each of ``salts`` groups of its partners, so a large group is many tasks."""
+    once to each group of some ``partners`` partners, so a large group is many tasks.
+    Long parities, a thirtieth of the sets, rule out most pairs before sets are moved."""
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int"))
-        heads = pairs.select("a", "salt").distinct().join(sets.withColumnRenamed("c", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "items")
-        rest = pairs.join(sets.withColumnRenamed("c", "b"), "b").select("a", "salt", "b", "items")
-        rows = heads.unionByName(rest).repartition(F.col("a"), F.col("salt")).sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+        for end in ("a", "b"):
+            pairs = pairs.join(sets.select(F.col("c").alias(end), F.col("code.n").alias(f"n_{end}"), F.col("parity").alias(f"parity_{end}")), end)
+        pairs = pairs.select("a", "b", "n_a", "parity_a", "n_b", "parity_b").mapInArrow(_rule_out(percent), "a long, b long")
+        pairs = materialize(pairs, "jac-near")
+        groups = pairs.groupBy(F.col("a").alias("of")).agg(F.ceil(F.count("*") / partners).cast("long").alias("groups"))
+        pairs = pairs.join(groups, F.col("a") == F.col("of")).select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("salt"))
+        heads = pairs.select(F.col("a").alias("item"), "a", "salt", F.lit(None).cast("long").alias("b")).distinct()
+        asked = heads.unionByName(pairs.select(F.col("b").alias("item"), "a", "salt", "b"))
+        # Sets are shuffled to meet what is asked of them once, for both ends of the pairs.
+        rows = asked.join(sets.select(F.col("c").alias("item"), "items"), "item").select("a", "salt", "b", "items")
+        rows = rows.repartition(F.col("a"), F.col("salt")).sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
         return rows.mapInArrow(_verify(percent), "a long, b long")
 
     return verify
@@ -230,13 +266,16 @@ def join_components(docs: DataFrame, percent: int = 90, words: int = 3, lower: b
     bands = Bands(percent, {r["band"]: r["count"] for r in histogram})
     first = docs.join(classes.select(F.col("class_id").alias("doc_id"), "c"), "doc_id").select("c", "text")
     members = materialize(first.mapInArrow(_keys(words, lower, bands), "k long, c long"), "jac-keys")
-    shared = members.groupBy("k").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("k")
+    release(spark)
+    # A class has a key once, so a key's rows are its classes (more only where doc_ids repeat).
+    shared = members.groupBy("k").count().where("count > 1").select("k")
     members2 = materialize(members.join(shared, "k"), "jac-shared")
     release(spark, members)
     active = members2.select("c").distinct()
     texts = docs.join(active.join(classes, "c").select(F.col("class_id").alias("doc_id"), "c"), "doc_id").select("c", "text")
-    sets = materialize(texts.mapInArrow(_sets(words, lower), "c long, items binary, code struct<n:long,p0:long,p1:long,p2:long,p3:long>"), "jac-sets")
-    labels = link_buckets(members2, verifier(sets.select("c", "items"), percent), sets.select("c", "code"), may_link(percent))
+    sets = materialize(texts.mapInArrow(_sets(words, lower), "c long, items binary, code struct<n:long,p0:long,p1:long,p2:long,p3:long>, parity binary"), "jac-sets")
+    release(spark)
+    labels = link_buckets(members2, verifier(sets, percent), sets.select("c", "code"), may_link(percent))
     release(spark, members2, sets)
     named = classes.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     least = named.groupBy("label").agg(F.min("class_id").alias("component_id"))
