@@ -22,6 +22,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -195,9 +196,19 @@ def main_text(page: Page, template: set[str]) -> str:
     return "\n\n".join(x for x in out if x)
 
 
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column's texts compressed, as they are shuffled and spilled whole."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        last = batch.num_columns - 1
+        packed = pa.array([None if x is None else pack(x.encode()) for x in batch.column(last).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:last], packed], names=batch.schema.names)
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in the order (host, group): the main text of each page."""
     group, held = None, []
+    unpack = zstandard.ZstdDecompressor().decompress
 
     def done(rows):
         pages = [Page(r[2]) for r in rows]
@@ -217,7 +228,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if held:
                     out += done(held)
                 group, held = (host, part), []
-            held.append((page, url, source or ""))
+            held.append((page, url, unpack(source).decode() if source is not None else ""))
         yield flush(out)
     if held:
         yield flush(done(held))
@@ -234,5 +245,6 @@ def extract(pages: DataFrame, group: int = GROUP) -> DataFrame:
     rows = pages.select(host.alias("host"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
     sizes = rows.groupBy(F.col("host").alias("of")).agg(F.ceil(F.count("*") / group).cast("int").alias("groups"))
     rows = rows.join(sizes, rows["host"] == sizes["of"]).withColumn("part", F.pmod(F.xxhash64("page_id"), F.col("groups")).cast("int"))
-    rows = rows.select("host", "part", "page_id", "url", "html").repartition("host", "part").sortWithinPartitions("host", "part", "page_id")
+    rows = rows.select("host", "part", "page_id", "url", "html").mapInArrow(_squeeze, "host string, part int, page_id long, url string, html binary")
+    rows = rows.repartition("host", "part").sortWithinPartitions("host", "part", "page_id")
     return rows.mapInArrow(_groups, "page_id long, url string, text string, n_chars long")
