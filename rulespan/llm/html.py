@@ -26,6 +26,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rulespan.llm.common import materialize
+
+#: Hosts of several groups whose list is broadcast; beyond that it is joined by a shuffle.
+LISTED = 100_000
 #: Pages of a group, about.
 GROUP = 48
 # Element names of HTML.
@@ -243,8 +247,13 @@ def extract(pages: DataFrame, group: int = GROUP) -> DataFrame:
     columns are ignored."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
     rows = pages.select(host.alias("host"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    sizes = rows.groupBy(F.col("host").alias("of")).agg(F.ceil(F.count("*") / group).cast("int").alias("groups"))
-    rows = rows.join(sizes, rows["host"] == sizes["of"]).withColumn("part", F.pmod(F.xxhash64("page_id"), F.col("groups")).cast("int"))
+    # Hosts of one group need no entry, so the table holds a row for each ``group`` pages at most.
+    sizes = rows.groupBy(F.col("host").alias("of")).agg(F.ceil(F.count("*") / group).cast("int").alias("groups")).where("groups > 1")
+    sizes = materialize(sizes, "html-hosts")
+    if sizes.count() <= LISTED:
+        sizes = F.broadcast(sizes)
+    rows = rows.join(sizes, rows["host"] == sizes["of"], "left")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("page_id"), F.coalesce("groups", F.lit(1))).cast("int"))
     rows = rows.select("host", "part", "page_id", "url", "html").mapInArrow(_squeeze, "host string, part int, page_id long, url string, html binary")
     rows = rows.repartition("host", "part").sortWithinPartitions("host", "part", "page_id")
     return rows.mapInArrow(_groups, "page_id long, url string, text string, n_chars long")
