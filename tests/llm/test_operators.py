@@ -271,3 +271,18 @@ def test_quality(spark, docs, none):
     assert all(got[i] for i in held) and not any(got[i] for i in range(0, 240, 4))
     assert classify(docs, lab).count() == len(texts())
     assert classify(none, lab.limit(0)).count() == 0
+
+
+def test_long_parities_never_exceed_the_difference():
+    from rulespan.llm.jaccard import long_parities, odd_cells
+
+    rng = np.random.default_rng(1)
+    for n in (1, 3, 127, 128, 129, 2000):
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            kept = a[: int(rng.integers(0, n + 1))]
+            b = np.unique(np.concatenate([kept, rng.integers(0, 2**64, int(rng.integers(1, n + 2)), dtype=np.uint64)]))
+            odd = odd_cells(long_parities(a), long_parities(b))
+            assert odd == odd_cells(long_parities(b), long_parities(a))
+            assert odd <= len(np.setxor1d(a, b))
+        assert odd_cells(long_parities(a), long_parities(a)) == 0
