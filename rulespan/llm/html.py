@@ -1,14 +1,18 @@
 """HTML extraction by equivalence-class template deduction.
 
-Pages of one host come from one template. A token is a tag or a text in its place (the
-path of the elements around it), and its occurrence vector counts it on each page of
-a group of same-host pages. Tokens that share a vector form an equivalence class; a
+Pages of one host come from one template. A token is a tag or a block's text in its
+place (the path of the elements around it), and its occurrence vector counts it on each
+page of a group of same-host pages. Tokens that share a vector form an equivalence class; a
 class is valid if its tokens come in the same order on every page, and nests in
 another if it lies in one gap between that one's tokens on every page. The valid
 classes from the one around the whole page inwards are the template; what is between
-its tokens are slots. The main text is what fills the article's slots; on pages without
-an article or main element, the slots of the container with most text outside lists of
-links and boxes that are not content.
+its tokens are slots. The main text is what fills the slots, without boxes that are not
+content; of pages with text in slots of an article or main element, it is what fills
+those. On pages without, it is the slots of the container with most text outside lists
+of links.
+
+A text is the template's only if most kinds of pages have it. Pages with few words that
+the texts of most pages lack are one kind, as near copies share their content as well.
 
 A host's pages are dealt into groups of about ``GROUP`` pages, each with its own
 template, so a host with a third of all pages is many tasks.
@@ -21,6 +25,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -40,28 +45,31 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 CLOSES_P = BLOCK - frozenset("body html option optgroup".split())
 #: Words of class, id and role attributes that name boxes other than the article.
 BOXES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|disqus|disclaimer|footer|header|masthead|menu|modal|nav|navigation|newsletter|notices?|pagination|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget|contentinfo|complementary|search|alert)(?:$|[\s_-])", re.I)
+#: An article of this class is a comment.
+COMMENT = re.compile(r"(?:^|\s)comments?(?:\s|$)", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|</?[a-zA-Z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
 class Page:
-    """A page's tokens and texts. Texts: (path, block number, text, in article, in a box)."""
+    """A page's tokens and blocks outside of boxes: (path, text, in article, token)."""
 
     def __init__(self, source: str):
         self.tokens: list[str] = []
-        self.texts: list[tuple[str, int, str, bool, bool]] = []
+        self.blocks: list[tuple[str, str, bool, str]] = []
+        #: By block number and whether in a box: place among the tokens, path, in article, texts.
+        texts: dict[tuple[int, bool], list] = {}
         stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
-        block, at, raw_until = 0, 0, None
-        low = None
+        block = 0
         for m in self._pieces(source):
             if m[0] == "text":
                 _, path, article, box = stack[-1]
-                if m[1].strip():
-                    self.texts.append((path, block, entities.unescape(m[1]), article, box))
-                    self.tokens.append(f"{path}#{' '.join(m[1].split())}")
-                elif m[1]:
-                    self.texts.append((path, block, m[1], article, box))
+                if m[1].strip() and (block, box) not in texts:
+                    texts[block, box] = [len(self.tokens), path, article, []]
+                    self.tokens.append("")
+                if (block, box) in texts:
+                    texts[block, box][3].append(entities.unescape(m[1]))
                 continue
             tag = m[1]
             name = NAME.match(tag)[1].lower()
@@ -77,7 +85,9 @@ class Page:
             if name in BLOCK:
                 block += 1
             if name == "br":
-                self.texts.append((stack[-1][1], block, " ", stack[-1][2], stack[-1][3]))
+                for box in (False, True):
+                    if (block, box) in texts:
+                        texts[block, box][3].append(" ")
             # A block closes an open paragraph, and list items and cells close their like.
             if name in CLOSES_P:
                 for i in range(len(stack) - 1, 0, -1):
@@ -100,13 +110,18 @@ class Page:
                 words = " ".join(a or b or c for key, a, b, c in attrs if key.lower() in ("class", "id", "role"))
                 hidden = any(k.lower() == "hidden" or k.lower() == "aria-hidden" and (a or b or c).lower() == "true" for k, a, b, c in attrs)
                 # Within an article, its own header is content; elsewhere it is the site's.
-                mine = box or name in NOT_CONTENT or hidden or bool(words and BOXES.search(words)) and name not in ("article", "main", "body", "html") or name == "header" and not article
+                mine = box or name in NOT_CONTENT or hidden or bool(words and BOXES.search(words)) and name not in ("article", "main", "body", "html") or name == "article" and bool(COMMENT.search(words)) or name == "header" and not article
                 if words:
                     path += f".{words}"
                 stack.append((name, path, article or (name in ("article", "main") or "main" in words.lower().split()) and not mine, mine))
                 if tag.endswith("/>") and name not in BLOCK:
                     stack.pop()
             self.tokens.append(path)
+        for (_, box), (at, path, article, parts) in texts.items():
+            text = " ".join("".join(parts).split())
+            self.tokens[at] = f"{path}#{text}"
+            if text and not box:
+                self.blocks.append((path, text, article, self.tokens[at]))
 
     @staticmethod
     def _pieces(source: str) -> Iterator[tuple[str, str]]:
@@ -132,6 +147,38 @@ class Page:
                 at = stop
 
 
+def _kinds(pages: list[Page]) -> list[int]:
+    """The kind of each page: 0 for those that have little but texts of most pages."""
+    seen = Counter(t for p in pages for t in {b[3] for b in p.blocks})
+    common = {t for t, n in seen.items() if n > max(1, len(pages) // 2)}
+    if not common:
+        return list(range(1, len(pages) + 1))
+    shared = {w for p in pages for b in p.blocks if b[3] in common for w in b[1].split()}
+    kinds = []
+    for i, p in enumerate(pages):
+        own = {w for b in p.blocks if b[3] not in common for w in b[1].split()} - shared
+        held = {w for b in p.blocks if b[3] in common for w in b[1].split()}
+        # The more pages tell, the fewer words of its own does each need.
+        kinds.append(i + 1 if own and len(own) * min(len(pages), 10) >= len(held) else 0)
+    return kinds
+
+
+def _chain(tokens: list[str], place: list[dict], have: list[int]) -> list[str]:
+    """The most tokens that come in the same order on every page."""
+    at = np.array([[x for i in have for x in place[i][t]] for t in tokens])
+    length, before = np.ones(len(tokens), int), np.full(len(tokens), -1)
+    for j in range(1, len(tokens)):
+        fits = np.flatnonzero((at[:j] < at[j]).all(axis=1))
+        if len(fits):
+            before[j] = fits[np.argmax(length[fits])]
+            length[j] = length[before[j]] + 1
+    out, j = [], int(np.argmax(length))
+    while j >= 0:
+        out.append(tokens[j])
+        j = int(before[j])
+    return out[::-1]
+
+
 def deduce(pages: list[Page]) -> set[str]:
     """Tokens of the template of a group of pages."""
     if not pages:
@@ -140,10 +187,12 @@ def deduce(pages: list[Page]) -> set[str]:
     for i, p in enumerate(pages):
         for t, n in Counter(p.tokens).items():
             vectors[t][i] = n
+    kinds = _kinds(pages)
+    most = max(1, len(set(kinds)) // 2)
     classes: dict[tuple, list[str]] = defaultdict(list)
     for t, v in vectors.items():
-        # A text on one page only is content; tags are the template's even there.
-        if "#" not in t or sum(1 for x in v if x) > max(1, len(pages) // 2):
+        # A text of few kinds of pages is content; tags are the template's even there.
+        if "#" not in t or len({k for k, x in zip(kinds, v) if x}) > most:
             classes[tuple(v)].append(t)
     place = [defaultdict(list) for _ in pages]
     for i, p in enumerate(pages):
@@ -155,10 +204,7 @@ def deduce(pages: list[Page]) -> set[str]:
     for vector, tokens in sorted(classes.items(), key=lambda c: (-sum(1 for x in c[0] if x), sum(c[0]), -len(c[1]))):
         have = [i for i, n in enumerate(vector) if n]
         tokens.sort(key=lambda t: place[have[0]][t][0])
-        valid = []
-        for t in tokens:
-            if not valid or all(a < b for i in have for a, b in zip(place[i][valid[-1]], place[i][t])):
-                valid.append(t)
+        valid = _chain(tokens, place, have)
         # Nested: the first instance of the class lies in the same gap of what is there already.
         if template and have:
             gaps = set()
@@ -175,29 +221,21 @@ def deduce(pages: list[Page]) -> set[str]:
 
 
 def main_text(page: Page, template: set[str]) -> str:
-    """The text in the article's slots, blocks joined by an empty line."""
-    texts = [x for x in page.texts if not x[4]]
-    mine = [x for x in texts if x[3]]
-    if not any(x[2].strip() for x in mine):
-        # No article: the slots of the container with most text that isn't the template's.
+    """The text in the page's slots, blocks joined by an empty line. An article's slots
+    come before others."""
+    free = [b for b in page.blocks if b[3] not in template]
+    mine = [b for b in free if b[2]]
+    if not mine:
+        # No article: the slots of the container with most text.
         weight: Counter = Counter()
-        free = []
-        for x in texts:
-            path, _, text = x[0], x[1], x[2]
-            if f"{path}#{' '.join(text.split())}" in template:
-                continue
-            free.append(x)
+        for path, text, _, _ in free:
             steps = path.split("/")
             holder = next((i for i in range(len(steps) - 1, 0, -1) if re.split(r"[.]", steps[i])[0] in ("div", "section", "body", "td", "blockquote")), 1)
             linked = any(re.split(r"[.]", s)[0] == "a" for s in steps)
-            weight["/".join(steps[: holder + 1])] += 0 if linked else len(text.strip())
+            weight["/".join(steps[: holder + 1])] += 0 if linked else len(text)
         best = max(weight, key=lambda k: (weight[k], k), default=None)
-        mine = [x for x in free if best is not None and (x[0] + "/").startswith(best + "/")]
-    blocks: dict[int, list[str]] = {}
-    for _, block, text, _, _ in mine:
-        blocks.setdefault(block, []).append(text)
-    out = (" ".join("".join(parts).split()) for _, parts in sorted(blocks.items()))
-    return "\n\n".join(x for x in out if x)
+        mine = [b for b in free if best is not None and (b[0] + "/").startswith(best + "/")]
+    return "\n\n".join(b[1] for b in mine)
 
 
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

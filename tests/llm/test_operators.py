@@ -253,6 +253,31 @@ def test_html(spark):
     assert got[3] == got[4] == ("", 0)
 
 
+def test_html_template_decides_in_articles(spark):
+    from rulespan.llm.html import extract
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    text = lambda: " ".join(word() for _ in range(20))
+    rows, want = [], {}
+    for i in range(12):
+        # Boilerplate inside the article, under names that no list of boxes has, at no fixed paragraph.
+        parts = [text() for _ in range(2 + i % 3)]
+        body = [f"<p>{x[:30]}<i>and</i>{x[30:]}</p>" for x in parts]
+        body.insert(1 + i % 2, "<div class='zq7'>Terms of <b>this</b> site changed in May</div>")
+        rows.append((i, f"http://h.org/{i}", f"<html><body><article><h1>Head {i}</h1>{''.join(body)}<article class='comment'>c{i}</article></article></body></html>"))
+        want[i] = "\n\n".join([f"Head {i}", *(f"{x[:30]}and{x[30:]}" for x in parts)])
+    # Near copies share their content, which isn't the template's.
+    base = [text() for _ in range(6)]
+    for i in range(20, 26):
+        parts = list(base)
+        parts[i % 6] = parts[i % 6].replace(parts[i % 6].split()[3], word(), 1)
+        rows.append((i, f"http://n.org/{i}", f"<html><body><article>{''.join(f'<p>{x}</p>' for x in parts)}</article></body></html>"))
+        want[i] = "\n\n".join(parts)
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def test_quality(spark, docs, none):
     from rulespan.llm.quality import classify
 
