@@ -8,8 +8,7 @@ another if it lies in one gap between that one's tokens on every page. The valid
 classes from the one around the whole page inwards are the template; what is between
 its tokens are slots. The main text is what fills the slots, without boxes that are not
 content; of pages with text in slots of an article or main element, it is what fills
-those. On pages without, it is the slots of the container with most text outside lists
-of links.
+those. On pages without, it is what fills all slots, in page order.
 
 A text is the template's only if most kinds of pages have it. Pages with few words that
 the texts of most pages lack are one kind, as near copies share their content as well.
@@ -224,18 +223,7 @@ def main_text(page: Page, template: set[str]) -> str:
     """The text in the page's slots, blocks joined by an empty line. An article's slots
     come before others."""
     free = [b for b in page.blocks if b[3] not in template]
-    mine = [b for b in free if b[2]]
-    if not mine:
-        # No article: the slots of the container with most text.
-        weight: Counter = Counter()
-        for path, text, _, _ in free:
-            steps = path.split("/")
-            holder = next((i for i in range(len(steps) - 1, 0, -1) if re.split(r"[.]", steps[i])[0] in ("div", "section", "body", "td", "blockquote")), 1)
-            linked = any(re.split(r"[.]", s)[0] == "a" for s in steps)
-            weight["/".join(steps[: holder + 1])] += 0 if linked else len(text)
-        best = max(weight, key=lambda k: (weight[k], k), default=None)
-        mine = [b for b in free if best is not None and (b[0] + "/").startswith(best + "/")]
-    return "\n\n".join(b[1] for b in mine)
+    return "\n\n".join(b[1] for b in [b for b in free if b[2]] or free)
 
 
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -278,6 +278,20 @@ def test_html_template_decides_in_articles(spark):
     assert got == want
 
 
+def test_html_keeps_all_containers(spark):
+    from rulespan.llm.html import extract
+
+    bodies = {
+        1: ("<section id=intro><p>one is short</p></section><section id=results><p>two is a longer section</p></section>", "one is short\n\ntwo is a longer section"),
+        2: ("<h1>Title</h1><div class=content><p>the text</p></div>", "Title\n\nthe text"),
+        3: ("<div class=body><p>before</p><blockquote>a quote longer than the prose around it</blockquote><p>after</p></div>", "before\n\na quote longer than the prose around it\n\nafter"),
+        4: ("<table><tr><td>left</td><td>right cell</td></tr></table>", "left\n\nright cell"),
+    }
+    rows = [(i, f"http://one.org/{i}", f"<html><body><nav>menu</nav>{body}<div class=zq7>All of the site's terms</div></body></html>") for i, (body, _) in bodies.items()]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: text for i, (_, text) in bodies.items()}
+
+
 def test_quality(spark, docs, none):
     from rulespan.llm.quality import classify
 
