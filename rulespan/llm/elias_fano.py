@@ -10,6 +10,8 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
+#: Integers that are coded at a time.
+BUILT = 1 << 18
 _POP8 = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 #: The place of the k-th one of a byte.
 _SELECT8 = np.array([[([j for j in range(8) if i >> j & 1] + [0] * 8)[k] for k in range(8)] for i in range(256)], np.uint8)
@@ -37,21 +39,23 @@ class EliasFano:
 
     @classmethod
     def build(cls, values: np.ndarray, universe: int) -> EliasFano:
-        v = values.astype(U)
-        n = len(v)
+        n = len(values)
         bits = max(0, (max(universe, 1) // max(n, 1)).bit_length() - 1)
         low = np.zeros((n * bits + 63) // 64 + 2, U)
-        if bits:
-            part = v & U((1 << bits) - 1)
-            at = np.arange(n, dtype=np.int64) * bits
-            word, shift = at >> 6, (at & 63).astype(U)
-            np.bitwise_or.at(low, word, part << shift)
-            spill = (at & 63) + bits > 64
-            np.bitwise_or.at(low, word[spill] + 1, part[spill] >> (U(64) - shift[spill]))
-        place = (v >> U(bits)).astype(np.int64) + np.arange(n)
         size = ((int(universe) >> bits) + n) // 64 + 2
         high = np.zeros(size, U)
-        np.bitwise_or.at(high, place >> 6, U(1) << (place & 63).astype(U))
+        for start in range(0, n, BUILT):
+            v = values[start : start + BUILT].astype(U)
+            i = np.arange(start, start + len(v), dtype=np.int64)
+            if bits:
+                part = v & U((1 << bits) - 1)
+                at = i * bits
+                word, shift = at >> 6, (at & 63).astype(U)
+                np.bitwise_or.at(low, word, part << shift)
+                spill = (at & 63) + bits > 64
+                np.bitwise_or.at(low, word[spill] + 1, part[spill] >> (U(64) - shift[spill]))
+            place = (v >> U(bits)).astype(np.int64) + i
+            np.bitwise_or.at(high, place >> 6, U(1) << (place & 63).astype(U))
         count = _POP8[high.view(np.uint8)].reshape(-1, 8).sum(axis=1)
         ones = np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.uint32)
         return cls(n, bits, low, high, ones, (np.arange(size) * 64 - ones).astype(np.uint32))

@@ -3,8 +3,8 @@
 The model interpolates orders by absolute discounting: a kept n-gram hw of count c has
 p(w|h) = (c - D) / c(h) + b(h) p(w|h'), any other b(h) p(w|h'), where b(h) is what the
 kept ones of the context leave, so that probabilities of a context sum to one. The
-lowest order is the add-0.1 unigram. N-grams are kept from ``least`` occurrences on,
-and from order 3 only if the (n-1)-grams they consist of are kept.
+lowest order is the add-0.1 unigram. N-grams are kept from ``least`` occurrences on (by
+default all are), and from order 3 only if the (n-1)-grams they consist of are kept.
 
 A level is a table of shards, each a file of the shared folder with contexts, monotone
 pointers to each context's children, and the children's word ids, all Elias-Fano
@@ -39,14 +39,17 @@ from rulespan.llm.textkit import Words, i64, mix, slices
 U = np.uint64
 #: The end of a text, as a word, and the context of its first word.
 END = int(mix(np.array([0x656E64], U))[0])
-ORDER = 2
-LEAST = 2
+ORDER = 3
+LEAST = 1
 DISCOUNT = 0.75
 #: N-grams of a shard, about.
 SHARD = 4_000_000
 #: Tokens that are counted at a time.
 COUNTED = 2_000_000
 SLICE = 1 << 18
+#: Texts, and n-grams of a shard, whose numbers are looked up at a time.
+TEXTS = 2048
+LOOKED_UP = 1 << 18
 #: Quantised log10 values lie between this and 0.
 FLOOR = -9.0
 
@@ -233,44 +236,74 @@ def build_vocabulary(counts: DataFrame, uri: str) -> Vocabulary:
     return Vocabulary(uri, shards, bits, int(total))
 
 
-def build_level(grams: DataFrame, lower, uri: str, contexts_of) -> Level:
-    """``grams(a, w, c)``: kept n-grams by context and word number with their counts.
-    ``contexts_of(numbers)`` gives contexts' counts, ``lower(a, w)`` the log10
-    probabilities of the words in the shorter contexts."""
-    n = grams.count()
-    parts = max(1, -(-n // SHARD))
+def _summed(a: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in the order (a, w) with those of one n-gram summed."""
+    opens = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (w[1:] != w[:-1])))
+    return a[opens], w[opens], np.add.reduceat(c, opens)
+
+
+def build_level(grams: DataFrame, most: int, contexts: int, least: int, lower, uri: str, contexts_of, last: bool) -> Level:
+    """``grams(a, w, c)``: n-grams by context and word number with counts to be summed,
+    ``most`` occurrences in all and ``contexts`` context numbers. ``contexts_of(numbers)``
+    gives contexts' counts, ``lower(a, w)`` the log10 probabilities of the words in the
+    shorter contexts. The ``last`` level's own counts aren't kept. Context numbers follow hashes, so equal ranges of them are about
+    equal shards."""
+    parts = max(1, -(-most // SHARD))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(3)] for b in batches]
-        rows = sum(len(p[0]) for p in parts)
-        out = []
-        if rows:
-            a, w, c = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            parts.clear()
+        shard, held, out = None, [], []
+
+        def done():
+            columns = [list(x) for x in zip(*held)]
+            held.clear()
+            a, w, c = _summed(*(np.concatenate(columns.pop(0)) for _ in range(3)))
+            if least > 1:
+                a, w, c = (x[c >= least] for x in (a, w, c))
+            rows = len(a)
+            if not rows:
+                return
             opens = np.flatnonzero(np.diff(a, prepend=-1))
             ctx = a[opens]
             total = contexts_of(ctx).astype(float)
             size = np.diff(np.append(opens, rows))
-            kept = np.add.reduceat(c - DISCOUNT, opens)
-            back = np.maximum(1 - kept / total, 1e-9)
-            each = np.repeat(np.arange(len(ctx)), size)
-            p = (c - DISCOUNT) / total[each] + back[each] * 10 ** lower(a, w)
+            back = np.maximum(1 - (np.add.reduceat(c, opens) - DISCOUNT * size) / total, 1e-9)
+            each = np.repeat(np.arange(len(ctx), dtype=np.int32), size)
+            p = np.empty(rows, np.uint8)
+            for at in range(0, rows, LOOKED_UP):
+                of = slice(at, at + LOOKED_UP)
+                p[of] = quantise(np.log10((c[of] - DISCOUNT) / total[each[of]] + back[each[of]] * 10 ** lower(a[of], w[of].astype(np.int64))))
             # Children relative to the value before their context's first child.
-            last = w[np.append(opens[1:], rows) - 1] + 1
-            base = np.concatenate([[0], np.cumsum(last)[:-1]])
+            span = w[np.append(opens[1:], rows) - 1].astype(np.int64) + 1
+            base = np.concatenate([[0], np.cumsum(span)[:-1]])
             child = base[each] + w
+            del each, a, w
             pointers = np.append(opens, rows)
             arrays = _packed("context", EliasFano.build(ctx - ctx[0], int(ctx[-1] - ctx[0]) + 1))
             arrays |= _packed("pointer", EliasFano.build(pointers, rows + 1)) | _packed("child", EliasFano.build(child, int(child[-1]) + 1))
-            arrays |= {"p": quantise(np.log10(p)), "back": quantise(np.log10(back))}
-            counted = c.astype(np.uint64)
-            out.append((int(ctx[0]), int(ctx[-1]), rows, save(uri, arrays), save(uri, {"count": counted})))
+            arrays |= {"p": p, "back": quantise(np.log10(back))}
+            counts = None if last else save(uri, {"count": c.astype(np.uint32 if c.max() < 2**32 else np.uint64)})
+            out.append((int(ctx[0]), int(ctx[-1]), rows, save(uri, arrays), counts))
+
+        for batch in batches:
+            # Word numbers have 31 bits.
+            a, w, c = (batch.column(i).to_numpy(zero_copy_only=False).astype(t) for i, t in enumerate((np.int64, np.int32, np.int64)))
+            s = a * parts // max(1, contexts)
+            for k in np.unique(s).tolist():
+                if k != shard and held:
+                    done()
+                shard, mine = k, slice(*np.searchsorted(s, [k, k + 1]))
+                held.append(_summed(a[mine], w[mine], c[mine]))
+        if held:
+            done()
         cols = list(zip(*out)) or [()] * 5
         kinds = [pa.int64()] * 3 + [pa.string()] * 2
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], names=["first", "last", "n", "file", "counts"])
 
-    rows = grams.select("a", "w", "c").repartitionByRange(int(parts), "a").sortWithinPartitions("a", "w")
-    got = rows.mapInArrow(run, "first long, last long, n long, file string, counts string").collect()
+    rows = grams.select("a", "w", "c").repartition(4 * parts, F.expr(f"a * {parts}L div {max(1, contexts)}L")).sortWithinPartitions("a", "w")
+    # Written rather than collected: the plan of the last job, and so its shuffle files, would be held.
+    files = materialize(rows.mapInArrow(run, "first long, last long, n long, file string, counts string"), "lm-files")
+    got = files.collect()
+    release(grams.sparkSession, files)
     level = Level(uri, [(r["first"], r["last"], r["n"], r["file"]) for r in got])
     level.count_files = [r["counts"] for r in sorted(got, key=lambda r: r["first"])]
     return level
@@ -353,23 +386,20 @@ def _count_grams(vocabulary: Vocabulary, levels: list[Level], order: int, least:
 
         def flush():
             key, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(key >> 31), pa.array(key & (2**31 - 1)), pa.array(c.astype(np.int64))], names=["a", "w", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(key >> 31), pa.array((key & (2**31 - 1)).astype(np.int32)), pa.array(c.astype(np.int32))], names=["a", "w", "c"])
 
-        for batch in batches:
-            seq, start = _sequences(batch.column(0), end)
-            if not len(seq):
-                continue
-            place = np.arange(1, len(seq))
+        for part in (batch.slice(at, TEXTS) for batch in batches for at in range(0, batch.num_rows, TEXTS)):
+            seq, start = _sequences(part.column(0), end)
             inner = np.ones(len(seq), bool)
             inner[start[:-1]] = False
             place = np.flatnonzero(inner)
             a, w = seq[place - 1], seq[place]
             ok = (a >= 0) & (w >= 0)
-            # A gram occurs no more often than its words.
-            often = np.ones(len(seq), bool)
-            distinct, back = np.unique(seq, return_inverse=True)
-            often = (vocabulary.counts(np.maximum(distinct, 0)) >= least)[back]
-            ok &= often[place] & often[place - 1]
+            if least > 1:
+                # A gram occurs no more often than its words.
+                distinct, back = np.unique(seq, return_inverse=True)
+                often = (vocabulary.counts(np.maximum(distinct, 0)) >= least)[back]
+                ok &= often[place] & often[place - 1]
             if order == 2:
                 held.append((a[ok] << 31) | w[ok])
             else:
@@ -405,7 +435,7 @@ def _score(vocabulary: Vocabulary, levels: list[Level]):
             total = batch.num_rows
             done = 0
             while done < total:
-                part = batch.slice(done, min(2048, total - done))
+                part = batch.slice(done, min(TEXTS, total - done))
                 done += part.num_rows
                 seq, start = _sequences(part.column(part.num_columns - 1), end)
                 distinct, back = np.unique(seq, return_inverse=True)
@@ -451,13 +481,14 @@ def train_and_score(docs: DataFrame, order: int = ORDER, least: int = LEAST) ->
     counts = materialize(counts, "lm-words")
     vocabulary = build_vocabulary(counts, uri)
     release(spark, counts)
-    numbered = materialize(rows.mapInArrow(_numbers(vocabulary), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, words array<int>"), "lm-numbers")
+    numbered = materialize(rows.mapInArrow(_numbers(vocabulary), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, words array<int>"), "lm-numbers", "zstd")
     levels: list[Level] = []
     for n in range(2, order + 1):
-        found = numbered.where("not held_out").select("words").mapInArrow(_count_grams(vocabulary, levels, n, least), "a long, w long, c long")
-        kept = materialize(found.groupBy("a", "w").agg(F.sum("c").alias("c")).where(F.col("c") >= least), "lm-grams")
+        found = numbered.where("not held_out").select("words").mapInArrow(_count_grams(vocabulary, levels, n, least), "a long, w int, c int")
         if n == 2:
-            level = build_level(kept, lambda a, w: vocabulary.base_log(vocabulary.counts(w)), uri, vocabulary.counts)
+            # Summed before the shards are made, as a common word's pairs are one shard's.
+            found = found.groupBy("a", "w").agg(F.sum("c").alias("c"))
+            level = build_level(found, vocabulary.total, vocabulary.size, least, lambda a, w: vocabulary.base_log(vocabulary.counts(w)), uri, vocabulary.counts, n == order)
         else:
             second = levels[0]
 
@@ -468,9 +499,8 @@ def train_and_score(docs: DataFrame, order: int = ORDER, least: int = LEAST) ->
                 number, p, weight = second.find(key >> 31, key & (2**31 - 1))
                 return np.where(number >= 0, p, weight + vocabulary.base_log(vocabulary.counts(key & (2**31 - 1))))[back]
 
-            level = build_level(kept, lower, uri, _level_counts(second))
+            level = build_level(found, vocabulary.total, int(second.base[-1]), least, lower, uri, _level_counts(second), n == order)
         levels.append(level)
-        release(spark, kept)
     scored = numbered.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(vocabulary.total).cast("long").alias("train_tokens"), "base_score", "words")
     return scored.mapInArrow(_score(vocabulary, levels), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

@@ -183,6 +183,40 @@ def test_language_model(docs, none):
     assert train_and_score(none).count() == 0
 
 
+def test_language_model_keeps_every_gram_up_to_order_3(docs, monkeypatch):
+    import math
+
+    from rulespan.llm import ngram
+
+    fold = {i: i + 32 for i in range(65, 91)}
+    words = {d: ["</s>", *WORD.findall(t.translate(fold)), "</s>"] for d, t in texts().items()}
+    train = [ws for d, ws in words.items() if zlib.crc32(str(d).encode()) % 10]
+    one = Counter(w for ws in train for w in ws[1:])
+    two = Counter(g for ws in train for g in zip(ws, ws[1:]))
+    three = Counter(g for ws in train for g in zip(ws, ws[1:], ws[2:]))
+    n, v = sum(one.values()), len(one)
+    after = {1: Counter(g[:1] for g in two), 2: Counter(g[:2] for g in three)}
+
+    def p(gram):
+        if len(gram) == 1:
+            return (one[gram[0]] + 0.1) / (n + 0.1 * (v + 1))
+        context = gram[:-1]
+        total = one[context[0]] if len(context) == 1 else two[context]
+        if not after[len(context)][context]:
+            return p(gram[1:])
+        c = (two if len(gram) == 2 else three)[gram]
+        return max(c - 0.75, 0) / total + 0.75 * after[len(context)][context] / total * p(gram[1:])
+
+    got = {r.doc_id: r.score for r in ngram.train_and_score(docs).collect()}
+    monkeypatch.setattr(ngram, "SHARD", 500)
+    shards = {r.doc_id: r.score for r in ngram.train_and_score(docs).collect()}
+    assert shards == pytest.approx(got)
+    for d, ws in words.items():
+        want = sum(math.log10(p(tuple(ws[max(0, i - 2) : i + 1]))) for i in range(1, len(ws)))
+        # A byte holds a value to within 9 / 255 / 2; at most three are added.
+        assert abs(got[d] - want) <= 0.054 * (len(ws) - 1), d
+
+
 def test_elias_fano():
     from rulespan.llm.elias_fano import EliasFano
 
