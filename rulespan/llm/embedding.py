@@ -3,13 +3,15 @@
 Iterative quantisation learns binary codes from a bounded sample: vectors are centred
 and projected on their principal directions, then a rotation is learned that brings
 them close to the corners of the cube, alternating between codes (signs) and the
-orthogonal matrix that fits them best (from a singular value decomposition). Two
-rotations learned from different starts give two codes of a vector.
+orthogonal matrix that fits them best (from a singular value decomposition). Rotations learned from different
+starts give several codes of a vector.
 
 Codes are cut into substrings of about log2(rows) bits, each the key of a Hamming
 table, so tables hold a few rows a bucket at any size. A vector is entered under its
 substring and the substrings one bit away: codes within two bits of one another in any
-substring meet. Candidates whose whole codes are far apart are dropped; the others are
+substring meet. Longer substrings meet less often, and a code has fewer of them, so
+rotations are added until pairs placed at the threshold around the sampled vectors meet
+often enough. Candidates whose whole codes are far apart are dropped; the others are
 reranked with the original vectors, in double precision, and nothing below the
 threshold links. Equal vectors are one class with a weight. Large groups go through
 :func:`rulespan.llm.graph.link_buckets`; links within a component are then counted
@@ -32,8 +34,12 @@ from rulespan.llm.graph import link_buckets
 SAMPLE = 20_000
 #: Rounds of the learning.
 ROUNDS = 30
-#: Codes of a vector.
+#: Codes of a vector, at least.
 CODES = 2
+#: The share of pairs at the threshold that are to meet.
+RECALL = 0.95
+#: Vectors that pairs are placed around, at most.
+PLACED = 2_000
 #: Vectors of a block in which links are counted.
 BLOCK = 512
 
@@ -54,6 +60,52 @@ def learn(sample: np.ndarray, bits: int, seed: int) -> tuple[np.ndarray, np.ndar
     return mean, project @ r
 
 
+def _pack(x: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The codes of vectors, the first bit lowest."""
+    mean, project = model
+    sign = ((x - mean) @ project >= 0).astype(np.uint64)
+    return (sign << np.arange(sign.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+
+
+def placed_pairs(sample: np.ndarray, threshold: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of the sample, and vectors whose cosine with them is ``threshold``: away in
+    any direction, and towards other vectors of the sample."""
+    rng = np.random.default_rng(seed)
+    one = sample[rng.permutation(len(sample))[:PLACED]]
+    one = np.concatenate([one, one])
+    half = len(one) // 2
+    away = np.concatenate([rng.normal(size=(half, one.shape[1])), sample[rng.integers(0, len(sample), half)]])
+    away -= (away * one).sum(axis=1, keepdims=True) * one
+    size = np.linalg.norm(away, axis=1, keepdims=True)
+    ok = size[:, 0] > 1e-6
+    one, away = one[ok], away[ok] / size[ok]
+    return one, threshold * one + np.sqrt(max(0.0, 1 - threshold**2)) * away
+
+
+def meeting(differ: np.ndarray, bits: int, width: int) -> np.ndarray:
+    """Which pairs meet in a table of a code, by the bits in which their codes differ."""
+    out = np.zeros(len(differ), bool)
+    for low in range(0, bits - width + 1, width):
+        out |= np.bitwise_count((differ >> np.uint64(low)) & np.uint64((1 << width) - 1)) <= 2
+    return out
+
+
+def learn_enough(sample: np.ndarray, bits: int, width: int, most: int, threshold: float, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Models of as many codes as let ``RECALL`` of the pairs at the threshold meet that are
+    within ``most`` bits by their first codes."""
+    one, two = placed_pairs(sample, threshold, seed)
+    models: list[tuple[np.ndarray, np.ndarray]] = []
+    met = near = np.zeros(len(one), bool)
+    # A table's number has 16 bits, 6 of them for the substring.
+    while len(models) < CODES or len(models) < 1023 and (met & near).sum() < RECALL * near.sum():
+        models.append(learn(sample, bits, seed + len(models)))
+        differ = _pack(one, models[-1]) ^ _pack(two, models[-1])
+        if len(models) == 1:
+            near = np.bitwise_count(differ) <= most
+        met = met | meeting(differ, bits, width)
+    return models
+
+
 def _codes(models, width: int):
     """(c, vector) -> a row per table and variant of the substring."""
 
@@ -65,10 +117,9 @@ def _codes(models, width: int):
             x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float64).reshape(len(c), -1)
             keys, code, owner = [], [], []
             first = None
-            for which, (mean, project) in enumerate(models):
-                sign = ((x - mean) @ project >= 0).astype(np.uint64)
-                bits = sign.shape[1]
-                packed = (sign << np.arange(bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+            for which, model in enumerate(models):
+                bits = model[1].shape[1]
+                packed = _pack(x, model)
                 first = packed if first is None else first
                 for t, low in enumerate(range(0, bits - width + 1, width)):
                     part = (packed >> np.uint64(low)) & np.uint64((1 << width) - 1)
@@ -180,14 +231,14 @@ def _one_length(classes: DataFrame, dims: int, threshold: float, seed: int) -> D
     drawn = classes.select("unit").orderBy(F.xxhash64("unit")).limit(SAMPLE).toPandas()["unit"]
     sample = np.frombuffer(b"".join(bytes(x) for x in drawn), np.float64).reshape(len(drawn), dims)
     bits = min(64, dims)
-    models = [learn(sample, bits, seed + i) for i in range(CODES)]
     width = int(min(bits, 40, max(8, round(np.log2(max(count, 2))))))
     if bits < width:
         width = bits
-    members = materialize(classes.select("c", "unit").mapInArrow(_codes(models, width), "k long, c long, code long"), "emb-keys")
     # Codes of vectors at the threshold differ in about angle / pi of the bits; allow four deviations more.
     p = float(np.arccos(np.clip(threshold, -1, 1)) / np.pi)
     most = int(np.ceil(bits * p + 4 * np.sqrt(bits * p * (1 - p))))
+    models = learn_enough(sample, bits, width, most, threshold, seed)
+    members = materialize(classes.select("c", "unit").mapInArrow(_codes(models, width), "k long, c long, code long"), "emb-keys")
 
     def verify(pairs: DataFrame) -> DataFrame:
         a = classes.select(F.col("c").alias("a"), F.col("unit").alias("unit_a"))

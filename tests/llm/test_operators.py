@@ -140,6 +140,36 @@ def test_embeddings(spark):
     assert all(got[i] == (0, i, True) for i in (900, 901, 902, 903))
 
 
+def test_embedding_recall_at_the_widths_of_large_tables():
+    import pyarrow as pa
+
+    from rulespan.llm import embedding
+
+    rng = np.random.default_rng(6)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    sample = unit(rng.normal(size=(3000, 64)) * np.linspace(1.5, 0.5, 64))
+    one = unit(rng.normal(size=(2000, 64)) * np.linspace(1.5, 0.5, 64))
+    away = rng.normal(size=one.shape)
+    two = 0.9 * one + np.sqrt(1 - 0.81) * unit(away - (away * one).sum(axis=1, keepdims=True) * one)
+
+    def recall(models, width):
+        def keys(x):
+            batch = pa.RecordBatch.from_arrays([pa.array(range(len(x))), pa.array([v.tobytes() for v in x], pa.binary())], names=["c", "unit"])
+            out = next(embedding._codes(models, width)(iter([batch])))
+            return set(zip(out.column(0).to_pylist(), out.column(1).to_pylist()))
+
+        return len({c for _, c in keys(one) & keys(two)}) / len(one)
+
+    for width in (8, 17, 22, 24, 27):
+        models = embedding.learn_enough(sample, 64, width, 21, 0.9, 11)
+        assert recall(models, width) >= 0.92, width
+        if width <= 17:
+            assert len(models) == 2
+        elif width >= 24:
+            # As many codes as small tables have are too few.
+            assert recall(models[:2], width) < 0.9
+
+
 def test_packing(docs, none):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
