@@ -43,7 +43,7 @@ def walk(roots: str, name: str = "tree", up: bool = False) -> str:
 
 RULE_ROOTS = "select distinct object as root from {rule}"
 CLASS_ROOTS = "select subject_class as root from {class_rule} union select object_class as root from {class_rule}"
-FEW_ROOTS = "select p_partkey as root from {part} where p_partkey % 50 = 7"
+ALL_ROOTS = "select p_partkey as root from {part}"
 
 
 @query("closure_down", f"with recursive {walk(RULE_ROOTS)} select root, node from tree")
@@ -64,10 +64,10 @@ def _(spark, d):
     return core.closure(edge, part.select(F.col("p_partkey").alias("root")))
 
 
-@query("closure_up", f"with recursive {walk(FEW_ROOTS, up=True)} select root, node from tree")
+@query("closure_up", f"with recursive {walk(ALL_ROOTS, up=True)} select root, node from tree")
 def _(spark, d):
     edge, part = rel(spark, d, "edge", "part")
-    return core.closure(edge, part.where("p_partkey % 50 = 7").select(F.col("p_partkey").alias("root")), up=True)
+    return core.closure(edge, part.select(F.col("p_partkey").alias("root")), up=True)
 
 
 # Candidate pairs and reach.
@@ -224,9 +224,9 @@ def _contributors(s, d):
 query("contributors", f"with recursive {CONTRIB} select effect, entity, magnitude from contrib")(_contributors)
 
 
-@query("effect_fires", f"with recursive {CONTRIB}, c as (select effect, count(*) filter (where magnitude = 'major') as majors, count(*) as total from contrib where entity % 4 = 0 group by 1) select c.effect, c.majors, c.total, c.majors >= e.t_major and c.total >= e.t_total as fires from c join {{effect}} e on e.effect = c.effect")
+@query("effect_fires", f"with recursive {CONTRIB}, c as (select effect, count(*) filter (where magnitude = 'major') as majors, count(*) as total from contrib group by 1) select c.effect, c.majors, c.total, c.majors >= e.t_major and c.total >= e.t_total as fires from c join {{effect}} e on e.effect = c.effect")
 def _(s, d):
-    c = _contributors(s, d).where("entity % 4 = 0").groupBy("effect").agg(F.sum(F.when(F.col("magnitude") == "major", 1).otherwise(0)).alias("majors"), F.count("*").alias("total"))
+    c = _contributors(s, d).groupBy("effect").agg(F.sum(F.when(F.col("magnitude") == "major", 1).otherwise(0)).alias("majors"), F.count("*").alias("total"))
     return c.join(relation(s, d, "effect"), "effect").select("effect", "majors", "total", rules.fires(F.col("majors"), F.col("total"), F.col("t_major"), F.col("t_total")).alias("fires"))
 
 

@@ -24,12 +24,12 @@ RELATIONS = {
     "effect": "select p_partkey as effect, p_partkey % 5 <> 0 as accumulates, p_partkey % 4 as t_major, 1 + p_partkey % 30 as t_total from {part} where p_partkey between 16 and 63",
     "grade": "select p_partkey as effect, 2 * p_partkey as contributor, case when p_partkey % 2 = 0 then 'major' else 'minor' end as magnitude from {part} where p_partkey between 16 and 63 and p_partkey % 3 <> 1 and 2 * p_partkey < 100",
     "condition": "select c_custkey as condition, concat(case when n_regionkey % 2 = 0 then 'C' else 'D' end, cast(n_regionkey as varchar(20)), '.', cast(n_nationkey as varchar(20)), '.', cast(c_custkey as varchar(20))) as tree from {customer} join {nation} on c_nationkey = n_nationkey",
-    "composition": "select distinct l_orderkey as composite, l_partkey as component, case l_returnflag when 'A' then true when 'R' then false else cast(null as boolean) end as is_active from {lineitem} where l_orderkey % 10 = 0",
+    "composition": "select distinct l_orderkey as composite, l_partkey as component, case l_returnflag when 'A' then true when 'R' then false else cast(null as boolean) end as is_active from {lineitem}",
     "claim": "select doc_id as entity, source as scheme, concat(lang, ':', cast(doc_id % 97 as varchar(20))) as value from {documents}",
     "product": "select p_partkey as product, p_name as name, concat(p_name, ' with ', p_type, ', ', p_name) as combined from {part}",
     "snapshot_a": "select o_orderkey as k, o_orderstatus as kind, round(o_totalprice) as v from {orders} where o_orderkey % 97 <> 0",
     "snapshot_b": "select o_orderkey as k, o_orderstatus as kind, round(o_totalprice) + case when o_orderkey % 89 = 0 then 1 else 0 end as v from {orders} where o_orderkey % 101 <> 0",
-    "signature": "select o_orderkey as id, o_custkey % 200 as target, o_custkey % 7 as key_id, o_orderdate as signed_at from {orders} where o_orderkey % 5 = 0",
+    "signature": "select o_orderkey as id, o_custkey % 200 as target, o_custkey % 7 as key_id, o_orderdate as signed_at from {orders}",
     "signing_key": "select 0 as key_id, 'active' as status union all select 1 as key_id, 'active' as status union all select 2 as key_id, 'retired' as status union all select 3 as key_id, 'compromised' as status union all select 4 as key_id, 'active' as status",
     "question_state": "select event_id as id, user_id as question, event_type as state from {events}",
 }

@@ -107,3 +107,20 @@ def test_queries_have_sql():
     from rulespan import catalog
 
     assert set(catalog.queries()) == set(catalog.oracle_sql())
+
+
+def test_queries_read_whole_tables(spark, tmp_path):
+    from rulespan.catalog import queries
+    from rulespan.plans.adapters import relation
+
+    d = str(tmp_path)
+    frame(spark, [(i, i % 9, "1995-01-01", "F") for i in range(40)], "o_orderkey long, o_custkey long, o_orderdate string, o_orderstatus string").write.parquet(f"{d}/orders.parquet")
+    frame(spark, [(i, 20 + i % 5, i % 11, "A") for i in range(40)], "l_orderkey long, l_partkey long, l_suppkey long, l_returnflag string").write.parquet(f"{d}/lineitem.parquet")
+    frame(spark, [(i,) for i in range(64)], "p_partkey long").write.parquet(f"{d}/part.parquet")
+    ids = {r.id for r in relation(spark, d, "signature").collect()}
+    assert ids == set(range(40))
+    assert {r.composite for r in queries()["group_fires"](spark, d).collect()} == set(range(40))
+    assert {r.root for r in queries()["closure_up"](spark, d).collect()} == set(range(64))
+    contributors = {(r.effect, r.entity) for r in queries()["contributors"](spark, d).collect()}
+    totals = {r.effect: r.total for r in queries()["effect_fires"](spark, d).collect()}
+    assert contributors and totals == {e: sum(x == e for x, _ in contributors) for e, _ in contributors}
