@@ -10,6 +10,8 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
+#: Ranks that are selected at a time.
+SELECTED = 1 << 16
 #: Integers that are coded at a time.
 BUILT = 1 << 18
 _POP8 = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -19,11 +21,13 @@ _SELECT8 = np.array([[([j for j in range(8) if i >> j & 1] + [0] * 8)[k] for k i
 
 def _select(words: np.ndarray, before: np.ndarray, rank: np.ndarray, zeros: bool = False) -> np.ndarray:
     """Places of the ones (or zeros) of the given ranks. ``before``: how many come before each word."""
+    if len(rank) > SELECTED:
+        return np.concatenate([_select(words, before, rank[i : i + SELECTED], zeros) for i in range(0, len(rank), SELECTED)])
     word = np.searchsorted(before, rank, "right") - 1
     left = rank - before[word]
     own = ~words[word] if zeros else words[word]
     octets = own.view(np.uint8).reshape(-1, 8)
-    counts = np.cumsum(_POP8[octets], axis=1, dtype=np.int64)
+    counts = np.cumsum(_POP8[octets], axis=1, dtype=np.uint8)
     byte = (counts <= left[:, None]).sum(axis=1)
     row = np.arange(len(rank))
     left = left - np.where(byte > 0, counts[row, np.maximum(byte - 1, 0)], 0)
