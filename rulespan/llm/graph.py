@@ -46,7 +46,7 @@ def _is_forest_of_stars(links: DataFrame) -> bool:
 def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], codes: DataFrame | None = None, near: Callable[[Column, Column], Column] | None = None, rounds: int = 3) -> DataFrame:
     """Components of the verified links between members of the same bucket.
 
-    ``members(k, c)``: item c is in bucket k. ``verify(pairs(a, b))`` returns the pairs
+    ``members(k, c)``: item c is in bucket k; a table already written is deleted when it is spent. ``verify(pairs(a, b))`` returns the pairs
     that really are links. ``codes(c, code)`` and ``near(code, code)`` may rule pairs out
     before that, as a condition of the joins that make them.
 
@@ -57,7 +57,7 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], c
     compared pair by pair, again between different components only, so that no
     connection is missed. Returns ``(node, label)`` for linked items."""
     spark = members.sparkSession
-    left = materialize(members.select("k", "c").distinct(), "members")
+    left = members if hasattr(members, "_written_to") else materialize(members.select("k", "c"), "members")
     labels: DataFrame | None = None
 
     def coded(rows: DataFrame, c: str, code: str) -> DataFrame:

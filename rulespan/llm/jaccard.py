@@ -13,6 +13,11 @@ shingle share the smaller one. Larger allowances make fewer and longer, hence mo
 selective segments and more keys. The allocation is chosen by cost for each band: keys
 written plus unrelated sets expected to share a subset, from the band's number of sets.
 
+Most keys are those of one set and only serve to find that out, so keys are dealt once
+and packed: a block of some sets' keys is sorted, cut by key range and coded as
+differences. Keys are shortened to some ten bits more than it takes to tell all of them
+apart, which may make sets meet that share no key but loses no meeting.
+
 Candidates are verified exactly on the whole sets. Documents of equal sets are one
 class and links are sought between classes; large groups go through
 :func:`rulespan.llm.graph.link_buckets` and are never expanded into all pairs.
@@ -26,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +42,10 @@ from rulespan.llm.textkit import Rolling, Words, i64, mix, slices
 U = np.uint64
 #: Bytes of text that are hashed at a time.
 SLICE = 1 << 18
+#: Keys that are packed at a time, sets at most, and keys that one task unpacks, about.
+BLOCK = 1 << 20
+SETS = 1 << 16
+DEALT = 1 << 21
 #: Chance that an unrelated set has a given shingle, in the cost of an allocation.
 SHARED = 0.1
 
@@ -97,6 +107,17 @@ class Bands:
             self.chosen[band] = (h + 1 - ones, ones)
         return self.chosen[band]
 
+    def expected(self) -> int:
+        """Keys of all sets, about."""
+        total = 0.0
+        for band, n in self.sets.items():
+            size = math.exp((band + 0.5) * self.step)
+            for index in (band, band - 1):
+                if index >= 0:
+                    m, ones = self.allocation(index)
+                    total += n * (m + ones / m * size)
+        return int(total)
+
     def keys(self, s: np.ndarray) -> np.ndarray:
         """Index keys of a set: subsets of segments, for its own band and the one below."""
         out = []
@@ -128,18 +149,91 @@ def _classes(words: int, lower: bool):
     return run
 
 
-def _keys(words: int, lower: bool, bands: Bands):
+def pack_keys(k: np.ndarray, owner: np.ndarray, classes: np.ndarray) -> bytes:
+    """Sorted keys and their owners' places among ``classes``, as one compressed string."""
+    here = np.zeros(len(classes), bool)
+    here[owner] = True
+    used = classes[here]
+    place = (np.cumsum(here) - 1)[owner].astype(np.uint16)
+    planes = [np.diff(x.astype(np.int64), prepend=np.int64(0)).view(np.uint8).reshape(-1, 8).T for x in (k, used)]
+    raw = b"".join(np.ascontiguousarray(x).tobytes() for x in (*planes, place.view(np.uint8).reshape(-1, 2).T))
+    return len(k).to_bytes(4, "little") + len(used).to_bytes(4, "little") + zstandard.compress(raw, 1)
+
+
+def unpack_keys(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, classes) of a packed string."""
+    n, m = int.from_bytes(blob[:4], "little"), int.from_bytes(blob[4:8], "little")
+    raw = np.frombuffer(zstandard.decompress(blob[8:]), np.uint8)
+    k, used = (np.cumsum(np.ascontiguousarray(x.reshape(8, -1).T).view(np.int64).ravel()) for x in (raw[: 8 * n], raw[8 * n : 8 * (n + m)]))
+    place = np.ascontiguousarray(raw[8 * (n + m) :].reshape(2, -1).T).view(np.uint16).ravel()
+    return k, used[place]
+
+
+def _key_blocks(words: int, lower: bool, bands: Bands, parts: int, bits: int):
+    """Packed keys of the texts' sets, by range: (part, block)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        owners: list[int] = []
+
+        def flush():
+            classes = np.array(owners, np.int64)
+            k = np.concatenate(held) >> U(64 - bits)
+            # Classes in order, so that their differences are small.
+            rank = np.empty(len(classes), np.uint16)
+            order = np.argsort(classes, kind="stable")
+            rank[order] = np.arange(len(classes))
+            owner = np.repeat(rank, [len(x) for x in held])
+            at = np.argsort(k, kind="stable")
+            k, owner, classes = k[at], owner[at], classes[order]
+            part = ((k >> U(bits - 32)) * U(parts)) >> U(32)
+            cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist()
+            blocks = [pack_keys(k[x:y], owner[x:y], classes) for x, y in zip(cut, [*cut[1:], len(k)])]
+            held.clear()
+            owners.clear()
+            return pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32)), pa.array(blocks, pa.binary())], names=["part", "block"])
+
+        size = 0
         for batch in batches:
-            cls = batch.column(0).to_numpy(zero_copy_only=False)
+            cls = batch.column(0).to_pylist()
             for a, sets in shingle_sets(batch.column(1), words, lower):
-                keys = [bands.keys(s) for s in sets]
-                owner = np.repeat(cls[a : a + len(sets)], [len(k) for k in keys])
-                yield pa.RecordBatch.from_arrays([pa.array(i64(np.concatenate(keys) if keys else np.zeros(0, U))), pa.array(owner)], names=["k", "c"])
+                for c, s in zip(cls[a : a + len(sets)], sets):
+                    if len(s):
+                        held.append(bands.keys(s))
+                        owners.append(c)
+                        size += len(held[-1])
+                    if size >= BLOCK or len(owners) == SETS:
+                        yield flush()
+                        size = 0
+        if held:
+            yield flush()
 
     return run
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for blob in batch.column(0):
+            k, c = unpack_keys(blob.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], names=["k", "c"])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of k: those whose k another row has. Of a long run one row is held."""
+    last_k, last_c, told = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k, c = (np.concatenate([x, batch.column(i).to_numpy(zero_copy_only=False)]) for i, x in enumerate((last_k, last_c)))
+        same = k[1:] == k[:-1]
+        keep = np.append(same, False) | np.append(False, same)
+        last_k, last_c, next_told = k[-1:], c[-1:], bool(keep[-1])
+        if told:
+            keep[0] = False
+        told = next_told or (told and len(k) == 1)
+        yield pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(c[keep])], names=["k", "c"])
+
+
 def _sets(words: int, lower: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,27 +290,31 @@ def may_link(percent: int):
     return near
 
 
+def similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the similarity; sizes alone may rule it out."""
+    lo, hi = sorted((len(s), len(t)))
+    if 100 * lo < percent * hi:
+        return False
+    at = np.searchsorted(t, s)
+    at[at == len(t)] = 0
+    both = int((t[at] == s).sum())
+    return 100 * both >= percent * (len(s) + len(t) - both)
+
+
 def _verify(percent: int):
     """Rows in the order (centre, salt, centre first): which others reach the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, mine = None, None
+        centre, mine = None, []
         for batch in batches:
             a, b = [], []
             for x, salt, other, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 s = np.frombuffer(raw, U)
                 if other is None:
-                    centre, mine = (x, salt), s
-                    continue
-                assert centre == (x, salt)
-                # Sizes alone may rule a pair out.
-                lo, hi = sorted((len(s), len(mine)))
-                if 100 * lo < percent * hi:
-                    continue
-                at = np.searchsorted(mine, s)
-                at[at == len(mine)] = 0
-                both = int((mine[at] == s).sum())
-                if 100 * both >= percent * (len(s) + len(mine) - both):
+                    # Several only where doc_ids repeat.
+                    mine = [*mine, s] if centre == (x, salt) else [s]
+                    centre = (x, salt)
+                elif any(similar(s, m, percent) for m in mine):
                     a.append(x)
                     b.append(other)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -252,33 +350,36 @@ def join_components(docs: DataFrame, percent: int = 90, words: int = 3, lower: b
     ``docs(doc_id, text)``; returns doc_id, n_shingles (set size), class_id (least doc_id
     of an equal set) and component_id (least doc_id reachable by links). Two documents
     link when 100 * intersection >= percent * union. Texts with fewer words than a
-    shingle are one shingle; null texts and texts without words link with nothing. An
-    empty table gives no rows; other columns are ignored."""
+    shingle are one shingle; null texts and texts without words link with nothing. Rows
+    that repeat, and different texts of one doc_id, are one node, which links with
+    whatever one of its texts links with. An empty table gives no rows; other columns are
+    ignored."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = materialize(docs.mapInArrow(_classes(words, lower), "doc_id long, n_shingles long, c long, c2 long"), "jac-classes")
-    classes = base.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("class_id"), F.min("c2").alias("lo"), F.max("c2").alias("hi"), F.first("n_shingles").alias("size"))
-    classes = classes.withColumn("class_id", F.when(F.col("lo") == F.col("hi"), F.col("class_id")).otherwise(F.raise_error("two sets share a 64-bit class")))
-    classes = materialize(classes.select("c", "class_id", "size"), "jac-class")
+    classes = base.where("c is not null").groupBy("c", "c2").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("size"))
+    classes = materialize(classes, "jac-class")
     # One row per band of sizes: some 22 bands for each factor of ten.
     step = math.log(100 / percent)
     histogram = classes.groupBy(F.floor(F.log(F.col("size").cast("double")) / step + 1e-9).alias("band")).count().collect()
     bands = Bands(percent, {r["band"]: r["count"] for r in histogram})
-    first = docs.join(classes.select(F.col("class_id").alias("doc_id"), "c"), "doc_id").select("c", "text")
-    members = materialize(first.mapInArrow(_keys(words, lower, bands), "k long, c long"), "jac-keys")
+    expected = bands.expected()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-expected // DEALT))
+    bits = min(64, max(32, expected.bit_length() + 10))
+    # A class is known by its least doc_id, whose row's text stands for all.
+    first = docs.join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text")
+    blocks = first.mapInArrow(_key_blocks(words, lower, bands, parts, bits), "part int, block binary")
+    members = blocks.repartitionById(parts, F.col("part")).select("block").mapInArrow(_unpacked, "k long, c long")
+    members = materialize(members.sortWithinPartitions("k").mapInArrow(_shared, "k long, c long"), "jac-shared")
     release(spark)
-    # A class has a key once, so a key's rows are its classes (more only where doc_ids repeat).
-    shared = members.groupBy("k").count().where("count > 1").select("k")
-    members2 = materialize(members.join(shared, "k"), "jac-shared")
-    release(spark, members)
-    active = members2.select("c").distinct()
-    texts = docs.join(active.join(classes, "c").select(F.col("class_id").alias("doc_id"), "c"), "doc_id").select("c", "text")
+    active = members.select(F.col("c").alias("doc_id")).distinct()
+    texts = docs.join(active, "doc_id").select(F.col("doc_id").alias("c"), "text")
     sets = materialize(texts.mapInArrow(_sets(words, lower), "c long, items binary, code struct<n:long,p0:long,p1:long,p2:long,p3:long>, parity binary"), "jac-sets")
     release(spark)
-    labels = link_buckets(members2, verifier(sets, percent), sets.select("c", "code"), may_link(percent))
-    release(spark, members2, sets)
-    named = classes.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
-    least = named.groupBy("label").agg(F.min("class_id").alias("component_id"))
-    named = materialize(named.join(least, "label").select("c", "class_id", "component_id"), "jac-named")
-    out = base.join(named, "c", "left")
+    labels = link_buckets(members, verifier(sets, percent), sets.select("c", "code"), may_link(percent))
+    release(spark, sets)
+    named = classes.select("c", "c2", "class_id").join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
+    named = materialize(named.select("c", "c2", "class_id", F.coalesce("label", "class_id").alias("component_id")), "jac-named")
+    release(spark, classes)
+    out = base.join(named, ["c", "c2"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -389,3 +389,32 @@ def test_long_parities_never_exceed_the_difference():
             assert odd == odd_cells(long_parities(b), long_parities(a))
             assert odd <= len(np.setxor1d(a, b))
         assert odd_cells(long_parities(a), long_parities(a)) == 0
+
+
+def test_packed_keys_round_trip():
+    import pyarrow as pa
+
+    from rulespan.llm.jaccard import _shared, pack_keys, unpack_keys
+
+    rng = np.random.default_rng(8)
+    classes = np.sort(rng.choice(10**12, 300, replace=False)).astype(np.int64)
+    k = np.sort(rng.integers(0, 2**40, 5000).astype(np.uint64))
+    owner = rng.integers(0, 300, 5000).astype(np.uint16)
+    got_k, got_c = unpack_keys(pack_keys(k, owner, classes))
+    assert (got_k == k.astype(np.int64)).all() and (got_c == classes[owner]).all()
+    # Runs across batches, of any length, lose no row and single rows go.
+    rows = [(1, 1), (2, 1), (2, 2), (3, 9), (5, 1), (5, 2), (5, 3), (5, 4), (7, 1), (8, 1), (8, 2)]
+    for width in (1, 2, 3, 20):
+        parts = [rows[i : i + width] for i in range(0, len(rows), width)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([x for x, _ in p]), pa.array([y for _, y in p])], names=["k", "c"]) for p in parts]
+        got = [tuple(r.values()) for b in _shared(iter(batches)) for r in b.to_pylist()]
+        assert sorted(got) == [r for r in rows if r[0] in (2, 5, 8)]
+
+
+def test_jaccard_rows_of_one_doc_id_are_one_node(spark):
+    from rulespan.llm.jaccard import join_components
+
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (1, a), (2, a), (3, b), (3, a + " z"), (4, b + " z"), (5, "alone here now")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in join_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 58, 1), (1, 58, 1), (2, 58, 1), (3, 58, 1), (3, 59, 1), (4, 59, 1), (5, 1, 5)]
