@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,15 +38,18 @@ from pyspark.sql import functions as F
 
 from rulespan.llm.common import materialize, release
 from rulespan.llm.graph import link_buckets
+from rulespan.llm.suffix import TupleQueue
 from rulespan.llm.textkit import Rolling, Words, i64, mix, slices
 
 U = np.uint64
 #: Bytes of text that are hashed at a time.
 SLICE = 1 << 18
-#: Keys that are packed at a time, sets at most, and keys that one task unpacks, about.
-BLOCK = 1 << 20
+#: Keys that are packed at a time, sets at most, keys that one task unpacks, about, and
+#: those that it sorts in memory.
+BLOCK = 1 << 19
 SETS = 1 << 16
 DEALT = 1 << 21
+SORTED = 1 << 20
 #: Chance that an unrelated set has a given shingle, in the cost of an allocation.
 SHARED = 0.1
 
@@ -212,10 +216,15 @@ def _key_blocks(words: int, lower: bool, bands: Bands, parts: int, bits: int):
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for blob in batch.column(0):
-            k, c = unpack_keys(blob.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], names=["k", "c"])
+    """Packed strings of a range -> the keys that several rows have: (k, c). Keys are sorted
+    by a queue that goes to disk beyond its buffer, so a key of very many sets is no larger
+    in memory than others."""
+    with tempfile.TemporaryDirectory() as folder:
+        queue = TupleQueue(folder, SORTED)
+        for batch in batches:
+            for blob in batch.column(0):
+                queue.push(*unpack_keys(blob.as_py()))
+        yield from _shared(pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], names=["k", "c"]) for k, c in queue.pop_all())
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,7 +379,7 @@ def join_components(docs: DataFrame, percent: int = 90, words: int = 3, lower: b
     first = docs.join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text")
     blocks = first.mapInArrow(_key_blocks(words, lower, bands, parts, bits), "part int, block binary")
     members = blocks.repartitionById(parts, F.col("part")).select("block").mapInArrow(_unpacked, "k long, c long")
-    members = materialize(members.sortWithinPartitions("k").mapInArrow(_shared, "k long, c long"), "jac-shared")
+    members = materialize(members, "jac-shared")
     release(spark)
     active = members.select(F.col("c").alias("doc_id")).distinct()
     texts = docs.join(active, "doc_id").select(F.col("doc_id").alias("c"), "text")
