@@ -37,8 +37,8 @@ LENGTH = 100
 GRAM = 24
 #: Bytes of text that are hashed at a time.
 SLICE = 1 << 17
-#: Symbols that one suffix sort takes in memory; larger ones use the disk.
-SHARD = 3_000_000
+#: Symbols that one suffix sort takes in memory (some 200 bytes each); larger ones use the disk.
+SHARD = 1_000_000
 #: Runs that are trimmed at a time, at least; an anchor's runs stay together.
 TRIM = 20_000
 
