@@ -1,18 +1,23 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-The model interpolates orders by absolute discounting: a kept n-gram hw of count c has
-p(w|h) = (c - D) / c(h) + b(h) p(w|h'), any other b(h) p(w|h'), where b(h) is what the
+The model interpolates orders by absolute discounting: p(w|h) = q(hw) + b(h) p(w|h'), where
+q is (c - D) / c(h) for a kept n-gram hw of count c and 0 for others, and b(h) is what the
 kept ones of the context leave, so that probabilities of a context sum to one. The
 lowest order is the add-0.1 unigram. N-grams are kept from ``least`` occurrences on (by
 default all are), and from order 3 only if the (n-1)-grams they consist of are kept.
 
 A level is a table of shards, each a file of the shared folder with contexts, monotone
-pointers to each context's children, and the children's word ids, all Elias-Fano
-coded; ids are stored relative to their context (added to the value before the
-context's first child), which makes one monotone sequence of them and the search for a
-child a successor search within the context's bounds. Probabilities and back-off
-weights are quantised to a byte. Shards are memory-mapped, so a model larger than
-memory is paged in; they grow with the corpus in number, not in size.
+pointers to each context's children, the children's word ids and the running sum of their
+counts, all Elias-Fano coded; ids are stored relative to their context (added to the value
+before the context's first child), which makes one monotone sequence of them and the
+search for a child a successor search within the context's bounds. The smoothed parts q and
+b are quantised to 16 bits of their logarithms, downwards, so a context's probabilities
+never sum to more than one. Shards are memory-mapped, a bounded number at a time, so a
+model larger than memory is paged in; they grow with the corpus in number, not in size.
+
+N-grams are counted in blocks, packed and dealt by ranges of equal numbers of
+occurrences; a common context's children may lie in several ranges. A range is sorted by
+a queue that goes to disk, and read off into shards of bounded size.
 
 Words are numbered by their hashes' order in the first level, which is sharded by the
 hashes' first bits.
@@ -24,16 +29,19 @@ import json
 import os
 import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulespan.llm.common import materialize, new_path, release
 from rulespan.llm.elias_fano import EliasFano
+from rulespan.llm.suffix import TupleQueue
 from rulespan.llm.textkit import Words, i64, mix, slices
 
 U = np.uint64
@@ -42,25 +50,29 @@ END = int(mix(np.array([0x656E64], U))[0])
 ORDER = 3
 LEAST = 1
 DISCOUNT = 0.75
-#: N-grams of a shard, about.
-SHARD = 4_000_000
-#: Tokens that are counted at a time.
+#: Words, and n-grams, of a shard, at most about.
+SHARD = 1_500_000
+#: Occurrences of n-grams that one task sorts, about, and those it holds in memory.
+DEALT = 3_000_000
+SORTED = 1_000_000
+#: Tokens that are counted and looked up at a time; one text at least.
 COUNTED = 2_000_000
+TOKENS = 500_000
 SLICE = 1 << 18
-#: Texts, and n-grams of a shard, whose numbers are looked up at a time.
-TEXTS = 2048
-LOOKED_UP = 1 << 18
+#: Shards that a process maps at a time.
+MAPPED = 256
 #: Quantised log10 values lie between this and 0.
 FLOOR = -9.0
+STEPS = 65535
 
 
 def quantise(x: np.ndarray) -> np.ndarray:
-    """log10 values in [FLOOR, 0] as bytes."""
-    return np.clip(np.round(x / FLOOR * 255), 0, 255).astype(np.uint8)
+    """Values in (0, 1] as 16 bits of their log10, rounded down."""
+    return np.clip(np.ceil(np.log10(x) / FLOOR * STEPS - 1e-9), 0, STEPS).astype(np.uint16)
 
 
 def value_of(q: np.ndarray) -> np.ndarray:
-    return q.astype(np.float64) * (FLOOR / 255)
+    return 10 ** (q.astype(np.float64) * (FLOOR / STEPS))
 
 
 def save(uri: str, arrays: dict[str, np.ndarray]) -> str:
@@ -82,28 +94,33 @@ def save(uri: str, arrays: dict[str, np.ndarray]) -> str:
     return file
 
 
-_maps: dict[str, dict[str, np.ndarray]] = {}
+_maps: OrderedDict[str, dict[str, np.ndarray]] = OrderedDict()
 
 
 def load(uri: str, file: str) -> dict[str, np.ndarray]:
-    """The arrays of a file, memory-mapped; kept for the process's next calls. A store that
-    isn't a local path is copied to a file that is unlinked once it is mapped."""
+    """The arrays of a file, memory-mapped; the last ``MAPPED`` are kept for the process's
+    next calls. A store that isn't a local path is copied to a file that is unlinked once
+    it is mapped."""
     key = f"{uri}/{file}"
-    if key not in _maps:
-        store, base = pafs.FileSystem.from_uri(key)
-        if isinstance(store, pafs.LocalFileSystem):
-            raw = np.memmap(base, np.uint8, "r")
-        else:
-            fd, path = tempfile.mkstemp()
-            with os.fdopen(fd, "wb") as out, store.open_input_stream(base) as f:
-                while part := f.read(1 << 22):
-                    out.write(part)
-            raw = np.memmap(path, np.uint8, "r")
-            os.unlink(path)
-        size = int.from_bytes(bytes(raw[:8]), "little")
-        head = json.loads(bytes(raw[8 : 8 + size]))
-        start = 8 + size
-        _maps[key] = {name: raw[start + at : start + at + n * np.dtype(kind).itemsize].view(kind) for name, kind, n, at in head}
+    if key in _maps:
+        _maps.move_to_end(key)
+        return _maps[key]
+    store, base = pafs.FileSystem.from_uri(key)
+    if isinstance(store, pafs.LocalFileSystem):
+        raw = np.memmap(base, np.uint8, "r")
+    else:
+        fd, path = tempfile.mkstemp()
+        with os.fdopen(fd, "wb") as out, store.open_input_stream(base) as f:
+            while part := f.read(1 << 22):
+                out.write(part)
+        raw = np.memmap(path, np.uint8, "r")
+        os.unlink(path)
+    size = int.from_bytes(bytes(raw[:8]), "little")
+    head = json.loads(bytes(raw[8 : 8 + size]))
+    start = 8 + size
+    _maps[key] = {name: raw[start + at : start + at + n * np.dtype(kind).itemsize].view(kind) for name, kind, n, at in head}
+    while len(_maps) > MAPPED:
+        _maps.popitem(last=False)
     return _maps[key]
 
 
@@ -115,40 +132,66 @@ def _unpacked(name: str, arrays: dict[str, np.ndarray]) -> EliasFano:
     return EliasFano.of([arrays[f"{name}{i}"] for i in range(5)])
 
 
+def _running(c: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts as their running sum, from 0."""
+    total = np.concatenate([[0], np.cumsum(c)])
+    return _packed("sum", EliasFano.build(total, int(total[-1]) + 1))
+
+
+class Counts:
+    """Counts of numbered items that lie in files one after the other: how often an item
+    occurs, and how often all before it."""
+
+    def __init__(self, uri: str, sizes: list[int], occurrences: list[int], files: list[str]):
+        self.uri, self.files = uri, files
+        self.base = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.before = np.concatenate([[0], np.cumsum(occurrences)]).astype(np.int64)
+        self.size, self.total = int(self.base[-1]), int(self.before[-1])
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(count, occurrences of lesser numbers) of each number."""
+        count, before = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
+        which = np.searchsorted(self.base, numbers, "right") - 1
+        for s in np.unique(which).tolist():
+            mine = np.flatnonzero(which == s)
+            sums = _unpacked("sum", load(self.uri, self.files[s]))
+            local = numbers[mine] - self.base[s]
+            first = sums.access(local).astype(np.int64)
+            count[mine] = sums.access(local + 1).astype(np.int64) - first
+            before[mine] = first + self.before[s]
+        return count, before
+
+
 class Vocabulary:
     """First level: word hashes in order, their counts, and numbers."""
 
-    def __init__(self, uri: str, shards: list[tuple[int, int, str]], bits: int, total: int):
-        self.uri, self.bits, self.total = uri, bits, total
-        self.shards = sorted(shards)
-        sizes = [s[1] for s in self.shards]
-        self.base = dict(zip((s[0] for s in self.shards), np.cumsum([0, *sizes[:-1]]).tolist())) if sizes else {}
-        self.size = sum(sizes)
-
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(number or -1, count) of each word hash."""
-        number, count = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
+    def __init__(self, uri: str, shards: list[tuple[int, int, int, str]], bits: int):
+        #: (first bits of the hashes, words, occurrences, file), in order
+        shards = sorted(shards)
+        self.uri, self.bits = uri, bits
+        self.shard = np.array([s[0] for s in shards], np.int64)
+        self.counts = Counts(uri, [s[1] for s in shards], [s[2] for s in shards], [s[3] for s in shards])
+        self.size, self.total = self.counts.size, self.counts.total
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each word hash, or -1."""
+        number = np.full(len(hashes), -1, np.int64)
         which = (hashes >> U(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(hashes), np.int64)
-        for shard, n, file in self.shards:
-            mine = np.flatnonzero(which == shard)
-            if not len(mine):
+        for k in np.unique(which).tolist():
+            s = int(np.searchsorted(self.shard, k))
+            if s == len(self.shard) or self.shard[s] != k:
                 continue
-            arrays = load(self.uri, file)
-            ef = _unpacked("hash", arrays)
+            mine = np.flatnonzero(which == k)
             x = hashes[mine] & U((1 << (64 - self.bits)) - 1) if self.bits else hashes[mine]
-            at = ef.find(x)
-            hit = at >= 0
-            number[mine[hit]] = self.base[shard] + at[hit]
-            count[mine[hit]] = arrays["count"][at[hit]]
-        return number, count
+            at = _unpacked("hash", load(self.uri, self.counts.files[s])).find(x)
+            number[mine] = np.where(at >= 0, self.counts.base[s] + at, -1)
+        return number
 
-    def counts(self, numbers: np.ndarray) -> np.ndarray:
+    def of(self, numbers: np.ndarray) -> np.ndarray:
+        """Counts of numbers, 0 for -1."""
         out = np.zeros(len(numbers), np.int64)
-        for shard, n, file in self.shards:
-            b = self.base[shard]
-            mine = np.flatnonzero((numbers >= b) & (numbers < b + n))
-            if len(mine):
-                out[mine] = load(self.uri, file)["count"][numbers[mine] - b]
+        known = np.flatnonzero(numbers >= 0)
+        out[known] = self.counts.of(numbers[known])[0]
         return out
 
     def base_log(self, count: np.ndarray) -> np.ndarray:
@@ -158,169 +201,205 @@ class Vocabulary:
 class Level:
     """N-grams of one order, by context number and word number."""
 
-    def __init__(self, uri: str, shards: list[tuple[int, int, int, str]]):
-        #: (first context, last context, n-grams, file), in order
-        self.uri, self.shards = uri, sorted(shards)
-        self.first = np.array([s[0] for s in self.shards], np.int64)
-        self.base = np.concatenate([[0], np.cumsum([s[2] for s in self.shards])]).astype(np.int64)
+    def __init__(self, uri: str, shards: list[dict], totals: Counts):
+        shards = sorted(shards, key=lambda s: (s["first"], s["word"]))
+        self.uri, self.files = uri, [s["file"] for s in shards]
+        self.first, self.word, self.last = (np.array([s[k] for s in shards], np.int64) for k in ("first", "word", "last"))
+        self.counts = Counts(uri, [s["n"] for s in shards], [s["occurrences"] for s in shards], self.files)
+        self.base, self.size = self.counts.base, self.counts.size
+        # What contexts leave that lie in several shards: a context at a shard's edge each.
+        parts: dict[int, list[float]] = {}
+        for s in shards:
+            parts.setdefault(s["first"], []).append(s["head"])
+            if s["last"] != s["first"]:
+                parts.setdefault(s["last"], []).append(s["tail"])
+        split = sorted(c for c, x in parts.items() if len(x) > 1)
+        self.split = np.array(split, np.int64)
+        total = totals.of(self.split)[0] if split else np.zeros(0)
+        self.left = np.array([_left(sum(parts[c]), t) for c, t in zip(split, total.tolist())])
+
+    def _shard(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The shard that would hold each n-gram, -1 before the first."""
+        which = np.searchsorted(self.first, context, "right") - 1
+        opens = np.searchsorted(self.first, context, "left")
+        for c in np.unique(context[(opens <= which) & (which >= 0)]).tolist():
+            lo, hi = (int(np.searchsorted(self.first, c, side)) for side in ("left", "right"))
+            mine = np.flatnonzero(context == c)
+            at = lo + np.searchsorted(self.word[lo:hi], word[mine], "right") - 1
+            # Words before the context's first shard lie in it too, unless the one before ends with the context.
+            which[mine] = at if lo and self.last[lo - 1] == c else np.maximum(at, lo)
+        return which
 
     def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(number or -1, log10 p, log10 back-off weight of the context) of n-grams.
-        A context that the level doesn't have backs off with weight 1."""
+        """(number or -1, discounted probability or 0, what the context leaves) of n-grams in
+        the order of their contexts. A context that the level doesn't have leaves all."""
         n = len(context)
-        number, p, back = np.full(n, -1, np.int64), np.zeros(n), np.zeros(n)
-        if not self.shards:
-            return number, p, back
-        which = np.searchsorted(self.first, context, "right") - 1
+        number, q, left = np.full(n, -1, np.int64), np.zeros(n), np.ones(n)
+        if not self.files:
+            return number, q, left
+        which = self._shard(context, word)
         for s in np.unique(which[which >= 0]).tolist():
-            lo_c, hi_c, size, file = self.shards[s]
-            mine = np.flatnonzero((which == s) & (context <= hi_c))
+            mine = np.flatnonzero((which == s) & (context <= self.last[s]))
             if not len(mine):
                 continue
-            arrays = load(self.uri, file)
+            arrays = load(self.uri, self.files[s])
             contexts, pointer, child = (_unpacked(k, arrays) for k in ("context", "pointer", "child"))
             # Bounds and base are looked up once for each context.
-            own, each = np.unique(context[mine], return_inverse=True)
-            at = contexts.find((own - lo_c).astype(U))
+            opens = np.flatnonzero(np.diff(context[mine], prepend=-1))
+            own, each = context[mine][opens], np.repeat(np.arange(len(opens)), np.diff(np.append(opens, len(mine))))
+            at = contexts.find((own - self.first[s]).astype(U))
             have = at >= 0
             at = np.maximum(at, 0)
             first, stop = pointer.access(at).astype(np.int64), pointer.access(at + 1).astype(np.int64)
             # Words are relative to the value before the context's first child.
             start = np.zeros(len(own), U)
             start[first > 0] = child.access(first[first > 0] - 1) + U(1)
-            weight = np.where(have, value_of(arrays["back"][at]), 0.0)
-            back[mine] = weight[each]
+            left[mine] = np.where(have, value_of(arrays["left"][at]), 1.0)[each]
             mine, each = mine[have[each]], each[have[each]]
             found = child.find(start[each] + word[mine].astype(U))
             ok = (found >= first[each]) & (found < stop[each])
             number[mine[ok]] = self.base[s] + found[ok]
-            p[mine[ok]] = value_of(arrays["p"][found[ok]])
-        return number, p, back
+            q[mine[ok]] = value_of(arrays["q"][found[ok]])
+        if len(self.split):
+            at = np.minimum(np.searchsorted(self.split, context), len(self.split) - 1)
+            left = np.where(self.split[at] == context, self.left[at], left)
+        return number, q, left
+
+
+def _left(kept: float, total: float) -> float:
+    """What a context leaves, as it is stored."""
+    return float(value_of(quantise(np.array([max(1 - kept / total, 1e-9)])))[0])
 
 
 def build_vocabulary(counts: DataFrame, uri: str) -> Vocabulary:
     """``counts(hash, count)``, a row per training word."""
-    spark = counts.sparkSession
-    n, total = counts.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
+    n = counts.count()
     bits = max(0, int(n // SHARD).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, parts, out = None, [], []
-
-        def done():
-            h = np.concatenate([x for x, _ in parts]).view(U)
-            c = np.concatenate([x for _, x in parts])
+        parts = [[batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)] for batch in batches if batch.num_rows]
+        out = []
+        if parts:
+            shard = int(parts[0][0][0])
+            h = np.concatenate([x[1] for x in parts]).view(U)
+            c = np.concatenate([x[2] for x in parts])
             order = np.argsort(h)
             h, c = h[order], c[order]
             if bits:
                 h = h & U((1 << (64 - bits)) - 1)
-            kind = np.uint32 if c.max(initial=0) < 2**32 else np.uint64
-            out.append((shard, len(h), save(uri, _packed("hash", EliasFano.build(h, 1 << (64 - bits))) | {"count": c.astype(kind)})))
-
-        for batch in batches:
-            s, h, c = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            for k in np.unique(s).tolist():
-                if k != shard:
-                    if parts:
-                        done()
-                    shard, parts = k, []
-                parts.append((h[s == k], c[s == k]))
-        if parts:
-            done()
-        cols = list(zip(*out)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], names=["shard", "n", "file"])
+            out = [(shard, len(h), int(c.sum()), save(uri, _packed("hash", EliasFano.build(h, 1 << (64 - bits))) | _running(c)))]
+        cols = list(zip(*out)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols[:3]), pa.array(cols[3], pa.string())], names=["shard", "n", "occurrences", "file"])
 
     shard = F.shiftrightunsigned("hash", 64 - bits) if bits else F.lit(0).cast("long")
-    rows = counts.select(shard.alias("shard"), "hash", "count").repartition(1 << bits, "shard").sortWithinPartitions("shard")
-    shards = [tuple(r) for r in rows.mapInArrow(run, "shard long, n long, file string").collect()]
-    return Vocabulary(uri, shards, bits, int(total))
-
-
-def _summed(a: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows in the order (a, w) with those of one n-gram summed."""
+    rows = counts.select(shard.alias("shard"), "hash", "count").repartitionById(1 << bits, F.col("shard").cast("int"))
+    shards = [tuple(r) for r in rows.mapInArrow(run, "shard long, n long, occurrences long, file string").collect()]
+    return Vocabulary(uri, shards, bits)
+
+
+def distinct_grams(a: np.ndarray, w: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (context, word) in order, and how often each occurs."""
+    bits = max(1, (words - 1).bit_length())
+    if not len(a) or int(a.max()) >> (63 - bits) == 0:
+        key, c = np.unique((a << bits) | w, return_counts=True)
+        return key >> bits, key & ((1 << bits) - 1), c
+    order = np.lexsort((w, a))
+    a, w = a[order], w[order]
     opens = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (w[1:] != w[:-1])))
-    return a[opens], w[opens], np.add.reduceat(c, opens)
-
-
-def build_level(grams: DataFrame, most: int, contexts: int, least: int, lower, uri: str, contexts_of, last: bool) -> Level:
-    """``grams(a, w, c)``: n-grams by context and word number with counts to be summed,
-    ``most`` occurrences in all and ``contexts`` context numbers. ``contexts_of(numbers)``
-    gives contexts' counts, ``lower(a, w)`` the log10 probabilities of the words in the
-    shorter contexts. The ``last`` level's own counts aren't kept. Context numbers follow hashes, so equal ranges of them are about
-    equal shards."""
-    parts = max(1, -(-most // SHARD))
+    return a[opens], w[opens], np.diff(np.append(opens, len(a)))
+
+
+def pack_grams(a: np.ndarray, w: np.ndarray, c: np.ndarray) -> bytes:
+    """N-grams in order with their counts, as one compressed string."""
+    planes = [x.astype(np.int64).view(np.uint8).reshape(-1, 8).T for x in (np.diff(a, prepend=0), w, c)]
+    return len(a).to_bytes(4, "little") + zstandard.compress(b"".join(np.ascontiguousarray(x).tobytes() for x in planes), 1)
+
+
+def unpack_grams(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = int.from_bytes(blob[:4], "little")
+    raw = np.frombuffer(zstandard.decompress(blob[4:]), np.uint8)
+    a, w, c = (np.ascontiguousarray(raw[8 * n * i : 8 * n * (i + 1)].reshape(8, -1).T).view(np.int64).ravel() for i in range(3))
+    return np.cumsum(a), w, c
+
+
+def _merged(queue: TupleQueue) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys of a queue in order, each once, with the sum of their values."""
+    last_k, last_c = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for k, c in queue.pop_all():
+        if not len(k):
+            continue
+        k, c = np.concatenate([last_k, k]), np.concatenate([last_c, c])
+        opens = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        k, c = k[opens], np.add.reduceat(c, opens)
+        last_k, last_c = k[-1:], c[-1:]
+        yield k[:-1], c[:-1]
+    yield last_k, last_c
+
+
+def build_level(blocks: DataFrame, parts: int, words: int, least: int, uri: str, totals: Counts, last: bool) -> Level:
+    """``blocks(part, block)``: n-grams by context and word number with counts to be summed,
+    dealt by ranges. ``totals`` has the contexts' counts. The ``last`` level's own counts
+    aren't kept."""
+    room = max(1, (words - 1).bit_length())
+
+    def shard(a, w, c) -> dict:
+        rows = len(a)
+        opens = np.flatnonzero(np.diff(a, prepend=-1))
+        ctx = a[opens]
+        total = totals.of(ctx)[0].astype(float)
+        size = np.diff(np.append(opens, rows))
+        kept = np.add.reduceat(c, opens) - DISCOUNT * size
+        # Children relative to the value before their context's first child.
+        span = w[np.append(opens[1:], rows) - 1] + 1
+        child = np.repeat(np.concatenate([[0], np.cumsum(span)[:-1]]), size) + w
+        pointers = np.append(opens, rows)
+        arrays = _packed("context", EliasFano.build(ctx - ctx[0], int(ctx[-1] - ctx[0]) + 1))
+        arrays |= _packed("pointer", EliasFano.build(pointers, rows + 1)) | _packed("child", EliasFano.build(child, int(child[-1]) + 1))
+        arrays |= {"q": quantise((c - DISCOUNT) / np.repeat(total, size)), "left": quantise(np.maximum(1 - kept / total, 1e-9))}
+        if not last:
+            arrays |= _running(c)
+        return {"first": int(ctx[0]), "word": int(w[0]), "last": int(ctx[-1]), "n": rows, "occurrences": int(c.sum()), "head": float(kept[0]), "tail": float(kept[-1]), "file": save(uri, arrays)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held, out = None, [], []
+        out: list[dict] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        base, rows = None, 0
 
-        def done():
-            columns = [list(x) for x in zip(*held)]
+        def close():
+            key, c = (np.concatenate([h[i] for h in held]) for i in range(2))
             held.clear()
-            a, w, c = _summed(*(np.concatenate(columns.pop(0)) for _ in range(3)))
-            if least > 1:
-                a, w, c = (x[c >= least] for x in (a, w, c))
-            rows = len(a)
-            if not rows:
-                return
-            opens = np.flatnonzero(np.diff(a, prepend=-1))
-            ctx = a[opens]
-            total = contexts_of(ctx).astype(float)
-            size = np.diff(np.append(opens, rows))
-            back = np.maximum(1 - (np.add.reduceat(c, opens) - DISCOUNT * size) / total, 1e-9)
-            each = np.repeat(np.arange(len(ctx), dtype=np.int32), size)
-            p = np.empty(rows, np.uint8)
-            for at in range(0, rows, LOOKED_UP):
-                of = slice(at, at + LOOKED_UP)
-                p[of] = quantise(np.log10((c[of] - DISCOUNT) / total[each[of]] + back[each[of]] * 10 ** lower(a[of], w[of].astype(np.int64))))
-            # Children relative to the value before their context's first child.
-            span = w[np.append(opens[1:], rows) - 1].astype(np.int64) + 1
-            base = np.concatenate([[0], np.cumsum(span)[:-1]])
-            child = base[each] + w
-            del each, a, w
-            pointers = np.append(opens, rows)
-            arrays = _packed("context", EliasFano.build(ctx - ctx[0], int(ctx[-1] - ctx[0]) + 1))
-            arrays |= _packed("pointer", EliasFano.build(pointers, rows + 1)) | _packed("child", EliasFano.build(child, int(child[-1]) + 1))
-            arrays |= {"p": p, "back": quantise(np.log10(back))}
-            counts = None if last else save(uri, {"count": c.astype(np.uint32 if c.max() < 2**32 else np.uint64)})
-            out.append((int(ctx[0]), int(ctx[-1]), rows, save(uri, arrays), counts))
-
-        for batch in batches:
-            # Word numbers have 31 bits.
-            a, w, c = (batch.column(i).to_numpy(zero_copy_only=False).astype(t) for i, t in enumerate((np.int64, np.int32, np.int64)))
-            s = a * parts // max(1, contexts)
-            for k in np.unique(s).tolist():
-                if k != shard and held:
-                    done()
-                shard, mine = k, slice(*np.searchsorted(s, [k, k + 1]))
-                held.append(_summed(a[mine], w[mine], c[mine]))
-        if held:
-            done()
-        cols = list(zip(*out)) or [()] * 5
-        kinds = [pa.int64()] * 3 + [pa.string()] * 2
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], names=["first", "last", "n", "file", "counts"])
-
-    rows = grams.select("a", "w", "c").repartition(4 * parts, F.expr(f"a * {parts}L div {max(1, contexts)}L")).sortWithinPartitions("a", "w")
+            if len(key):
+                out.append(shard((key >> room) + base, key & ((1 << room) - 1), c))
+
+        with tempfile.TemporaryDirectory() as folder:
+            queue = TupleQueue(folder, SORTED)
+            for batch in batches:
+                for blob in batch.column(0):
+                    a, w, c = unpack_grams(blob.as_py())
+                    # Keys are relative to a context of the range, so they fit whatever the numbers.
+                    base = int(a[0]) if base is None else base
+                    queue.push(((a - base) << room) | w, c)
+            for key, c in _merged(queue):
+                if least > 1:
+                    key, c = key[c >= least], c[c >= least]
+                for at in range(0, len(key), SHARD):
+                    held.append((key[at : at + SHARD], c[at : at + SHARD]))
+                    rows += len(held[-1][0])
+                    if rows >= SHARD:
+                        close()
+                        rows = 0
+            if held:
+                close()
+        yield pa.RecordBatch.from_pylist(out, pa.schema([("first", pa.int64()), ("word", pa.int64()), ("last", pa.int64()), ("n", pa.int64()), ("occurrences", pa.int64()), ("head", pa.float64()), ("tail", pa.float64()), ("file", pa.string())]))
+
+    rows = blocks.repartitionById(parts, F.col("part")).select("block")
     # Written rather than collected: the plan of the last job, and so its shuffle files, would be held.
-    files = materialize(rows.mapInArrow(run, "first long, last long, n long, file string, counts string"), "lm-files")
-    got = files.collect()
-    release(grams.sparkSession, files)
-    level = Level(uri, [(r["first"], r["last"], r["n"], r["file"]) for r in got])
-    level.count_files = [r["counts"] for r in sorted(got, key=lambda r: r["first"])]
+    files = materialize(rows.mapInArrow(run, "first long, word long, last long, n long, occurrences long, head double, tail double, file string"), "lm-files")
+    level = Level(uri, [r.asDict() for r in files.collect()], totals)
+    release(blocks.sparkSession, files)
     return level
 
 
-def _level_counts(level: Level):
-    def counts(numbers: np.ndarray) -> np.ndarray:
-        which = np.searchsorted(level.base, numbers, "right") - 1
-        out = np.zeros(len(numbers), np.int64)
-        for s in np.unique(which).tolist():
-            mine = which == s
-            out[mine] = load(level.uri, level.count_files[s])["count"][numbers[mine] - level.base[s]]
-        return out
-
-    return counts
-
-
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
 
@@ -338,29 +417,40 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def _numbers(vocabulary: Vocabulary):
+def _numbers(vocabulary: Vocabulary, kind: str):
     """(doc_id, held_out, text) -> word numbers (-1: unknown) and the base score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end, end_count = vocabulary.find(np.array([END], U))
+        end_count = vocabulary.of(vocabulary.find(np.array([END], U)))
         for batch in batches:
             for a, b, data, offs in slices(batch.column(2), 1 << 20):
                 w = Words(data, offs, lower=True)
                 distinct, back = np.unique(w.hash, return_inverse=True)
-                number, count = vocabulary.find(distinct)
+                number = vocabulary.find(distinct)
+                count = vocabulary.of(number)
                 logs = vocabulary.base_log(count)
-                sums = np.concatenate([[0.0], np.cumsum(logs[back])])
                 known = np.concatenate([[0], np.cumsum(count[back] > 0)])
                 n = np.diff(w.bound) + 1
                 # Sums of one text are taken over its own words, so equal texts score alike.
                 base = np.array([logs[back[x:y]].sum() for x, y in zip(w.bound[:-1].tolist(), w.bound[1:].tolist())])
-                lists = pa.ListArray.from_arrays(pa.array(w.bound.astype(np.int32)), pa.array(number[back].astype(np.int32)))
+                lists = pa.ListArray.from_arrays(pa.array(w.bound.astype(np.int32)), pa.array(number[back]).cast(kind))
                 cols = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n), pa.array(np.diff(known[w.bound]) + int(end_count[0] > 0)), pa.array(base + vocabulary.base_log(end_count)[0]), lists]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "words"])
 
     return run
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of at most ``TOKENS`` words of the last column, one row at least."""
+    for batch in batches:
+        edge = batch.column(batch.num_columns - 1).offsets.to_numpy()
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(edge, edge[at] + TOKENS, "right")) - 1)
+            yield batch.slice(at, min(stop, batch.num_rows) - at)
+            at = stop
+
+
 def _sequences(column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
     """(numbers with the end before and after each text, place of each text's first end).
     Two texts share no end."""
@@ -376,88 +466,98 @@ def _sequences(column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
     return out, start
 
 
-def _count_grams(vocabulary: Vocabulary, levels: list[Level], order: int, least: int):
-    """Counts of (context number, word number) of one order, within each batch of tokens."""
+def _pairs(level: Level, seq: np.ndarray, start: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number or -1, discounted probability, what the context leaves) of the pair that ends
+    at each place. A text's first end ends none, and unknown words are in none."""
+    number, q, left = np.full(len(seq), -1, np.int64), np.zeros(len(seq)), np.ones(len(seq))
+    inner = seq >= 0
+    inner[start[:-1]] = False
+    inner[1:] &= seq[:-1] >= 0
+    place = np.flatnonzero(inner)
+    bits = max(1, (words - 1).bit_length())
+    # Numbers of words have 31 bits at most in a corpus that fits one key; more are looked up one by one.
+    if 2 * bits <= 63:
+        key, back = np.unique((seq[place - 1] << bits) | seq[place], return_inverse=True)
+        found = level.find(key >> bits, key & ((1 << bits) - 1))
+    else:
+        order = np.lexsort((seq[place], seq[place - 1]))
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        found = level.find(seq[place - 1][order], seq[place][order])
+    for out, x in zip((number, q, left), found):
+        out[place] = x[back]
+    # An unknown word after a known context has what the context leaves.
+    after = np.flatnonzero((seq < 0) & np.append(False, seq[:-1] >= 0))
+    if len(after):
+        context, back = np.unique(seq[after - 1], return_inverse=True)
+        left[after] = level.find(context, np.zeros(len(context), np.int64))[2][back]
+    return number, q, left
+
+
+def _count_grams(vocabulary: Vocabulary, levels: list[Level], parts: int):
+    """Counts of (context number, word number) of one order, within each batch of tokens,
+    dealt by equal shares of occurrences: (part, block)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = int(vocabulary.find(np.array([END], U))[0][0])
-        held: list[np.ndarray] = []
+        end = int(vocabulary.find(np.array([END], U))[0])
+        totals = levels[-1].counts if levels else vocabulary.counts
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def flush():
-            key, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(key >> 31), pa.array((key & (2**31 - 1)).astype(np.int32)), pa.array(c.astype(np.int32))], names=["a", "w", "c"])
-
-        for part in (batch.slice(at, TEXTS) for batch in batches for at in range(0, batch.num_rows, TEXTS)):
-            seq, start = _sequences(part.column(0), end)
-            inner = np.ones(len(seq), bool)
-            inner[start[:-1]] = False
-            place = np.flatnonzero(inner)
-            a, w = seq[place - 1], seq[place]
-            ok = (a >= 0) & (w >= 0)
-            if least > 1:
-                # A gram occurs no more often than its words.
-                distinct, back = np.unique(seq, return_inverse=True)
-                often = (vocabulary.counts(np.maximum(distinct, 0)) >= least)[back]
-                ok &= often[place] & often[place - 1]
-            if order == 2:
-                held.append((a[ok] << 31) | w[ok])
+            a, w, c = distinct_grams(*(np.concatenate([h[i] for h in held]) for i in range(2)), vocabulary.size)
+            held.clear()
+            opens = np.flatnonzero(np.diff(a, prepend=-1))
+            count, before = (np.repeat(x, np.diff(np.append(opens, len(a)))) for x in totals.of(a[opens]))
+            # A place among all occurrences, in the order of n-grams: a common context spans several parts.
+            place = before + count * (w / vocabulary.size)
+            part = np.minimum((place * (parts / max(1, totals.total))).astype(np.int64), parts - 1)
+            cut = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+            blocks = [pack_grams(a[x:y], w[x:y], c[x:y]) for x, y in zip(cut, [*cut[1:], len(a)])]
+            return pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32)), pa.array(blocks, pa.binary())], names=["part", "block"])
+
+        for piece in _pieces(batches):
+            seq, start = _sequences(piece.column(0), end)
+            if levels:
+                number, _, _ = _pairs(levels[0], seq, start, vocabulary.size)
+                place = 1 + np.flatnonzero((number[:-1] >= 0) & (number[1:] >= 0))
+                held.append((number[place - 1], seq[place]))
             else:
-                node, _ = _nodes(levels, seq, start)
-                before, now = node[place - 1], node[place]
-                ok &= (before >= 0) & (now >= 0) & (place >= 2)
-                held.append((before[ok] << 31) | w[ok])
-            size += len(held[-1])
+                inner = seq >= 0
+                inner[start[:-1]] = False
+                inner[1:] &= seq[:-1] >= 0
+                place = np.flatnonzero(inner)
+                held.append((seq[place - 1], seq[place]))
+            size += len(place)
             if size >= COUNTED:
                 yield flush()
-                held, size = [], 0
-        yield flush()
+                size = 0
+        if held:
+            yield flush()
 
     return run
 
 
-def _nodes(levels: list[Level], seq: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, None]:
-    """The number of the order-2 gram that ends at each place, -1 if it isn't kept."""
-    key = (np.maximum(np.concatenate([[0], seq[:-1]]), 0) << 31) | np.maximum(seq, 0)
-    distinct, back = np.unique(key, return_inverse=True)
-    number, _, _ = levels[0].find(distinct >> 31, distinct & (2**31 - 1))
-    out = number[back]
-    out[start[:-1][start[:-1] < len(out)]] = -1
-    out[seq < 0] = -1
-    out[1:][seq[:-1] < 0] = -1
-    return out, None
-
-
 def _score(vocabulary: Vocabulary, levels: list[Level]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = int(vocabulary.find(np.array([END], U))[0][0])
-        for batch in batches:
-            total = batch.num_rows
-            done = 0
-            while done < total:
-                part = batch.slice(done, min(TEXTS, total - done))
-                done += part.num_rows
-                seq, start = _sequences(part.column(part.num_columns - 1), end)
-                distinct, back = np.unique(seq, return_inverse=True)
-                count = np.where(distinct >= 0, vocabulary.counts(np.maximum(distinct, 0)), 0)
-                p = vocabulary.base_log(count)[back]
-                if levels:
-                    key = (np.maximum(np.concatenate([[0], seq[:-1]]), 0) << 31) | np.maximum(seq, 0)
-                    pairs, which = np.unique(key, return_inverse=True)
-                    number, logp, weight = (x[which] for x in levels[0].find(pairs >> 31, pairs & (2**31 - 1)))
-                    known = np.concatenate([[False], seq[:-1] >= 0])
-                    hit = (number >= 0) & known & (seq >= 0)
-                    low = np.where(known, weight, 0.0) + p
-                    p2 = np.where(hit, logp, low)
-                    if len(levels) > 1:
-                        context = np.concatenate([[-1], np.where(hit, number, -1)[:-1]])
-                        at = np.flatnonzero(context >= 0)
-                        num3, logp3, weight3 = levels[1].find(context[at], np.maximum(seq[at], 0))
-                        hit3 = (num3 >= 0) & (seq[at] >= 0)
-                        p2[at] = np.where(hit3, logp3, weight3 + p2[at])
-                    p = p2
-                score = np.array([p[x + 1 : y].sum() for x, y in zip(start[:-1].tolist(), start[1:].tolist())])
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score)], names=[*part.schema.names[:-1], "score"])
+        end = int(vocabulary.find(np.array([END], U))[0])
+        for piece in _pieces(batches):
+            seq, start = _sequences(piece.column(piece.num_columns - 1), end)
+            distinct, back = np.unique(seq, return_inverse=True)
+            p = 10 ** vocabulary.base_log(vocabulary.of(distinct))[back]
+            if levels:
+                number, q, left = _pairs(levels[0], seq, start, vocabulary.size)
+                p = q + left * p
+            if len(levels) > 1:
+                at = 1 + np.flatnonzero(number[:-1] >= 0)
+                context, word = number[at - 1], seq[at]
+                order = np.lexsort((word, context))
+                _, q, left = levels[1].find(context[order], np.maximum(word[order], 0))
+                q = np.where(word[order] >= 0, q, 0.0)
+                p[at[order]] = q + left * p[at[order]]
+            logs = np.log10(p)
+            score = np.array([logs[x + 1 : y].sum() for x, y in zip(start[:-1].tolist(), start[1:].tolist())])
+            yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(score)], names=[*piece.schema.names[:-1], "score"])
 
     return run
 
@@ -473,7 +573,10 @@ def train_and_score(docs: DataFrame, order: int = ORDER, least: int = LEAST) ->
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score. Null
     and empty texts are their end alone; rows that repeat are counted and scored each; an
     empty table gives no rows; without training documents every word is unknown; other
-    columns are ignored. The model lies in the shared folder."""
+    columns are ignored. ``least`` occurrences keep an n-gram (1: all, which is exact);
+    ``order`` is 1, 2 or 3. The model lies in the shared folder."""
+    if order not in (1, 2, 3):
+        raise ValueError("order must be 1, 2 or 3")
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
     uri = new_path(spark, "lm")
@@ -481,43 +584,14 @@ def train_and_score(docs: DataFrame, order: int = ORDER, least: int = LEAST) ->
     counts = materialize(counts, "lm-words")
     vocabulary = build_vocabulary(counts, uri)
     release(spark, counts)
-    numbered = materialize(rows.mapInArrow(_numbers(vocabulary), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, words array<int>"), "lm-numbers", "zstd")
+    # Numbers have 32 bits while they can.
+    kind = ("int", pa.int32()) if vocabulary.size < 2**31 else ("long", pa.int64())
+    numbered = materialize(rows.mapInArrow(_numbers(vocabulary, kind[1]), f"doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, words array<{kind[0]}>"), "lm-numbers", "zstd")
     levels: list[Level] = []
     for n in range(2, order + 1):
-        found = numbered.where("not held_out").select("words").mapInArrow(_count_grams(vocabulary, levels, n, least), "a long, w int, c int")
-        if n == 2:
-            # Summed before the shards are made, as a common word's pairs are one shard's.
-            found = found.groupBy("a", "w").agg(F.sum("c").alias("c"))
-            level = build_level(found, vocabulary.total, vocabulary.size, least, lambda a, w: vocabulary.base_log(vocabulary.counts(w)), uri, vocabulary.counts, n == order)
-        else:
-            second = levels[0]
-
-            def lower(a, w):
-                # The shorter context of a gram is its context's last word.
-                word = _last_words(second, a)
-                key, back = np.unique((word << 31) | w, return_inverse=True)
-                number, p, weight = second.find(key >> 31, key & (2**31 - 1))
-                return np.where(number >= 0, p, weight + vocabulary.base_log(vocabulary.counts(key & (2**31 - 1))))[back]
-
-            level = build_level(found, vocabulary.total, int(second.base[-1]), least, lower, uri, _level_counts(second), n == order)
-        levels.append(level)
+        totals = levels[-1].counts if levels else vocabulary.counts
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-totals.total // DEALT))
+        blocks = numbered.where("not held_out").select("words").mapInArrow(_count_grams(vocabulary, levels, parts), "part int, block binary")
+        levels.append(build_level(blocks, parts, max(1, vocabulary.size), least, uri, totals, n == order))
     scored = numbered.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(vocabulary.total).cast("long").alias("train_tokens"), "base_score", "words")
     return scored.mapInArrow(_score(vocabulary, levels), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def _last_words(level: Level, numbers: np.ndarray) -> np.ndarray:
-    """The last word of order-2 grams, from their shards' children."""
-    out = np.zeros(len(numbers), np.int64)
-    which = np.searchsorted(level.base, numbers, "right") - 1
-    for s in np.unique(which).tolist():
-        mine = np.flatnonzero(which == s)
-        arrays = load(level.uri, level.shards[s][3])
-        pointer, child = (_unpacked(k, arrays) for k in ("pointer", "child"))
-        local = numbers[mine] - level.base[s]
-        # The context is the last one whose first child is not after the gram.
-        at = pointer.successor((local + 1).astype(U)) - 1
-        first = pointer.access(at).astype(np.int64)
-        start = np.zeros(len(mine), U)
-        start[first > 0] = child.access(first[first > 0] - 1) + U(1)
-        out[mine] = (child.access(local) - start).astype(np.int64)
-    return out
