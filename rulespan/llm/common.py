@@ -29,6 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Bytes of an Arrow batch, about: rows of any length go to Python in pieces of this size.
+BATCH = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Limit the batches that Python gets by bytes, where the session has no lower limit."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not now.isdigit() or int(now) > BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
@@ -51,6 +63,7 @@ def release(spark: SparkSession, *spent: DataFrame) -> None:
 def materialize(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = new_path(spark, tag)
     df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
@@ -64,4 +77,5 @@ def fold_ascii(column):
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -50,6 +50,8 @@ BLOCK = 1 << 19
 SETS = 1 << 16
 DEALT = 1 << 21
 SORTED = 1 << 20
+#: Pairs whose list is broadcast to the sets (two rows of 40 bytes each), at most.
+LISTED = 100_000
 #: Chance that an unrelated set has a given shingle, in the cost of an allocation.
 SHARED = 0.1
 
@@ -341,11 +343,14 @@ def verifier(sets: DataFrame, percent: int, partners: int = 64):
             pairs = pairs.join(sets.select(F.col("c").alias(end), F.col("code.n").alias(f"n_{end}"), F.col("parity").alias(f"parity_{end}")), end)
         pairs = pairs.select("a", "b", "n_a", "parity_a", "n_b", "parity_b").mapInArrow(_rule_out(percent), "a long, b long")
         pairs = materialize(pairs, "jac-near")
+        few = pairs.count() <= LISTED
         groups = pairs.groupBy(F.col("a").alias("of")).agg(F.ceil(F.count("*") / partners).cast("long").alias("groups"))
         pairs = pairs.join(groups, F.col("a") == F.col("of")).select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("salt"))
         heads = pairs.select(F.col("a").alias("item"), "a", "salt", F.lit(None).cast("long").alias("b")).distinct()
         asked = heads.unionByName(pairs.select(F.col("b").alias("item"), "a", "salt", "b"))
-        # Sets are shuffled to meet what is asked of them once, for both ends of the pairs.
+        # Sets are shuffled to meet what is asked of them once, for both ends of the pairs; a short
+        # list of what is asked goes to the sets instead, so that only those are shuffled.
+        asked = F.broadcast(asked) if few else asked
         rows = asked.join(sets.select(F.col("c").alias("item"), "items"), "item").select("a", "salt", "b", "items")
         rows = rows.repartition(F.col("a"), F.col("salt")).sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
         return rows.mapInArrow(_verify(percent), "a long, b long")
