@@ -14,6 +14,9 @@ U = np.uint64
 SELECTED = 1 << 16
 #: Integers that are coded at a time.
 BUILT = 1 << 18
+#: Every second bit, two bits of four, and four of eight; the lowest and the highest bit of each byte.
+EACH = U(0x5555555555555555), U(0x3333333333333333), U(0x0F0F0F0F0F0F0F0F)
+ONES, TOPS = U(0x0101010101010101), U(0x8080808080808080)
 _POP8 = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 #: The place of the k-th one of a byte.
 _SELECT8 = np.array([[([j for j in range(8) if i >> j & 1] + [0] * 8)[k] for k in range(8)] for i in range(256)], np.uint8)
@@ -24,14 +27,31 @@ def _select(words: np.ndarray, before: np.ndarray, rank: np.ndarray, zeros: bool
     if len(rank) > SELECTED:
         return np.concatenate([_select(words, before, rank[i : i + SELECTED], zeros) for i in range(0, len(rank), SELECTED)])
     word = np.searchsorted(before, rank, "right") - 1
-    left = rank - before[word]
     own = ~words[word] if zeros else words[word]
-    octets = own.view(np.uint8).reshape(-1, 8)
-    counts = np.cumsum(_POP8[octets], axis=1, dtype=np.uint8)
-    byte = (counts <= left[:, None]).sum(axis=1)
-    row = np.arange(len(rank))
-    left = left - np.where(byte > 0, counts[row, np.maximum(byte - 1, 0)], 0)
-    return word * 64 + byte * 8 + _SELECT8[octets[row, byte], left]
+    left = (rank - before[word]).astype(U)
+    # Ones of each byte, then of all bytes up to it, eight sums in a word.
+    sums = own - ((own >> U(1)) & EACH[0])
+    sums = (sums & EACH[1]) + ((sums >> U(2)) & EACH[1])
+    sums = ((sums + (sums >> U(4))) & EACH[2]) * ONES
+    # The byte is the number of bytes whose sum does not exceed the rank.
+    shift = np.bitwise_count(((left * ONES) | TOPS) - sums & TOPS).astype(U) << U(3)
+    left -= ((sums << U(8)) >> shift) & U(255)
+    octet = (own >> shift) & U(255)
+    return word * 64 + shift.astype(np.int64) + _SELECT8.ravel()[((octet << U(3)) | left).astype(np.int64)]
+
+
+def _window(words: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The 64 bits from each place on."""
+    word, shift = place >> 6, (place & 63).astype(U)
+    out = words[word] >> shift
+    cut = np.flatnonzero(shift)
+    out[cut] |= words[np.minimum(word[cut] + 1, len(words) - 1)] << (U(64) - shift[cut])
+    return out
+
+
+def _trailing(bits: np.ndarray) -> np.ndarray:
+    """How many zeros come before the first one of each word, 64 if there is none."""
+    return np.bitwise_count(~bits & (bits - U(1))).astype(np.int64)
 
 
 class EliasFano:
@@ -88,6 +108,20 @@ class EliasFano:
         i = i.astype(np.int64)
         return ((_select(self.high, self.ones, i) - i).astype(U) << U(self.low_bits)) | self._low(i)
 
+    def access_two(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values at the given places and at those after them."""
+        if not len(i):
+            return np.zeros(0, U), np.zeros(0, U)
+        i = i.astype(np.int64)
+        place = _select(self.high, self.ones, i)
+        step = _trailing(_window(self.high, place + 1))
+        after = place + 1 + step
+        far = np.flatnonzero(step == 64)
+        if len(far):
+            after[far] = _select(self.high, self.ones, i[far] + 1)
+        low = U(self.low_bits)
+        return ((place - i).astype(U) << low) | self._low(i), ((after - i - 1).astype(U) << low) | self._low(i + 1)
+
     def successor(self, x: np.ndarray) -> np.ndarray:
         """The place of the first value >= x, n if there is none."""
         if not len(x) or not self.n:
@@ -101,11 +135,17 @@ class EliasFano:
     def _bucket(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bounds of the values whose high bits are ``h``: from after the h-th zero to the next."""
         most = len(self.high) * 64 - self.n - 1
-        first = np.zeros(len(h), np.int64)
-        some = h > 0
         capped = np.minimum(h, most)
-        first[some] = _select(self.high, self.zeros, capped[some] - 1, True) + 1 - capped[some]
-        stop = _select(self.high, self.zeros, capped, True) - capped
+        # Where the bucket's bits begin: after the zero before it.
+        place = np.zeros(len(h), np.int64)
+        some = np.flatnonzero(h > 0)
+        place[some] = _select(self.high, self.zeros, capped[some] - 1, True) + 1
+        first = place - capped
+        run = _trailing(~_window(self.high, place))
+        stop = first + run
+        long = np.flatnonzero(run == 64)
+        if len(long):
+            stop[long] = _select(self.high, self.zeros, capped[long], True) - capped[long]
         return np.minimum(first, self.n), np.minimum(stop, self.n)
 
     def _first_at_least(self, first: np.ndarray, stop: np.ndarray, low: np.ndarray) -> np.ndarray:

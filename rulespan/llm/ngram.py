@@ -57,8 +57,10 @@ DEALT = 3_000_000
 SORTED = 1_000_000
 #: Tokens that are counted and looked up at a time; one text at least.
 COUNTED = 2_000_000
-TOKENS = 500_000
+TOKENS = 1_000_000
 SLICE = 1 << 18
+#: Bytes of text whose words are looked up at a time.
+NUMBERED = 1 << 21
 #: Shards that a process maps at a time.
 MAPPED = 256
 #: Quantised log10 values lie between this and 0.
@@ -107,13 +109,13 @@ def load(uri: str, file: str) -> dict[str, np.ndarray]:
         return _maps[key]
     store, base = pafs.FileSystem.from_uri(key)
     if isinstance(store, pafs.LocalFileSystem):
-        raw = np.memmap(base, np.uint8, "r")
+        raw = np.memmap(base, np.uint8, "r").view(np.ndarray)
     else:
         fd, path = tempfile.mkstemp()
         with os.fdopen(fd, "wb") as out, store.open_input_stream(base) as f:
             while part := f.read(1 << 22):
                 out.write(part)
-        raw = np.memmap(path, np.uint8, "r")
+        raw = np.memmap(path, np.uint8, "r").view(np.ndarray)
         os.unlink(path)
     size = int.from_bytes(bytes(raw[:8]), "little")
     head = json.loads(bytes(raw[8 : 8 + size]))
@@ -156,8 +158,8 @@ class Counts:
             mine = np.flatnonzero(which == s)
             sums = _unpacked("sum", load(self.uri, self.files[s]))
             local = numbers[mine] - self.base[s]
-            first = sums.access(local).astype(np.int64)
-            count[mine] = sums.access(local + 1).astype(np.int64) - first
+            first, after = (x.astype(np.int64) for x in sums.access_two(local))
+            count[mine] = after - first
             before[mine] = first + self.before[s]
         return count, before
 
@@ -250,7 +252,7 @@ class Level:
             at = contexts.find((own - self.first[s]).astype(U))
             have = at >= 0
             at = np.maximum(at, 0)
-            first, stop = pointer.access(at).astype(np.int64), pointer.access(at + 1).astype(np.int64)
+            first, stop = (x.astype(np.int64) for x in pointer.access_two(at))
             # Words are relative to the value before the context's first child.
             start = np.zeros(len(own), U)
             start[first > 0] = child.access(first[first > 0] - 1) + U(1)
@@ -423,7 +425,7 @@ def _numbers(vocabulary: Vocabulary, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end_count = vocabulary.of(vocabulary.find(np.array([END], U)))
         for batch in batches:
-            for a, b, data, offs in slices(batch.column(2), 1 << 20):
+            for a, b, data, offs in slices(batch.column(2), NUMBERED):
                 w = Words(data, offs, lower=True)
                 distinct, back = np.unique(w.hash, return_inverse=True)
                 number = vocabulary.find(distinct)

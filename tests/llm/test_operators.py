@@ -269,6 +269,8 @@ def test_elias_fano():
         v = np.sort(rng.integers(0, top, n))
         ef = EliasFano.build(v, top)
         assert (ef.access(np.arange(n)) == v.astype(np.uint64)).all()
+        two = ef.access_two(np.arange(n - 1))
+        assert (two[0] == v[:-1].astype(np.uint64)).all() and (two[1] == v[1:].astype(np.uint64)).all()
         x = np.concatenate([v, rng.integers(0, top, 50)])
         assert (ef.successor(x) == np.searchsorted(v, x)).all()
         assert ((ef.find(x) >= 0) == np.isin(x, v)).all()
