@@ -73,8 +73,19 @@ def quantise(x: np.ndarray) -> np.ndarray:
     return np.clip(np.ceil(np.log10(x) / FLOOR * STEPS - 1e-9), 0, STEPS).astype(np.uint16)
 
 
+VALUES = 10 ** (np.arange(STEPS + 1) * (FLOOR / STEPS))
+
+
 def value_of(q: np.ndarray) -> np.ndarray:
-    return 10 ** (q.astype(np.float64) * (FLOOR / STEPS))
+    return VALUES[q]
+
+
+def by_context(context: np.ndarray, word: np.ndarray, words: int) -> np.ndarray:
+    """The order of n-grams by context and word."""
+    bits = max(1, (words - 1).bit_length())
+    if not len(context) or int(context.max()) >> (63 - bits) == 0:
+        return np.argsort((context << bits) | word)
+    return np.lexsort((word, context))
 
 
 def save(uri: str, arrays: dict[str, np.ndarray]) -> str:
@@ -476,18 +487,14 @@ def _pairs(level: Level, seq: np.ndarray, start: np.ndarray, words: int) -> tupl
     inner[start[:-1]] = False
     inner[1:] &= seq[:-1] >= 0
     place = np.flatnonzero(inner)
-    bits = max(1, (words - 1).bit_length())
-    # Numbers of words have 31 bits at most in a corpus that fits one key; more are looked up one by one.
-    if 2 * bits <= 63:
-        key, back = np.unique((seq[place - 1] << bits) | seq[place], return_inverse=True)
-        found = level.find(key >> bits, key & ((1 << bits) - 1))
-    else:
-        order = np.lexsort((seq[place], seq[place - 1]))
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        found = level.find(seq[place - 1][order], seq[place][order])
-    for out, x in zip((number, q, left), found):
-        out[place] = x[back]
+    context, word = seq[place - 1], seq[place]
+    order = by_context(context, word, words)
+    context, word, place = context[order], word[order], place[order]
+    # Each pair is looked up once.
+    opens = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (word[1:] != word[:-1]))) if len(place) else place
+    size = np.diff(np.append(opens, len(place)))
+    for out, x in zip((number, q, left), level.find(context[opens], word[opens])):
+        out[place] = np.repeat(x, size)
     # An unknown word after a known context has what the context leaves.
     after = np.flatnonzero((seq < 0) & np.append(False, seq[:-1] >= 0))
     if len(after):
@@ -552,11 +559,12 @@ def _score(vocabulary: Vocabulary, levels: list[Level]):
                 p = q + left * p
             if len(levels) > 1:
                 at = 1 + np.flatnonzero(number[:-1] >= 0)
-                context, word = number[at - 1], seq[at]
-                order = np.lexsort((word, context))
-                _, q, left = levels[1].find(context[order], np.maximum(word[order], 0))
-                q = np.where(word[order] >= 0, q, 0.0)
-                p[at[order]] = q + left * p[at[order]]
+                known = seq[at] >= 0
+                context, word = number[at - 1], np.maximum(seq[at], 0)
+                order = by_context(context, word, vocabulary.size)
+                _, q, left = levels[1].find(context[order], word[order])
+                at = at[order]
+                p[at] = np.where(known[order], q, 0.0) + left * p[at]
             logs = np.log10(p)
             score = np.array([logs[x + 1 : y].sum() for x, y in zip(start[:-1].tolist(), start[1:].tolist())])
             yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(score)], names=[*piece.schema.names[:-1], "score"])
