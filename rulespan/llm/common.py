@@ -7,10 +7,13 @@ recomputation, and the plan that made the step (with its shuffle files) can go.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +74,21 @@ def materialize(df: DataFrame, tag: str, compression: str = "snappy") -> DataFra
     return out
 
 
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run``, after which the worker, which waits for the next task, returns what it freed to the machine."""
+
+    def after(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # a C library without it
+
+    return after
+
+
 def fold_ascii(column):
     """Lower-case A-Z only, whatever the locale and without touching other letters."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -43,19 +43,25 @@ def _is_forest_of_stars(links: DataFrame) -> bool:
     return ends.groupBy("n").agg(F.sum("up").alias("ups"), F.min("up").alias("least")).where("ups > 1 or (ups = 1 and least = 0)").isEmpty()
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], codes: DataFrame | None = None, near: Callable[[Column, Column], Column] | None = None, rounds: int = 3) -> DataFrame:
+#: Comparisons per row of the buckets left, up to which they are compared pair by pair.
+COMPARED = 32
+
+
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], codes: DataFrame | None = None, near: Callable[[Column, Column], Column] | None = None, rounds: int = 3, compare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Components of the verified links between members of the same bucket.
 
     ``members(k, c)``: item c is in bucket k; a table already written is deleted when it is spent. ``verify(pairs(a, b))`` returns the pairs
     that really are links. ``codes(c, code)`` and ``near(code, code)`` may rule pairs out
-    before that, as a condition of the joins that make them.
+    before that, as a condition of the joins that make them; ``compare(rows(k, c, label))``
+    may do so for all pairs of a bucket whose labels differ, without making the others.
 
     A bucket of n items is not expanded into n**2 pairs: each round compares a
     bucket's items with one centre (its least item), joins what links, and goes on
     with the buckets that still hold items of different components, without the
-    centre, which has been compared with all. What is left after ``rounds`` is
-    compared pair by pair, again between different components only, so that no
-    connection is missed. Returns ``(node, label)`` for linked items."""
+    centre, which has been compared with all. What is left after ``rounds``, or sooner
+    if that is at most ``COMPARED`` comparisons a row, is compared pair by pair, again
+    between different components only, so that no connection is missed. Returns
+    ``(node, label)`` for linked items."""
     spark = members.sparkSession
     left = members if hasattr(members, "_written_to") else materialize(members.select("k", "c"), "members")
     labels: DataFrame | None = None
@@ -76,7 +82,12 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], c
         if kept.isEmpty():
             release(spark, kept)
             break
-        if last:
+        if compare is not None and not last:
+            sizes = kept.groupBy("k").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2).alias("pairs"), F.sum("count").alias("rows")).first()
+            last = sizes["pairs"] <= COMPARED * sizes["rows"]
+        if last and compare is not None:
+            pairs = compare(kept.select("k", "c", "label"))
+        elif last:
             one = kept.select("k", F.col("c").alias("a"), "label")
             two = kept.select("k", F.col("c").alias("b"), F.col("label").alias("other"))
             on = (one["k"] == two["k"]) & (F.col("a") < F.col("b")) & (F.col("label") != F.col("other"))

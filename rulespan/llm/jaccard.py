@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulespan.llm.common import materialize, release
+from rulespan.llm.common import giving_back, materialize, release
 from rulespan.llm.graph import link_buckets
 from rulespan.llm.suffix import TupleQueue
 from rulespan.llm.textkit import Rolling, Words, i64, mix, slices
@@ -50,6 +50,9 @@ BLOCK = 1 << 19
 SETS = 1 << 16
 DEALT = 1 << 21
 SORTED = 1 << 20
+#: Members of a block of a large bucket, about, and rows that are compared at a time.
+BLOCKED = 512
+COMPARED_ROWS = 8192
 #: Pairs whose list is broadcast to the sets (two rows of 40 bytes each), at most.
 LISTED = 100_000
 #: Chance that an unrelated set has a given shingle, in the cost of an allocation.
@@ -291,6 +294,94 @@ def _rule_out(percent: int):
     return run
 
 
+def _few_odd(i: np.ndarray, j: np.ndarray, raw: np.ndarray, at: np.ndarray, size: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which of the pairs of long parities, of ``size`` bytes from ``at``, differ in at most
+    ``most`` cells, counted with the fewer cells of the two."""
+    out = np.zeros(len(i), bool)
+    i, j = np.where(size[i] <= size[j], i, j), np.where(size[i] <= size[j], j, i)
+    for n, m in {(a, b) for a, b in zip(size[i].tolist(), size[j].tolist())}:
+        of = np.flatnonzero((size[i] == n) & (size[j] == m))
+        step = max(1, (1 << 22) // m)
+        for part in (of[k : k + step] for k in range(0, len(of), step)):
+            x = raw[at[i[part]][:, None] + np.arange(n)]
+            y = raw[at[j[part]][:, None] + np.arange(m)]
+            if m > n:
+                y = np.packbits(np.bitwise_xor.reduce(np.unpackbits(y, axis=1).reshape(len(part), n * 8, -1), axis=2), axis=1)
+            out[part] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= most[part]
+    return out
+
+
+def _close(percent: int):
+    """Rows (k, x, y, own, c, label, n, p0..p3, parity) in the order of (k, x, y): pairs of a
+    bucket's blocks x and y that have different labels and that sizes and parities allow to link."""
+
+    def compared(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(rows).combine_chunks()
+        k, x, y, own, c, label, n, *code = (t.column(i).to_numpy() for i in range(11))
+        code = np.stack(code, axis=1).view(U)
+        binary = t.column(11).chunk(0)
+        raw = np.frombuffer(binary.buffers()[2], np.uint8)
+        edge = np.frombuffer(binary.buffers()[1], np.int32)[binary.offset : binary.offset + len(binary) + 1].astype(np.int64)
+        size = np.diff(edge)
+        group = np.cumsum(np.append(True, (k[1:] != k[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+        got = []
+        for d in range(1, len(k)):
+            i = np.flatnonzero(group[:-d] == group[d:])
+            if not len(i):
+                break
+            j = i + d
+            ok = (label[i] != label[j]) & ((x[i] == y[i]) | (own[i] != own[j])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            i, j = i[ok], j[ok]
+            most = (n[i] + n[j]) * (100 - percent) // (100 + percent)
+            ok = np.bitwise_count(code[i] ^ code[j]).sum(axis=1, dtype=np.int64) <= most
+            i, j, most = i[ok], j[ok], most[ok]
+            if len(i):
+                ok = _few_odd(i, j, raw, edge[:-1], size, most)
+                got.append((np.minimum(c[i], c[j])[ok], np.maximum(c[i], c[j])[ok]))
+        a, b = (np.concatenate([g[z] for g in got]) if got else np.zeros(0, np.int64) for z in range(2))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < COMPARED_ROWS:
+                continue
+            # All but the last group, which may go on.
+            t = pa.Table.from_batches(held)
+            key = [t.column(i).to_numpy() for i in range(3)]
+            other = np.flatnonzero((key[0] != key[0][-1]) | (key[1] != key[1][-1]) | (key[2] != key[2][-1]))
+            if len(other):
+                stop = int(other[-1]) + 1
+                yield compared(t.slice(0, stop).to_batches())
+                held = t.slice(stop).to_batches()
+                rows -= stop
+        if held:
+            yield compared(held)
+
+    return run
+
+
+def close_pairs(sets: DataFrame, percent: int):
+    """A function of buckets' rows (k, c, label) that finds the pairs of different labels which
+    sizes and parities allow to link. Parities travel with a bucket's rows, not with pairs; a large
+    bucket is dealt into blocks, each two of which are compared in a place of their own."""
+
+    def compare(rows: DataFrame) -> DataFrame:
+        blocks = rows.groupBy(F.col("k").alias("of")).agg(F.ceil(F.count("*") / BLOCKED).cast("int").alias("blocks"))
+        rows = rows.join(blocks, F.col("k") == F.col("of")).withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+        rows = rows.join(sets.select("c", "code", "parity"), "c")
+        with_all = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("x"), F.greatest("own", j).alias("y")))
+        rows = rows.withColumn("at", F.explode(with_all)).select("k", "at.x", "at.y", "own", "c", "label", *[f"code.{f}" for f in ("n", "p0", "p1", "p2", "p3")], "parity")
+        rows = rows.repartition("k", "x", "y").sortWithinPartitions("k", "x", "y")
+        return rows.mapInArrow(giving_back(_close(percent)), "a long, b long").distinct()
+
+    return compare
+
+
 def may_link(percent: int):
     """Whether two codes allow their sets to link: by sizes, and by parities."""
 
@@ -382,15 +473,15 @@ def join_components(docs: DataFrame, percent: int = 90, words: int = 3, lower: b
     bits = min(64, max(32, expected.bit_length() + 10))
     # A class is known by its least doc_id, whose row's text stands for all.
     first = docs.join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text")
-    blocks = first.mapInArrow(_key_blocks(words, lower, bands, parts, bits), "part int, block binary")
-    members = blocks.repartitionById(parts, F.col("part")).select("block").mapInArrow(_unpacked, "k long, c long")
+    blocks = first.mapInArrow(giving_back(_key_blocks(words, lower, bands, parts, bits)), "part int, block binary")
+    members = blocks.repartitionById(parts, F.col("part")).select("block").mapInArrow(giving_back(_unpacked), "k long, c long")
     members = materialize(members, "jac-shared")
     release(spark)
     active = members.select(F.col("c").alias("doc_id")).distinct()
     texts = docs.join(active, "doc_id").select(F.col("doc_id").alias("c"), "text")
-    sets = materialize(texts.mapInArrow(_sets(words, lower), "c long, items binary, code struct<n:long,p0:long,p1:long,p2:long,p3:long>, parity binary"), "jac-sets")
+    sets = materialize(texts.mapInArrow(giving_back(_sets(words, lower)), "c long, items binary, code struct<n:long,p0:long,p1:long,p2:long,p3:long>, parity binary"), "jac-sets")
     release(spark)
-    labels = link_buckets(members, verifier(sets, percent), sets.select("c", "code"), may_link(percent))
+    labels = link_buckets(members, verifier(sets, percent), sets.select("c", "code"), may_link(percent), compare=close_pairs(sets, percent))
     release(spark, sets)
     named = classes.select("c", "c2", "class_id").join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
     named = materialize(named.select("c", "c2", "class_id", F.coalesce("label", "class_id").alias("component_id")), "jac-named")

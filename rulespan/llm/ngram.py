@@ -39,7 +39,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rulespan.llm.common import materialize, new_path, release
+from rulespan.llm.common import giving_back, materialize, new_path, release
 from rulespan.llm.elias_fano import EliasFano
 from rulespan.llm.suffix import TupleQueue
 from rulespan.llm.textkit import Words, i64, mix, slices
@@ -407,7 +407,7 @@ def build_level(blocks: DataFrame, parts: int, words: int, least: int, uri: str,
 
     rows = blocks.repartitionById(parts, F.col("part")).select("block")
     # Written rather than collected: the plan of the last job, and so its shuffle files, would be held.
-    files = materialize(rows.mapInArrow(run, "first long, word long, last long, n long, occurrences long, head double, tail double, file string"), "lm-files")
+    files = materialize(rows.mapInArrow(giving_back(run), "first long, word long, last long, n long, occurrences long, head double, tail double, file string"), "lm-files")
     level = Level(uri, [r.asDict() for r in files.collect()], totals)
     release(blocks.sparkSession, files)
     return level
@@ -601,7 +601,7 @@ def train_and_score(docs: DataFrame, order: int = ORDER, least: int = LEAST) ->
     for n in range(2, order + 1):
         totals = levels[-1].counts if levels else vocabulary.counts
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-totals.total // DEALT))
-        blocks = numbered.where("not held_out").select("words").mapInArrow(_count_grams(vocabulary, levels, parts), "part int, block binary")
+        blocks = numbered.where("not held_out").select("words").mapInArrow(giving_back(_count_grams(vocabulary, levels, parts)), "part int, block binary")
         levels.append(build_level(blocks, parts, max(1, vocabulary.size), least, uri, totals, n == order))
     scored = numbered.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(vocabulary.total).cast("long").alias("train_tokens"), "base_score", "words")
-    return scored.mapInArrow(_score(vocabulary, levels), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return scored.mapInArrow(giving_back(_score(vocabulary, levels)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulespan.llm import suffix
-from rulespan.llm.common import materialize, release
+from rulespan.llm.common import giving_back, materialize, release
 from rulespan.llm.textkit import SYMBOL, Rolling, anchor_runs, cover, i64, slices
 
 #: Repeated strings of this many bytes go.
@@ -280,7 +280,7 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     spark = docs.sparkSession
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
     docs = whole.select("doc_id", "text")
-    runs = materialize(docs.mapInArrow(_scan(length, gram), "anchor long, covered long, doc_id long, at int, n int, twice boolean"), "sa-runs")
+    runs = materialize(docs.mapInArrow(giving_back(_scan(length, gram)), "anchor long, covered long, doc_id long, at int, n int, twice boolean"), "sa-runs")
     shared = runs.groupBy("anchor").agg(F.count("*").alias("c"), (F.min("covered") < F.max("covered")).alias("mixed")).where("c > 1").select("anchor", "mixed")
     # A run that holds its anchor twice may repeat itself: it is sorted even if alone.
     block = materialize(runs.join(shared, "anchor", "left").where("mixed is not null or twice"), "sa-block")
@@ -291,15 +291,15 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     long = block2.where("not original").select("doc_id", "at", "n")
     border = block2.where("original and (mixed or twice)").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "at", "n")).alias("runs"))
     asked = docs.join(border, "doc_id").select("doc_id", "text", "runs")
-    segments = materialize(asked.mapInArrow(_segments(length), "anchor long, doc_id long, at int, bytes binary"), "sa-segments")
+    segments = materialize(asked.mapInArrow(giving_back(_segments(length)), "anchor long, doc_id long, at int, bytes binary"), "sa-segments")
     total = segments.agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0))).first()[0]
     parts = max(8, -(-total // shard))
     rows = segments.repartition(int(parts), "anchor").sortWithinPartitions("anchor")
-    short = rows.mapInArrow(_sort(length, gram, shard), "doc_id long, at int, n int")
+    short = rows.mapInArrow(giving_back(_sort(length, gram, shard)), "doc_id long, at int, n int")
     found = materialize(long.unionByName(short).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("copied")), "sa-spans")
     release(spark, segments, block2)
     empty = F.expr("cast(array() as array<struct<at:int,n:int>>)")
     out = whole.join(found, "doc_id", "left").select("doc_id", "text", F.coalesce("copied", empty).alias("copied"), *carry)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", text string" if texts else "")
     schema += "".join(f", {c} {whole.schema[c].dataType.simpleString()}" for c in carry)
-    return out.mapInArrow(_remove(length, texts, list(carry)), schema)
+    return out.mapInArrow(giving_back(_remove(length, texts, list(carry))), schema)

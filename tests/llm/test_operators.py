@@ -434,3 +434,25 @@ def test_jaccard_rows_of_one_doc_id_are_one_node(spark):
     rows = [(1, a), (1, a), (2, a), (3, b), (3, a + " z"), (4, b + " z"), (5, "alone here now")]
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in join_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(1, 58, 1), (1, 58, 1), (2, 58, 1), (3, 58, 1), (3, 59, 1), (4, 59, 1), (5, 1, 5)]
+
+
+def test_close_pairs_of_large_buckets_are_all_compared(spark, monkeypatch):
+    from rulespan.llm import jaccard
+    from rulespan.llm.textkit import i64
+
+    monkeypatch.setattr(jaccard, "BLOCKED", 7)
+    monkeypatch.setattr(jaccard, "COMPARED_ROWS", 16)
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**63, 260).astype(np.uint64)
+    sets = []
+    for i in range(40):
+        n = int(rng.integers(100, 260))
+        sets.append(np.unique(np.concatenate([base[: n - i], rng.integers(0, 2**63, i).astype(np.uint64)])))
+    rows = [(i, bytearray(s.tobytes()), (len(s), *jaccard.parities(s)), bytearray(jaccard.long_parities(s))) for i, s in enumerate(sets)]
+    table = spark.createDataFrame(rows, "c long, items binary, code struct<n:long,p0:long,p1:long,p2:long,p3:long>, parity binary")
+    buckets = [(k, c, c % 9) for k, of in ((1, range(40)), (2, range(0, 40, 3)), (3, [5]), (4, [6, 7])) for c in of]
+    got = {(r.a, r.b) for r in jaccard.close_pairs(table, 80)(spark.createDataFrame(buckets, "k long, c long, label long")).collect()}
+    link = {(a, b) for a in range(40) for b in range(a + 1, 40) if a % 9 != b % 9 and jaccard.similar(sets[a], sets[b], 80)}
+    allowed = {(a, b) for a in range(40) for b in range(a + 1, 40) if a % 9 != b % 9 and 100 * min(len(sets[a]), len(sets[b])) >= 80 * max(len(sets[a]), len(sets[b]))
+               and jaccard.odd_cells(jaccard.long_parities(sets[a]), jaccard.long_parities(sets[b])) * 180 <= (len(sets[a]) + len(sets[b])) * 20}
+    assert link and link <= got <= allowed and i64(sets[0]).size
