@@ -58,8 +58,8 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], c
     A bucket of n items is not expanded into n**2 pairs: each round compares a
     bucket's items with one centre (its least item), joins what links, and goes on
     with the buckets that still hold items of different components, without the
-    centre, which has been compared with all. What is left after ``rounds``, or sooner
-    if that is at most ``COMPARED`` comparisons a row, is compared pair by pair, again
+    centre, which has been compared with all. What is left after ``rounds``, or after the
+    first if that is at most ``COMPARED`` comparisons a row, is compared pair by pair, again
     between different components only, so that no connection is missed. Returns
     ``(node, label)`` for linked items."""
     spark = members.sparkSession
@@ -82,7 +82,8 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], c
         if kept.isEmpty():
             release(spark, kept)
             break
-        if compare is not None and not last:
+        # The first round joins most copies, and what is left is much less.
+        if compare is not None and 0 < turn < rounds:
             sizes = kept.groupBy("k").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2).alias("pairs"), F.sum("count").alias("rows")).first()
             last = sizes["pairs"] <= COMPARED * sizes["rows"]
         if last and compare is not None:

@@ -53,7 +53,7 @@ SORTED = 1 << 20
 #: Members of a block of a large bucket, about, and rows that are compared at a time.
 BLOCKED = 512
 COMPARED_ROWS = 8192
-#: Pairs whose list is broadcast to the sets (two rows of 40 bytes each), at most.
+#: Pairs whose ends' list is broadcast (two rows of 8 bytes each), at most.
 LISTED = 100_000
 #: Chance that an unrelated set has a given shingle, in the cost of an allocation.
 SHARED = 0.1
@@ -254,7 +254,16 @@ def _sets(words: int, lower: bool):
             for a, sets in shingle_sets(batch.column(1), words, lower):
                 codes = [parities(s) for s in sets]
                 code = pa.StructArray.from_arrays([pa.array([len(s) for s in sets], pa.int64()), *(pa.array([x[i] for x in codes], pa.int64()) for i in range(4))], names=["n", "p0", "p1", "p2", "p3"])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary()), code, pa.array([long_parities(s) for s in sets], pa.binary())], names=["c", "items", "code", "parity"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(sets)), code, pa.array([long_parities(s) for s in sets], pa.binary())], names=["c", "code", "parity"])
+
+    return run
+
+
+def _items(words: int, lower: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, sets in shingle_sets(batch.column(1), words, lower):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["item", "items"])
 
     return run
 
@@ -424,27 +433,27 @@ def _verify(percent: int):
     return run
 
 
-def verifier(sets: DataFrame, percent: int, partners: int = 64):
-    """A function of pairs (a, b) that keeps those whose sets link. A centre's set goes
-    once to each group of some ``partners`` partners, so a large group is many tasks.
-    Long parities, a thirtieth of the sets, rule out most pairs before sets are moved."""
+def verifier(docs: DataFrame, sets: DataFrame, percent: int, words: int, lower: bool, partners: int = 64):
+    """A function of pairs (a, b) that keeps those whose sets link. Long parities, a thirtieth
+    of the sets, rule out most pairs; only for the others are sets made from their texts
+    again. A centre's set goes once to each group of some ``partners`` partners, so a large
+    group is many tasks."""
 
     def verify(pairs: DataFrame) -> DataFrame:
         for end in ("a", "b"):
             pairs = pairs.join(sets.select(F.col("c").alias(end), F.col("code.n").alias(f"n_{end}"), F.col("parity").alias(f"parity_{end}")), end)
         pairs = pairs.select("a", "b", "n_a", "parity_a", "n_b", "parity_b").mapInArrow(_rule_out(percent), "a long, b long")
         pairs = materialize(pairs, "jac-near")
-        few = pairs.count() <= LISTED
+        asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        # A short list of texts goes to the table, so that the others aren't shuffled.
+        texts = docs.join(F.broadcast(asked) if pairs.count() <= LISTED else asked, "doc_id").select("doc_id", "text")
+        items = texts.mapInArrow(giving_back(_items(words, lower)), "item long, items binary")
         groups = pairs.groupBy(F.col("a").alias("of")).agg(F.ceil(F.count("*") / partners).cast("long").alias("groups"))
         pairs = pairs.join(groups, F.col("a") == F.col("of")).select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("salt"))
         heads = pairs.select(F.col("a").alias("item"), "a", "salt", F.lit(None).cast("long").alias("b")).distinct()
-        asked = heads.unionByName(pairs.select(F.col("b").alias("item"), "a", "salt", "b"))
-        # Sets are shuffled to meet what is asked of them once, for both ends of the pairs; a short
-        # list of what is asked goes to the sets instead, so that only those are shuffled.
-        asked = F.broadcast(asked) if few else asked
-        rows = asked.join(sets.select(F.col("c").alias("item"), "items"), "item").select("a", "salt", "b", "items")
+        rows = heads.unionByName(pairs.select(F.col("b").alias("item"), "a", "salt", "b")).join(items, "item").select("a", "salt", "b", "items")
         rows = rows.repartition(F.col("a"), F.col("salt")).sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-        return rows.mapInArrow(_verify(percent), "a long, b long")
+        return rows.mapInArrow(giving_back(_verify(percent)), "a long, b long")
 
     return verify
 
@@ -479,9 +488,9 @@ def join_components(docs: DataFrame, percent: int = 90, words: int = 3, lower: b
     release(spark)
     active = members.select(F.col("c").alias("doc_id")).distinct()
     texts = docs.join(active, "doc_id").select(F.col("doc_id").alias("c"), "text")
-    sets = materialize(texts.mapInArrow(giving_back(_sets(words, lower)), "c long, items binary, code struct<n:long,p0:long,p1:long,p2:long,p3:long>, parity binary"), "jac-sets")
+    sets = materialize(texts.mapInArrow(giving_back(_sets(words, lower)), "c long, code struct<n:long,p0:long,p1:long,p2:long,p3:long>, parity binary"), "jac-sets")
     release(spark)
-    labels = link_buckets(members, verifier(sets, percent), sets.select("c", "code"), may_link(percent), compare=close_pairs(sets, percent))
+    labels = link_buckets(members, verifier(docs, sets, percent, words, lower), sets.select("c", "code"), may_link(percent), compare=close_pairs(sets, percent))
     release(spark, sets)
     named = classes.select("c", "c2", "class_id").join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
     named = materialize(named.select("c", "c2", "class_id", F.coalesce("label", "class_id").alias("component_id")), "jac-named")
