@@ -12,25 +12,31 @@ from rulespan.plans.steps import cut
 
 
 #: Levels that a round of a closure goes down.
-HOPS = 4
+HOPS = 5
 
 
 def closure(edges: DataFrame, roots: DataFrame, up: bool = False) -> DataFrame:
     """``edges(child, parent)``, ``roots(root)`` -> ``(root, node)``: each root, and all it
-    reaches downwards (or upwards). A set: diamonds give one row, cycles end. A round
-    goes ``HOPS`` levels down from the nodes that the round before found first."""
-    step = cut(edges.select(F.col("child" if up else "parent").alias("node"), F.col("parent" if up else "child").alias("next")).distinct())
-    seen = [cut(roots.select("root").where("root is not null").distinct().withColumn("node", F.col("root")))]
+    reaches downwards (or upwards). A set: diamonds give one row, cycles end; null ends
+    and roots give none. A round goes ``HOPS`` levels on from what the round before found
+    first at its last level, and ends the walk if it finds nothing there."""
+    step = edges.select(F.col("child" if up else "parent").alias("node"), F.col("parent" if up else "child").alias("next"))
+    step = step.where("node is not null and next is not null and node <> next")
+    level = roots.select("root").where("root is not null").distinct().withColumn("node", F.col("root"))
+    known: DataFrame | None = None
     while True:
-        level, found = seen[-1], None
-        for _ in range(HOPS):
+        found = level.withColumn("hop", F.lit(0))
+        for hop in range(1, HOPS + 1):
             level = level.join(step, "node").select("root", F.col("next").alias("node"))
-            found = level if found is None else found.unionByName(level)
-        known = reduce(DataFrame.unionByName, seen)
-        frontier = cut(found.distinct().join(known, ["root", "node"], "left_anti"))
-        if frontier.isEmpty():
+            # Diamonds are taken together every other level, before they multiply.
+            level = level.distinct() if hop % 2 == 0 else level
+            found = found.unionByName(level.withColumn("hop", F.lit(hop)))
+        found = found.groupBy("root", "node").agg(F.min("hop").alias("hop"))
+        found = cut(found if known is None else found.join(known, ["root", "node"], "left_anti"))
+        known = found.select("root", "node") if known is None else known.unionByName(found.select("root", "node"))
+        level = found.where(F.col("hop") == HOPS).select("root", "node")
+        if level.isEmpty():
             return known
-        seen.append(frontier)
 
 
 def pick_first(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -83,3 +89,27 @@ def upsert_first_seen(old: DataFrame, new: DataFrame, key: str, first: str = "fi
     n = new.select(key, *[F.col(c).alias(f"_{c}") for c in (*attrs, first)], F.lit(True).alias("_here"))
     out = old.withColumn("_old", F.lit(True)).join(n, key, "full_outer")
     return out.select(key, *[F.when(F.col("_here"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in attrs], F.coalesce(first, f"_{first}").alias(first), F.col("_old").isNull().alias("is_new"))
+
+
+def withdraw(live_rows: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """Withdrawals of ``asked`` keys: a decision to be written where something is live, else refused."""
+    here = live_rows.select(*keys).distinct().withColumn("_live", F.lit(True))
+    outcome = F.when(F.col("_live"), "written").otherwise("refused")
+    return asked.distinct().join(here, keys, "left").select(*keys, F.lit("withdrawn").alias("decision"), outcome.alias("outcome"))
+
+
+def incomplete_runs(runs: DataFrame) -> DataFrame:
+    """Runs that began and never finished."""
+    return runs.where("finished is null").select("run_id", "source", "writer", "started")
+
+
+def loaded_releases(runs: DataFrame) -> DataFrame:
+    """The last finished run of each source and writer."""
+    last = pick_first(runs.where("finished is not null"), ["source", "writer"], F.desc("finished"), F.desc("run_id"))
+    return last.select("source", "writer", "run_id")
+
+
+def shrink_guard(new_rows: int, stored_rows: int, least: float = 0.5, allowed: bool = False) -> None:
+    """Refuses an input that has lost more than its share of the stored rows, unless that is allowed."""
+    if not allowed and stored_rows and new_rows < least * stored_rows:
+        raise ValueError(f"{new_rows} rows would replace {stored_rows}: allow the loss if it is meant")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulespan.operators.core import closure, pick_first
+from rulespan.operators.core import closure
 
 
 def binding(policy: DataFrame) -> DataFrame:
@@ -13,28 +15,33 @@ def binding(policy: DataFrame) -> DataFrame:
     return policy.where("superseded_by is null and decision <> 'withdrawn'").select("concept", "decision")
 
 
-def rule_members(rules: DataFrame, axis: DataFrame, edges: DataFrame, membership: DataFrame, policy: DataFrame, subtree: DataFrame | None = None) -> DataFrame:
-    """Members that each rule may reach, through the axis' own membership only:
-    (subject, object, rel, source, partner, member_class, is_direct)."""
-    if subtree is None:
-        subtree = closure(edges, rules.select(F.col("object").alias("root")))
-    row = rules.join(axis, "rel").join(binding(policy).withColumnRenamed("concept", "object"), "object", "left")
+def expanded_members(named, axis, subtree, membership, policy) -> DataFrame:
+    """``named(concept, rel)`` -> the entities each may reach, through its axis' own
+    membership only: (concept, rel, entity, member_class, is_direct). One row per entity:
+    a direct membership first, then the least concept below; descendants only if the axis
+    expands and no live decision denies it."""
+    row = named.distinct().join(F.broadcast(axis), "rel").join(binding(policy), "concept", "left")
     row = row.withColumn("deep", F.col("expands") & (F.coalesce("decision", F.lit("allow")) != "deny"))
-    member = membership.select(F.col("entity").alias("partner"), F.col("concept").alias("member_class"), F.col("axis").alias("membership_axis"))
-    # Nodes under a rule's object are found first; membership is the large side.
-    node = subtree.select(F.col("root").alias("object"), F.col("node").alias("member_class"))
-    out = row.join(node, "object").where(F.col("deep") | (F.col("member_class") == F.col("object")))
-    out = out.join(member, ["member_class", "membership_axis"])
-    return out.withColumn("is_direct", F.col("member_class") == F.col("object")).select("subject", "object", "rel", "source", "partner", "member_class", "is_direct")
+    row = row.join(subtree.withColumnRenamed("root", "concept"), "concept").where(F.col("deep") | (F.col("node") == F.col("concept")))
+    member = membership.select("entity", F.col("concept").alias("node"), F.col("axis").alias("membership_axis"))
+    row = row.join(member, ["node", "membership_axis"])
+    # The winner is a minimum, which is combined before the shuffle.
+    best = F.min(F.struct((F.col("node") != F.col("concept")).alias("deep"), F.col("node").alias("member_class"))).alias("best")
+    row = row.groupBy("concept", "rel", "entity").agg(best)
+    return row.select("concept", "rel", "entity", F.col("best.member_class").alias("member_class"), (~F.col("best.deep")).alias("is_direct"))
 
 
 def candidate_pairs(rules, axis, edges, membership, policy, subtree=None) -> DataFrame:
-    """One row per (subject, object, rel, source, partner): direct first, then least class."""
-    rows = rule_members(rules, axis, edges, membership, policy, subtree).where("partner <> subject")
-    # The winner is a minimum, which is combined before the shuffle; no sort of all rows is needed.
-    best = F.min(F.struct((~F.col("is_direct")).alias("deep"), "member_class")).alias("best")
-    out = rows.groupBy("subject", "object", "rel", "source", "partner").agg(best)
-    return out.select("subject", "object", "rel", "source", "partner", F.col("best.member_class").alias("member_class"), (~F.col("best.deep")).alias("is_direct"))
+    """One row per (subject, object, rel, source, partner): direct first, then least class.
+
+    What a concept reaches depends on (object, rel) alone, so members are reduced to one
+    row per entity before rules meet them: pairs are made once and never grouped."""
+    if subtree is None:
+        subtree = closure(edges, rules.select(F.col("object").alias("root")))
+    side = expanded_members(rules.select(F.col("object").alias("concept"), "rel"), axis, subtree, membership, policy)
+    side = side.select(F.col("concept").alias("object"), "rel", F.col("entity").alias("partner"), "member_class", "is_direct")
+    out = rules.select("subject", "object", "rel", "source").distinct().join(side, ["object", "rel"]).where("partner <> subject")
+    return out.select("subject", "object", "rel", "source", "partner", "member_class", "is_direct")
 
 
 def rule_reach(rules, axis, edges, membership, subtree=None) -> DataFrame:
@@ -50,69 +57,160 @@ def rule_reach(rules, axis, edges, membership, subtree=None) -> DataFrame:
     row = rules.join(axis, "rel").join(total, ["object", "membership_axis"], "left")
     row = row.join(reached.select("object", "membership_axis", F.col("entity").alias("subject"), F.col("direct").alias("self_direct")), ["object", "membership_axis", "subject"], "left")
     self_in = F.when(F.col("self_direct").isNull(), 0).otherwise(1)
-    return row.select("subject", "object", "rel", "source", (F.coalesce("n", F.lit(0)) - self_in).cast("long").alias("subtree_partner_count"), (F.coalesce("d", F.lit(0)) - F.coalesce("self_direct", F.lit(0))).cast("long").alias("direct_partner_count"))
-
-
-def _side(class_rules, axis, subtree, membership, policy, side: str) -> DataFrame:
-    """Effective members of one side of class rules: (cls, rel, entity, is_direct, member_class)."""
-    row = class_rules.select(F.col(side).alias("cls"), "rel").distinct().join(axis, "rel").join(binding(policy).withColumnRenamed("concept", "cls"), "cls", "left")
-    row = row.withColumn("deep", F.col("expands") & (F.coalesce("decision", F.lit("allow")) != "deny"))
-    row = row.join(subtree.select(F.col("root").alias("cls"), F.col("node").alias("member_class")), "cls").where(F.col("deep") | (F.col("member_class") == F.col("cls")))
-    member = membership.select("entity", F.col("concept").alias("member_class"), F.col("axis").alias("membership_axis"))
-    row = row.join(member, ["member_class", "membership_axis"])
-    best = F.min(F.struct((F.col("member_class") != F.col("cls")).alias("deep"), "member_class")).alias("best")
-    return row.groupBy("cls", "rel", "entity").agg(best).select("cls", "rel", "entity", F.col("best.member_class").alias("member_class"))
+    run = [c for c in ("run",) if c in rules.columns]
+    return row.select("subject", "object", "rel", "source", *run, (F.coalesce("n", F.lit(0)) - self_in).cast("long").alias("subtree_partner_count"), (F.coalesce("d", F.lit(0)) - F.coalesce("self_direct", F.lit(0))).cast("long").alias("direct_partner_count"))
 
 
 def class_pair_reach(class_rules, axis, edges, membership, policy) -> DataFrame:
-    """Effective members of both sides and ordered pairs, without self pairs: |S|*|O| - |S n O|."""
+    """Per class rule: distinct members of both sides over the subtree and directly, those
+    that the axis and live decisions leave, and ordered pairs without self pairs, |S|*|O|
+    less the members that both sides share."""
     roots = class_rules.select(F.col("subject_class").alias("root")).union(class_rules.select("object_class"))
     subtree = closure(edges, roots)
-    s = _side(class_rules, axis, subtree, membership, policy, "subject_class")
-    o = _side(class_rules, axis, subtree, membership, policy, "object_class")
-    count = lambda d, name: d.groupBy(F.col("cls").alias(name), "rel").agg(F.count("*").alias(f"n_{name}"))
-    rules = class_rules.select("subject_class", "object_class", "rel").distinct()
-    both = rules.join(s.select(F.col("cls").alias("subject_class"), "rel", "entity"), ["subject_class", "rel"]).join(o.select(F.col("cls").alias("object_class"), "rel", "entity"), ["object_class", "rel", "entity"]).groupBy("subject_class", "object_class", "rel").agg(F.count("*").alias("both"))
-    out = rules.join(count(s, "subject_class"), ["subject_class", "rel"], "left").join(count(o, "object_class"), ["object_class", "rel"], "left").join(both, ["subject_class", "object_class", "rel"], "left").na.fill(0)
-    return out.select("subject_class", "object_class", "rel", F.col("n_subject_class").alias("subject_members"), F.col("n_object_class").alias("object_members"), (F.col("n_subject_class") * F.col("n_object_class") - F.col("both")).alias("max_pair_count"))
-
-
-def curated_pairs(pairs, rulings, class_rules, class_rulings, severity, axis, edges, membership, policy) -> DataFrame:
-    """Graded pairs of both grains. ``rulings`` and ``class_rulings`` are live rows; only
-    those that apply count. A severity without a rank has effective rank 0."""
-    one = pairs.join(rulings.where("applies").select("subject", "object", "rel", "severity", "evidence", "reviewed_at"), ["subject", "object", "rel"])
-    one = one.select("subject", "partner", "rel", F.col("source").alias("candidate_source"), F.lit(None).cast("long").alias("via_subject_class"), F.col("object").alias("via_class"), "member_class", "severity", "evidence", "reviewed_at", F.lit("entity_rule").alias("grain"))
-    judged = class_rules.join(class_rulings.where("applies").select("subject_class", "object_class", "rel", "severity", "evidence", "reviewed_at"), ["subject_class", "object_class", "rel"])
-    subtree = closure(edges, judged.select(F.col("subject_class").alias("root")).union(judged.select("object_class")))
-    s = _side(judged, axis, subtree, membership, policy, "subject_class").select(F.col("cls").alias("subject_class"), "rel", F.col("entity").alias("subject"))
-    o = _side(judged, axis, subtree, membership, policy, "object_class").select(F.col("cls").alias("object_class"), "rel", F.col("entity").alias("partner"), "member_class")
+    named = class_rules.select(F.col("subject_class").alias("concept"), "rel").union(class_rules.select("object_class", "rel")).distinct()
+    reach = named.join(F.broadcast(axis), "rel").join(subtree.withColumnRenamed("root", "concept"), "concept")
+    member = membership.select("entity", F.col("concept").alias("node"), F.col("axis").alias("membership_axis"))
+    reach = reach.join(member, ["node", "membership_axis"]).groupBy("concept", "rel", "entity")
+    reach = reach.agg(F.max((F.col("node") == F.col("concept")).cast("int")).alias("direct"))
+    total = reach.groupBy("concept", "rel").agg(F.count("*").alias("subtree"), F.sum("direct").alias("direct"))
+    side = expanded_members(named, axis, subtree, membership, policy)
+    effective = side.groupBy("concept", "rel").agg(F.count("*").alias("effective"))
+    rules = class_rules.select("subject_class", "object_class", "rel", "source").distinct()
+    ends = rules.select("subject_class", "object_class", "rel").distinct()
+    both = ends.join(side.select(F.col("concept").alias("subject_class"), "rel", "entity"), ["subject_class", "rel"])
+    both = both.join(side.select(F.col("concept").alias("object_class"), "rel", "entity"), ["object_class", "rel", "entity"])
+    both = both.groupBy("subject_class", "object_class", "rel").agg(F.count("*").alias("shared_members"))
+    out = rules.join(F.broadcast(axis.select("rel")), "rel")
+    for end in ("subject", "object"):
+        of = {c: F.col(c).alias(f"{end}_{c}") for c in ("subtree", "direct", "effective")}
+        counts = total.join(effective, ["concept", "rel"], "left").select(F.col("concept").alias(f"{end}_class"), "rel", *of.values())
+        out = out.join(counts, [f"{end}_class", "rel"], "left")
+    out = out.join(both, ["subject_class", "object_class", "rel"], "left").na.fill(0)
+    pairs = (F.col("subject_effective") * F.col("object_effective") - F.col("shared_members")).alias("max_pair_count")
+    counts = [f"{end}_{c}" for end in ("subject", "object") for c in ("subtree", "direct", "effective")]
+    return out.select("subject_class", "object_class", "rel", "source", *counts, "shared_members", pairs)
+
+
+def curated_pairs(pairs, rulings, class_rules, class_rulings, severity, axis, edges, membership, policy, subtree=None) -> DataFrame:
+    """Graded pairs of both grains. Only live judgements that apply count. A severity without
+    a rank has effective rank 0, which sorts above the most severe."""
+    graded = ("severity", "evidence", "reviewed_at", "reviewed_by")
+    judged = rulings.where("superseded_by is null and applies").select("subject", "object", "rel", *graded)
+    one = pairs.join(judged, ["subject", "object", "rel"])
+    one = one.select(
+        "subject", "partner", "rel", F.col("source").alias("candidate_source"), F.lit(None).cast("long").alias("via_subject_class"),
+        F.col("object").alias("via_class"), "member_class", *graded, F.lit("entity_rule").alias("grain"),
+    )
+    judged = class_rulings.where("superseded_by is null and applies").select("subject_class", "object_class", "rel", *graded)
+    judged = class_rules.select("subject_class", "object_class", "rel", "source").distinct().join(judged, ["subject_class", "object_class", "rel"])
+    if subtree is None:
+        subtree = closure(edges, judged.select(F.col("subject_class").alias("root")).union(judged.select("object_class")))
+    named = judged.select(F.col("subject_class").alias("concept"), "rel").union(judged.select("object_class", "rel"))
+    side = expanded_members(named, axis, subtree, membership, policy)
+    s = side.select(F.col("concept").alias("subject_class"), "rel", F.col("entity").alias("subject"))
+    o = side.select(F.col("concept").alias("object_class"), "rel", F.col("entity").alias("partner"), "member_class")
     two = judged.join(s, ["subject_class", "rel"]).join(o, ["object_class", "rel"]).where("subject <> partner")
-    two = two.select("subject", "partner", "rel", F.col("source").alias("candidate_source"), F.col("subject_class").alias("via_subject_class"), F.col("object_class").alias("via_class"), "member_class", "severity", "evidence", "reviewed_at", F.lit("class_rule").alias("grain"))
-    return one.unionByName(two).join(severity, "severity", "left").withColumn("effective_rank", F.coalesce("rank", F.lit(0))).drop("rank")
+    two = two.select(
+        "subject", "partner", "rel", F.col("source").alias("candidate_source"), F.col("subject_class").alias("via_subject_class"),
+        F.col("object_class").alias("via_class"), "member_class", *graded, F.lit("class_rule").alias("grain"),
+    )
+    ranked = one.unionByName(two).join(F.broadcast(severity.select("severity", "rank")), "severity", "left")
+    return ranked.withColumn("effective_rank", F.coalesce("rank", F.lit(0))).drop("rank")
+
+
+def _nulls_last(name: str):
+    return F.struct(F.col(name).isNull().alias("none"), F.col(name).alias("value")).alias(name)
 
 
 def effective_pairs(curated: DataFrame) -> DataFrame:
-    """The most severe grade of each pair; ties go to the entity grain, then by the rest."""
-    up = [F.col(c).asc_nulls_last() for c in ("effective_rank", "_grain", "candidate_source", "via_subject_class", "via_class", "member_class", "reviewed_at")]
-    return pick_first(curated.withColumn("_grain", (F.col("grain") != "entity_rule").cast("int")), ["subject", "partner", "rel"], *up).drop("_grain")
+    """The most severe grade of each (subject, partner, rel); ties go to the entity grain, then
+    by the rest. A grouped minimum of the whole row in that order, combined before the
+    shuffle, so no partition of pairs is sorted."""
+    keys = ["subject", "partner", "rel"]
+    order = ["effective_rank", "grain_order", "candidate_source", "via_subject_class", "via_class", "member_class", "reviewed_at", "reviewed_by"]
+    rest = [c for c in curated.columns if c not in (*keys, *order)]
+    row = curated.withColumn("grain_order", (F.col("grain") != "entity_rule").cast("int"))
+    best = row.groupBy(*keys).agg(F.min(F.struct(*[_nulls_last(c) for c in (*order, *rest)])).alias("best"))
+    return best.select(*keys, *[F.col(f"best.{c}.value").alias(c) for c in curated.columns if c not in keys])
 
 
 def disagreements(curated: DataFrame) -> DataFrame:
-    """Pairs, in either order, that the two grains grade differently, by both rules."""
-    a = curated.where("grain = 'entity_rule'").select(F.least("subject", "partner").alias("lo"), F.greatest("subject", "partner").alias("hi"), "rel", F.col("subject").alias("rule_subject"), "partner", F.col("via_class").alias("rule_object"), F.col("severity").alias("entity_severity"), F.col("evidence").alias("entity_evidence"))
-    b = curated.where("grain = 'class_rule'").select(F.least("subject", "partner").alias("lo"), F.greatest("subject", "partner").alias("hi"), "rel", F.col("via_subject_class").alias("class_subject"), F.col("via_class").alias("class_object"), F.col("severity").alias("class_severity"), F.col("evidence").alias("class_evidence"))
-    both = a.distinct().join(b.distinct(), ["lo", "hi", "rel"]).where("not (entity_severity <=> class_severity and entity_evidence <=> class_evidence)")
-    return both.groupBy("rule_subject", "rule_object", "rel", "class_subject", "class_object").agg(F.countDistinct("partner").alias("partners"))
+    """Pairs, in either order, that the two grains grade differently, by both rules and grades."""
+    unordered = (F.least("subject", "partner").alias("lo"), F.greatest("subject", "partner").alias("hi"), "rel")
+    a = curated.where("grain = 'entity_rule'").select(
+        *unordered, F.col("subject").alias("rule_subject"), "partner", F.col("via_class").alias("rule_object"),
+        F.col("severity").alias("entity_severity"), F.col("evidence").alias("entity_evidence"),
+    )
+    b = curated.where("grain = 'class_rule'").select(
+        *unordered, F.col("via_subject_class").alias("class_subject"), F.col("via_class").alias("class_object"),
+        F.col("severity").alias("class_severity"), F.col("evidence").alias("class_evidence"),
+    )
+    differ = "not (entity_severity <=> class_severity and entity_evidence <=> class_evidence)"
+    both = a.distinct().join(b.distinct(), ["lo", "hi", "rel"]).where(differ)
+    by = ["rule_subject", "rule_object", "rel", "class_subject", "class_object", "entity_severity", "class_severity", "entity_evidence", "class_evidence"]
+    return both.groupBy(*by).agg(F.countDistinct("partner").alias("partners"))
+
+
+def unrankable(rulings, class_rulings, severity) -> DataFrame:
+    """Live judgements that apply and whose severity has no rank: (target, id, severity, reviewed_by)."""
+    rows = [r.where("superseded_by is null and applies").select(F.lit(t).alias("target"), "id", "severity", "reviewed_by") for t, r in (("ruling", rulings), ("class_ruling", class_rulings))]
+    ranked = F.broadcast(severity.where("rank is not null").select("severity"))
+    return rows[0].unionByName(rows[1]).join(ranked, "severity", "left_anti").select("target", "id", "severity", "reviewed_by")
+
+
+def unresolved_targets(rulings, rules, class_rulings, class_rules, cond_rulings, cond_rules, indications) -> DataFrame:
+    """Live judgements that no rule matches any more, of three kinds, as strings:
+    (target, subject, object, rel)."""
+    live = "superseded_by is null"
+    one = rulings.where(live).join(rules, ["subject", "object", "rel"], "left_anti").select(F.lit("ruling").alias("target"), "subject", "object", "rel")
+    two = cond_rulings.where(live)
+    for known in (cond_rules, indications):
+        two = two.join(known, ["subject", "condition"], "left_anti")
+    two = two.select(F.lit("cond_ruling").alias("target"), "subject", F.col("condition").alias("object"), F.lit(None).cast("string").alias("rel"))
+    keys = ["subject_class", "object_class", "rel"]
+    three = class_rulings.where(live).join(class_rules, keys, "left_anti")
+    three = three.select(F.lit("class_ruling").alias("target"), F.col("subject_class").alias("subject"), F.col("object_class").alias("object"), "rel")
+    return reduce(DataFrame.unionByName, [t.select("target", F.col("subject").cast("string"), F.col("object").cast("string"), "rel") for t in (one, two, three)])
+
+
+def promoted(grades, subtree, membership) -> DataFrame:
+    """Members (by any axis) under the contributors of live grades: (id, effect, entity, magnitude)."""
+    live = grades.where("superseded_by is null").select("id", "effect", "contributor", "magnitude")
+    member = membership.select(F.col("concept").alias("node"), "entity").distinct()
+    rows = live.join(subtree, F.col("contributor") == F.col("root")).join(member, "node")
+    return rows.select("id", "effect", "entity", "magnitude").distinct()
+
+
+def effect_roots(effects, grades) -> DataFrame:
+    return effects.select(F.col("effect").alias("root")).union(grades.select("contributor")).distinct()
+
+
+def contributors(effects, grades, edges, membership, subtree=None) -> DataFrame:
+    """Members (by any axis) of live accumulating effects; major if any live grade of theirs is."""
+    if subtree is None:
+        subtree = closure(edges, effect_roots(effects, grades))
+    live = effects.where("superseded_by is null and accumulates").select("effect").distinct()
+    member = membership.select(F.col("concept").alias("node"), "entity").distinct()
+    base = live.join(subtree, F.col("effect") == F.col("root")).join(member, "node").select("effect", "entity").distinct()
+    major = promoted(grades.where("magnitude = 'major'"), subtree, membership).select("effect", "entity").distinct()
+    out = base.join(major.withColumn("major", F.lit(True)), ["effect", "entity"], "left")
+    return out.select("effect", "entity", F.when(F.col("major"), "major").otherwise("minor").alias("magnitude"))
+
 
+def group_members(members, edges, membership) -> DataFrame:
+    """Entities under each live group member that satisfies its role: (grp, role, entity, via).
+    Deliberately a row for each concept that reaches an entity."""
+    live = members.where("superseded_by is null and satisfies").select("grp", "role", F.col("concept").alias("via")).distinct()
+    subtree = closure(edges, live.select(F.col("via").alias("root")))
+    member = membership.select(F.col("concept").alias("node"), "entity").distinct()
+    return live.join(subtree, F.col("via") == F.col("root")).join(member, "node").select("grp", "role", "entity", "via").distinct()
 
-def contributors(effects, grades, edges, membership) -> DataFrame:
-    """Members (by any axis) of accumulating effects; major if any grade of theirs is."""
-    effects = effects.where("accumulates").select("effect")
-    roots = effects.select(F.col("effect").alias("root")).union(grades.select("contributor"))
-    reach = closure(edges, roots).join(membership.select(F.col("concept").alias("node"), "entity"), "node").select("root", "entity").distinct()
-    base = effects.join(reach, F.col("effect") == F.col("root")).select("effect", "entity")
-    major = grades.where("magnitude = 'major'").join(reach, F.col("contributor") == F.col("root")).select("effect", "entity").distinct().withColumn("major", F.lit(True))
-    return base.join(major, ["effect", "entity"], "left").select("effect", "entity", F.when(F.col("major"), "major").otherwise("minor").alias("magnitude"))
+
+def effect_counts(contributions, regimen) -> DataFrame:
+    """``regimen(regimen, entity)``: per effect and regimen, majors and contributors in it."""
+    rows = contributions.join(regimen.distinct(), "entity")
+    majors = F.sum(F.when(F.col("magnitude") == "major", 1).otherwise(0)).alias("majors")
+    return rows.groupBy("effect", "regimen").agg(majors, F.count("*").alias("total"))
 
 
 def fires(majors, total, t_major, t_total):
@@ -124,3 +222,19 @@ def fires(majors, total, t_major, t_total):
 def group_fires(required, covered):
     """Whether there are required roles and all are covered."""
     return (F.size(required) > 0) & (F.size(F.array_except(required, covered)) == 0)
+
+
+def class_grain_status(reach, class_rulings) -> DataFrame:
+    """One row about class rules: how many, how many make no pair, and how many make one and
+    have no live judgement. ``reach`` as :func:`class_pair_reach`; sources of a rule count once."""
+    keys = ["subject_class", "object_class", "rel"]
+    rows = reach.groupBy(*keys).agg(F.max("max_pair_count").alias("pairs"))
+    live = class_rulings.where("superseded_by is null").select(*keys).distinct().withColumn("judged", F.lit(True))
+    rows = rows.join(live, keys, "left")
+    ungraded = F.count_if((F.col("pairs") > 0) & F.col("judged").isNull())
+    return rows.agg(F.count("*").alias("rules"), F.count_if(F.col("pairs") == 0).alias("dead"), ungraded.alias("ungraded"))
+
+
+def live_judgements(rulings) -> DataFrame:
+    """The graded columns of live judgements by their natural key."""
+    return rulings.where("superseded_by is null").select("subject", "object", "rel", "applies", "severity", "evidence")

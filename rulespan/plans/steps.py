@@ -1,23 +1,26 @@
-"""Cutting the lineage of iterative plans."""
+"""Cutting the lineage of iterative plans, and files in the folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write to the folder that ``spark.checkpoint.dir`` names and read back: computed once,
-    and kept where every executor sees it. On a local master without one, to a temporary folder."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that ``spark.checkpoint.dir`` names; on a local master without one, in a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", named)
-    path = f"{named.rstrip('/')}/step-{uuid.uuid4().hex}"
+    return f"{named.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write to a shared folder and read back: computed once, and kept where every executor sees it."""
+    path = new_path(df.sparkSession, "step")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
