@@ -195,8 +195,9 @@ def curated_pairs(entries: DataFrame, claims: DataFrame, entities: DataFrame, cl
     rows = rows.join(of("object"), "object_code", "left").join(of("subject"), "subject_code", "left")
     for end, found in (("subject", F.coalesce("subject_found", "subject_class_name")), ("object", F.col("object_class_name"))):
         other = found.isNotNull() & (T.normalise_name(F.col(f"{end}_name")) != T.normalise_name(found))
-        said = F.raise_error(F.concat(F.lit("entry "), F.col("entry"), F.lit(f": the {end} resolves to another name, "), found))
-        rows = rows.withColumn(f"{end}_name", F.when(other, said).otherwise(F.col(f"{end}_name")))
+        said = F.raise_error(F.concat(F.lit("entry "), F.col("entry"), F.lit(f": the {end} resolves to another name, "), found)).cast("boolean")
+        # A condition on rows, which no projection of them can leave out.
+        rows = rows.where(F.when(other, said).otherwise(True))
     subject = F.coalesce("subject", "subject_concept")
     ends = [
         rows.select("entry", F.lit("subject").alias("role"), F.when(F.col("subject_unii").isNotNull(), "UNII").otherwise("MED-RT").alias("scheme"), F.coalesce("subject_unii", "subject_code").alias("value"), F.col("subject_name").alias("name"), subject.alias("found")),
