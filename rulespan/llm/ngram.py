@@ -6,11 +6,11 @@ kept ones of the context leave, so that probabilities of a context sum to one. T
 lowest order is the add-0.1 unigram. N-grams are kept from ``least`` occurrences on (by
 default all are), and from order 3 only if the (n-1)-grams they consist of are kept.
 
-A level is a table of shards, each a file of the shared folder with contexts, monotone
-pointers to each context's children, the children's word ids and the running sum of their
-counts, all Elias-Fano coded; ids are stored relative to their context (added to the value
-before the context's first child), which makes one monotone sequence of them and the
-search for a child a successor search within the context's bounds. The smoothed parts q and
+A level is a table of shards, each a file of the shared folder with monotone pointers to
+the children of each context number, the children's word ids and the running sum of their
+counts, all Elias-Fano coded; ids are stored relative to their context (a stride after the
+context's before it), which makes one monotone sequence of them and the search for a
+child a successor search within the context's bounds. The smoothed parts q and
 b are quantised to 16 bits of their logarithms, downwards, so a context's probabilities
 never sum to more than one. Shards are memory-mapped, a bounded number at a time, so a
 model larger than memory is paged in; they grow with the corpus in number, not in size.
@@ -256,21 +256,17 @@ class Level:
             if not len(mine):
                 continue
             arrays = load(self.uri, self.files[s])
-            contexts, pointer, child = (_unpacked(k, arrays) for k in ("context", "pointer", "child"))
-            # Bounds and base are looked up once for each context.
-            opens = np.flatnonzero(np.diff(context[mine], prepend=-1))
-            own, each = context[mine][opens], np.repeat(np.arange(len(opens)), np.diff(np.append(opens, len(mine))))
-            at = contexts.find((own - self.first[s]).astype(U))
-            have = at >= 0
-            at = np.maximum(at, 0)
-            first, stop = (x.astype(np.int64) for x in pointer.access_two(at))
-            # Words are relative to the value before the context's first child.
-            start = np.zeros(len(own), U)
-            start[first > 0] = child.access(first[first > 0] - 1) + U(1)
-            left[mine] = np.where(have, value_of(arrays["left"][at]), 1.0)[each]
-            mine, each = mine[have[each]], each[have[each]]
-            found = child.find(start[each] + word[mine].astype(U))
-            ok = (found >= first[each]) & (found < stop[each])
+            pointer, child = (_unpacked(k, arrays) for k in ("pointer", "child"))
+            # Bounds are looked up once for each context.
+            at = context[mine] - self.first[s]
+            opens = np.flatnonzero(np.diff(at, prepend=-1))
+            size = np.diff(np.append(opens, len(mine)))
+            first, stop = (np.repeat(x.astype(np.int64), size) for x in pointer.access_two(at[opens]))
+            left[mine] = value_of(arrays["left"][at])
+            # A successor search for the id relative to its context, where the context may have it.
+            stride, top = int(arrays["stride"][0]), word[mine]
+            found = child.find((at * stride + top).astype(U))
+            ok = np.flatnonzero((found >= first) & (found < stop) & (top < stride))
             number[mine[ok]] = self.base[s] + found[ok]
             q[mine[ok]] = value_of(arrays["q"][found[ok]])
         if len(self.split):
@@ -362,13 +358,18 @@ def build_level(blocks: DataFrame, parts: int, words: int, least: int, uri: str,
         total = totals.of(ctx)[0].astype(float)
         size = np.diff(np.append(opens, rows))
         kept = np.add.reduceat(c, opens) - DISCOUNT * size
-        # Children relative to the value before their context's first child.
-        span = w[np.append(opens[1:], rows) - 1] + 1
-        child = np.repeat(np.concatenate([[0], np.cumsum(span)[:-1]]), size) + w
-        pointers = np.append(opens, rows)
-        arrays = _packed("context", EliasFano.build(ctx - ctx[0], int(ctx[-1] - ctx[0]) + 1))
-        arrays |= _packed("pointer", EliasFano.build(pointers, rows + 1)) | _packed("child", EliasFano.build(child, int(child[-1]) + 1))
-        arrays |= {"q": quantise((c - DISCOUNT) / np.repeat(total, size)), "left": quantise(np.maximum(1 - kept / total, 1e-9))}
+        # A pointer for each context number of the shard, and children relative to their context:
+        # each context's begin a stride after the one's before it.
+        own = ctx - ctx[0]
+        many = np.zeros(int(own[-1]) + 1, np.int64)
+        many[own] = size
+        pointers = np.concatenate([[0], np.cumsum(many)])
+        stride = int(w.max()) + 1
+        child = (a - ctx[0]) * stride + w
+        left = np.zeros(len(many), np.uint16)
+        left[own] = quantise(np.maximum(1 - kept / total, 1e-9))
+        arrays = _packed("pointer", EliasFano.build(pointers, rows + 1)) | _packed("child", EliasFano.build(child, int(child[-1]) + 1))
+        arrays |= {"q": quantise((c - DISCOUNT) / np.repeat(total, size)), "left": left, "stride": np.array([stride], np.int64)}
         if not last:
             arrays |= _running(c)
         return {"first": int(ctx[0]), "word": int(w[0]), "last": int(ctx[-1]), "n": rows, "occurrences": int(c.sum()), "head": float(kept[0]), "tail": float(kept[-1]), "file": save(uri, arrays)}
