@@ -15,7 +15,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -78,6 +78,24 @@ def materialize(df: DataFrame, tag: str, compression: str = "snappy") -> DataFra
     return out
 
 
+#: Bits by which different texts of one id are told apart.
+APART = 10
+
+
+def told_apart(docs: DataFrame) -> tuple[DataFrame, int]:
+    """``docs(doc_id, text, ...)`` with ids that name one text each, and by how many bits they
+    are shifted: none, but where an id has several texts. These then count as documents of their own
+    in the order of their hashes; rows that repeat id and text keep one id."""
+    several = docs.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.xxhash64("text")).alias("lo"), F.max(F.xxhash64("text")).alias("hi"))
+    if several.where("n > 1 and lo <> hi").isEmpty():
+        return docs, 0
+    by_hash = Window.partitionBy("doc_id").orderBy("_h")
+    rank = docs.select("doc_id", F.xxhash64("text").alias("_h")).distinct().withColumn("_r", F.row_number().over(by_hash) - 1)
+    small = (F.abs("doc_id") < 1 << 62 - APART) & (F.col("_r") < 1 << APART)
+    key = F.when(small, F.shiftleft("doc_id", APART) + F.col("_r")).otherwise(F.raise_error(F.lit("too many texts of one id, or too large an id")).cast("long"))
+    return docs.withColumn("_h", F.xxhash64("text")).join(rank, ["doc_id", "_h"]).withColumn("doc_id", key).drop("_h", "_r"), APART
+
+
 def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """``run``, after which the worker, which waits for the next task, returns what it freed to the machine."""
 

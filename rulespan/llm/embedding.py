@@ -187,15 +187,22 @@ def _block_counts(threshold: float):
 def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Unit vectors as bytes of doubles; null where a vector links with nothing."""
     for batch in batches:
-        out = []
-        for v in batch.column(1):
-            raw = v.as_py()
-            x = np.array(raw, np.float64) if raw and None not in raw else None
-            size = np.linalg.norm(x) if x is not None and np.isfinite(x).all() else 0.0
-            if size and np.isfinite(size):
-                out.append((x / size).tobytes())
-            else:
-                out.append(None)
+        lists = batch.column(1)
+        edge = lists.offsets.to_numpy().astype(np.int64)
+        # Null components become NaN.
+        flat = lists.values.cast(pa.float64()).to_numpy(zero_copy_only=False)
+        size = np.where(lists.is_valid().to_numpy(zero_copy_only=False), np.diff(edge), 0)
+        out: list[bytes | None] = [None] * len(lists)
+        for n in np.unique(size[size > 0]).tolist():
+            of = np.flatnonzero(size == n)
+            x = flat[edge[of][:, None] + np.arange(n)]
+            # By the largest component first, so that no finite vector is too long or too short to have a length.
+            most = np.abs(x).max(axis=1)
+            ok = np.isfinite(x).all(axis=1) & (most > 0)
+            x = x[ok] / most[ok][:, None]
+            x /= np.linalg.norm(x, axis=1)[:, None]
+            for i, v in zip(of[ok].tolist(), x):
+                out[i] = v.tobytes()
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["vec_id", "unit"])
 
 

@@ -247,15 +247,15 @@ def read_archives(spark: SparkSession, path: str, span: int = RANGE) -> DataFram
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for doc, media in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), batch.column(2).to_pylist()):
+        for *doc, media, error in zip(*(batch.column(i).to_pylist() for i in range(4))):
             if media is None:
-                rows.append((*doc, None, None, None, None, None, None))
+                rows.append((*doc, None, None, None, None, None, None, error))
                 continue
             payload = decode_png(media)
-            rows.append((*doc, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-SAMPLES:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload)))
-        cols = list(zip(*rows)) or [()] * 8
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+            rows.append((*doc, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-SAMPLES:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload), None))
+        cols = list(zip(*rows)) or [()] * 9
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
 
@@ -263,12 +263,12 @@ def media_table(docs: DataFrame) -> DataFrame:
     """Store every text as an image, read the archives back and compute features.
 
     A row per document: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32,
-    media_bytes, media_sha256, feature; equal texts have equal values. Null and empty
-    texts are 64 zero bytes. A member that can't be read after its retries has nulls. An
-    empty table gives no rows; repeated rows and ids are members of their own; other
+    media_bytes, media_sha256, feature, error; equal texts have equal values. Null and
+    empty texts are 64 zero bytes. A member that can't be read after its retries has nulls
+    and what failed as its error, which is null for all others. An empty table gives no rows; repeated rows and ids are members of their own; other
     columns are ignored. Archives go to the shared folder."""
     spark = docs.sparkSession
     path = new_path(spark, "archives")
     write_archives(docs, path).agg(F.sum("members")).collect()
-    out = read_archives(spark, path).select("doc_id", "n_bytes", "media").mapInArrow(_features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    out = read_archives(spark, path).select("doc_id", "n_bytes", "media", "error").mapInArrow(_features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")
     return out

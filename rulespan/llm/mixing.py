@@ -26,7 +26,7 @@ BUCKET_ROWS = 2000
 
 def word_count(text: Column) -> Column:
     """Words [^\\x20\\x09-\\x0D]+ of a text; 0 for null."""
-    return F.coalesce(F.size(F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda x: x != "")), F.lit(0)).cast("long")
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda x: x != "")).cast("long")
 
 
 def unit(seed: int, *keys) -> Column:
@@ -73,7 +73,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     size = word_count(F.col(text_col))
     if quality is None:
         # Prose has words of some five letters; tables, shouting and symbol noise depart from it.
-        quality = 1.0 / (1.0 + F.abs(F.length(text_col) / (size + 1.0) - 6.0))
+        quality = 1.0 / (1.0 + F.abs(F.length(F.coalesce(text_col, F.lit(""))) / (size + 1.0) - 6.0))
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), F.greatest(F.coalesce(quality.cast("double"), F.lit(0.0)), F.lit(1e-6)).alias("q"))
     base = materialize(base, "mix-sizes")
     by_source = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"), F.avg("q").alias("avg_q"))

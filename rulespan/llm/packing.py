@@ -29,12 +29,26 @@ CACHE = 400_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def plain_byte_level(model: dict) -> bool:
+    """Whether a vocabulary file splits by the byte-level pattern, changes no text before that, and
+    merges in the order of its tokens' ids."""
+    before, bpe = model.get("pre_tokenizer") or {}, model["model"]
+    if bpe.get("type") != "BPE" or model.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        return False
+    if any(bpe.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return False
+    made = [bpe["vocab"].get("".join(m) if isinstance(m, list) else m.replace(" ", "", 1), -1) for m in bpe["merges"]]
+    return all(a < b for a, b in zip([-1, *made], made))
+
+
 class ChunkTokenizer:
     """Token ids of a byte-level BPE vocabulary file, with a cache of text chunks.
 
     The vocabulary's pattern never joins text across a single space that follows a
     character that isn't white space, so such a text may be cut before each space and
-    the chunks looked up. Texts with other runs of white space are encoded whole."""
+    the chunks looked up. Texts with other runs of white space are encoded whole. This
+    holds for plain byte-level files whose merges come in the order of their tokens; a
+    file of another kind is left to the library that it is written for."""
 
     def __init__(self, path: str):
         import json
@@ -43,6 +57,12 @@ class ChunkTokenizer:
 
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
+        self.exact = None
+        if not plain_byte_level(model):
+            from tokenizers import Tokenizer
+
+            self.exact = Tokenizer.from_file(path)
+            return
         # Byte-level vocabularies spell the 256 bytes with printable characters.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         spelled = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
@@ -58,6 +78,8 @@ class ChunkTokenizer:
 
     def __call__(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
+        if self.exact is not None:
+            return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
         if any(s in text for s in self.special):
             return self._encode(text)
         head, *rest = text.split(" ")

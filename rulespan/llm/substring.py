@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulespan.llm.common import materialize, release
+from rulespan.llm.common import materialize, release, told_apart
 from rulespan.llm.textkit import Rolling, Words, anchor_runs, cover, i64, slices
 
 #: A duplicate span is at least this many words long.
@@ -133,13 +133,15 @@ def _remove(window: int, texts: bool):
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts: bool = False) -> DataFrame:
     """Remove words covered by a window that also starts in an earlier document.
 
-    ``docs(doc_id, text)`` with distinct ids. Returns doc_id, n_words, n_removed,
+    ``docs(doc_id, text)``; rows that repeat id and text are one document, which loses
+    nothing to itself, and different texts of one id count as documents in the order of
+    their hashes. Returns doc_id, n_words, n_removed,
     kept_sha256, factors (the copied spans with a reference document each) and, if
     ``texts``, the kept words as text. Null and empty texts have no words; a table
     without rows gives none; other columns are ignored. Of exact copies the one of
     least doc_id stays. Windows are judged on the input."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs, shift = told_apart(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     schema = "anchor long, covered long, doc_id long, at int, n int"
     runs = materialize(docs.mapInArrow(_runs(window, gram), schema), "rlz-runs")
     shared = runs.groupBy("anchor").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), (F.min("covered") < F.max("covered")).alias("mixed")).where("d0 < d1").select("anchor", "mixed")
@@ -160,4 +162,5 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, te
     empty = F.expr("cast(array() as array<struct<at:int,n:int,ref:bigint>>)")
     out = docs.join(found, "doc_id", "left").select("doc_id", "text", F.coalesce("copied", empty).alias("copied"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, factors array<struct<start:long,length:long,reference:long>>"
-    return out.mapInArrow(_remove(window, texts), schema + (", text string" if texts else ""))
+    out = out.mapInArrow(_remove(window, texts), schema + (", text string" if texts else ""))
+    return out.withColumn("doc_id", F.shiftright("doc_id", shift)) if shift else out

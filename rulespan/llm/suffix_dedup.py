@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulespan.llm import suffix
-from rulespan.llm.common import giving_back, materialize, release
+from rulespan.llm.common import giving_back, materialize, release, told_apart
 from rulespan.llm.textkit import SYMBOL, Rolling, anchor_runs, cover, i64, slices
 
 #: Repeated strings of this many bytes go.
@@ -165,8 +165,8 @@ def repeated(segments: list[bytes], order_key: np.ndarray, length: int, ext: suf
     is_window = mine >= 0
     group, mine = group[is_window], mine[is_window]
     # Windows of a group are neighbours: the least (document, place) of each is the original.
-    rank = np.empty(len(owner), np.int64)
-    rank[np.argsort(order_key[owner] + step, kind="stable")] = np.arange(len(owner))
+    # Equal ones are one place, of rows that repeat.
+    rank = np.unique(order_key[owner] + step, return_inverse=True)[1]
     cut = np.flatnonzero(np.diff(group, prepend=-1))
     copied = np.zeros(len(owner), bool)
     if len(mine):
@@ -270,7 +270,9 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     """Remove bytes covered by a ``length``-byte string that also starts earlier, in a
     document of smaller doc_id or earlier in the same one.
 
-    ``docs(doc_id, text)`` with distinct ids, texts as UTF-8. Matches lie within one
+    ``docs(doc_id, text)``, texts as UTF-8; rows that repeat id and text are one document,
+    which loses nothing to itself, and different texts of one id count as documents in
+    the order of their hashes. Matches lie within one
     document; overlaps count; strings are judged on the input. Returns doc_id, n_bytes,
     n_removed, n_spans (maximal removed runs), kept_sha256 and, if ``texts``, the bytes
     that stay as text (a character that was cut is left out), with the columns ``carry``
@@ -278,7 +280,7 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     no bytes; an empty table gives no rows; other columns are left out. Of equal strings
     the first stays."""
     spark = docs.sparkSession
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
+    whole, shift = told_apart(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry))
     docs = whole.select("doc_id", "text")
     runs = materialize(docs.mapInArrow(giving_back(_scan(length, gram)), "anchor long, covered long, doc_id long, at int, n int, twice boolean"), "sa-runs")
     shared = runs.groupBy("anchor").agg(F.count("*").alias("c"), (F.min("covered") < F.max("covered")).alias("mixed")).where("c > 1").select("anchor", "mixed")
@@ -302,4 +304,5 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     out = whole.join(found, "doc_id", "left").select("doc_id", "text", F.coalesce("copied", empty).alias("copied"), *carry)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", text string" if texts else "")
     schema += "".join(f", {c} {whole.schema[c].dataType.simpleString()}" for c in carry)
-    return out.mapInArrow(giving_back(_remove(length, texts, list(carry))), schema)
+    out = out.mapInArrow(giving_back(_remove(length, texts, list(carry))), schema)
+    return out.withColumn("doc_id", F.shiftright("doc_id", shift)) if shift else out

@@ -456,3 +456,71 @@ def test_close_pairs_of_large_buckets_are_all_compared(spark, monkeypatch):
     allowed = {(a, b) for a in range(40) for b in range(a + 1, 40) if a % 9 != b % 9 and 100 * min(len(sets[a]), len(sets[b])) >= 80 * max(len(sets[a]), len(sets[b]))
                and jaccard.odd_cells(jaccard.long_parities(sets[a]), jaccard.long_parities(sets[b])) * 180 <= (len(sets[a]) + len(sets[b])) * 20}
     assert link and link <= got <= allowed and i64(sets[0]).size
+
+
+def test_mixing_without_ansi(spark):
+    from rulespan.llm.mixing import mix
+
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        rows = mix(spark.createDataFrame([(1, None, "a"), (2, "x y z", "a")], "doc_id long, text string, source string")).collect()
+        assert {(r.doc_id, r.size, r.source_size) for r in rows} == {(1, 0, 3), (2, 3, 3)} and all(r.taken >= 0 for r in rows)
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def test_vectors_of_any_length_link(spark):
+    from rulespan.llm.embedding import near_vectors
+
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=16)
+    rows = [(1, (v * 1e200).tolist()), (2, (v * 1e-200).tolist()), (3, v.tolist()), (4, (-v).tolist()), (5, [float("inf")] * 16), (6, [0.0] * 16), (7, []), (8, v[:8].tolist()), (9, None), (10, [None, *v[1:].tolist()])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (0, 5), 6: (0, 6), 7: (0, 7), 8: (0, 8), 9: (0, 9), 10: (0, 10)}
+    assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
+def test_vocabulary_files_are_checked():
+    from rulespan.llm.packing import plain_byte_level
+
+    plain = {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}, "normalizer": None, "model": {"type": "BPE", "vocab": {"a": 0, "b": 1, "ab": 2, "aba": 3}, "merges": [["a", "b"], "ab a"]}}
+    assert plain_byte_level(plain)
+    for key, value in (("normalizer", {"type": "NFC"}), ("pre_tokenizer", None), ("pre_tokenizer", {"type": "ByteLevel", "add_prefix_space": True})):
+        assert not plain_byte_level({**plain, key: value})
+    for key, value in (("type", "WordPiece"), ("merges", ["ab a", ["a", "b"]]), ("byte_fallback", True)):
+        assert not plain_byte_level({**plain, "model": {**plain["model"], key: value}})
+
+
+def test_members_that_fail_say_why(spark, tmp_path):
+    import struct
+
+    from rulespan.llm import media
+
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, "".join(rng.choice("abcdefghijklmnop ") for _ in range(900))) for i in range(40)], "doc_id long, text string").coalesce(1)
+    path = f"file://{tmp_path}/archives"
+    media.write_archives(docs, path, archive=5_000).collect()
+    archives = sorted((tmp_path / "archives").glob("*.archive"))
+    assert len(archives) > 1
+    index = archives[0].with_suffix(".index").read_bytes()
+    broken = struct.unpack(media.ENTRY, index[: media.ENTRY_SIZE])
+    raw = bytearray(archives[0].read_bytes())
+    raw[broken[2] + 60] ^= 255
+    archives[0].write_bytes(raw)
+    # Several byte ranges per archive read each member once.
+    rows = media.read_archives(spark, path, span=300).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(40))
+    assert {(r.doc_id, r.error) for r in rows if r.error} == {(broken[0], "checksum")} and all((r.media is None) == (r.error is not None) for r in rows)
+
+
+def test_texts_that_share_an_id(spark):
+    from rulespan.llm.substring import dedup_substrings
+    from rulespan.llm.suffix_dedup import dedup_suffixes
+
+    a, b = (" ".join(f"{x}{i}" for i in range(90)) for x in "ab")
+    docs = spark.createDataFrame([(1, a), (1, a), (1, b), (2, b + " " + a), (3, "c")], "doc_id long, text string")
+    words = sorted((r.doc_id, r.n_words, r.n_removed) for r in dedup_substrings(docs).collect())
+    assert words == [(1, 90, 0), (1, 90, 0), (1, 90, 0), (2, 180, 180), (3, 1, 0)]
+    raw = sorted((r.doc_id, r.n_removed) for r in dedup_suffixes(docs).collect())
+    assert raw == [(1, 0), (1, 0), (1, 0), (2, len(a) + len(b)), (3, 0)]
