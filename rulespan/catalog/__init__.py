@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rulespan.catalog import conditions, files, gaps, identity, logs, pairs, review, signing
+from rulespan.catalog import conditions, files, gaps, identity, logs, pairs, registry, review, signing
 from rulespan.catalog.base import QUERIES, SQL
 
-__all__ = ["conditions", "files", "gaps", "identity", "logs", "oracle_sql", "pairs", "queries", "review", "signing"]
+__all__ = ["conditions", "files", "gaps", "identity", "logs", "oracle_sql", "pairs", "queries", "registry", "review", "signing"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
