@@ -5,14 +5,42 @@ Both work on tables only: no link, label or component reaches the driver.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulespan.llm.common import materialize, release
 
 
+#: Links that one task joins (16 bytes each), at most; more go by rounds over tables.
+FEW = 1_000_000
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lo, hi) of all links -> (node, label): each node takes its neighbours' least label, and
+    its label's label, until nothing changes."""
+    parts = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(2)] for b in batches if b.num_rows]
+    if not parts:
+        return
+    lo, hi = (np.concatenate([p[i] for p in parts]) for i in range(2))
+    nodes, at = np.unique(np.concatenate([lo, hi]), return_inverse=True)
+    lo, hi = at[: len(lo)], at[len(lo) :]
+    label = np.arange(len(nodes))
+    while True:
+        before = label.copy()
+        least = np.minimum(label[lo], label[hi])
+        # The ends' labels are joined as well, not only the ends.
+        for end in (lo, hi, before[lo], before[hi]):
+            np.minimum.at(label, end, least)
+        label = label[label]
+        if (label == before).all():
+            break
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], names=["node", "label"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``edges(a, b)`` -> ``(node, label)``: each node's smallest reachable node.
 
@@ -20,9 +48,12 @@ def components(edges: DataFrame) -> DataFrame:
     are linked to its smallest neighbour, then every node's neighbours to its
     smallest. Both are one grouped minimum (combined before the shuffle) and one
     join, and the number of rounds grows with the logarithm of a component's
-    diameter. Empty input gives an empty result; loops and repeats are allowed."""
+    diameter. Up to ``FEW`` links are joined by one task instead. Empty input gives an
+    empty result; loops and repeats are allowed."""
     spark = edges.sparkSession
     links = materialize(edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo <> hi").distinct(), "cc")
+    if links.count() <= FEW:
+        return links.select("lo", "hi").repartition(1).mapInArrow(_joined, "node long, label long")
     while not _is_forest_of_stars(links):
         both = links.select(F.col("hi").alias("n"), F.col("lo").alias("m")).unionByName(links.select(F.col("lo").alias("n"), F.col("hi").alias("m")))
         least = both.groupBy("n").agg(F.min("m").alias("least")).withColumn("least", F.least("least", "n"))

@@ -29,6 +29,8 @@ import hashlib
 import math
 import tempfile
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +52,9 @@ BLOCK = 1 << 19
 SETS = 1 << 16
 DEALT = 1 << 21
 SORTED = 1 << 20
+#: Words of 64 cells of a set's short code, which rules out unrelated sets of up to some 2,000 shingles.
+CODE = 16
+PARITIES = [f"p{i}" for i in range(CODE)]
 #: Members of a block of a large bucket, about, and rows that are compared at a time.
 BLOCKED = 512
 COMPARED_ROWS = 8192
@@ -253,7 +258,8 @@ def _sets(words: int, lower: bool):
         for batch in batches:
             for a, sets in shingle_sets(batch.column(1), words, lower):
                 codes = [parities(s) for s in sets]
-                code = pa.StructArray.from_arrays([pa.array([len(s) for s in sets], pa.int64()), *(pa.array([x[i] for x in codes], pa.int64()) for i in range(4))], names=["n", "p0", "p1", "p2", "p3"])
+                codes = np.array(codes, np.int64).reshape(len(sets), CODE)
+                code = pa.StructArray.from_arrays([pa.array([len(s) for s in sets], pa.int64()), *(pa.array(codes[:, i]) for i in range(CODE))], names=["n", *PARITIES])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(sets)), code, pa.array([long_parities(s) for s in sets], pa.binary())], names=["c", "code", "parity"])
 
     return run
@@ -269,9 +275,9 @@ def _items(words: int, lower: bool):
 
 
 def parities(s: np.ndarray) -> list[int]:
-    """Whether each of 256 cells that shingles are hashed into holds an odd number of the
-    set's. Two sets differ in at least as many shingles as cells of other parity."""
-    odd = np.bincount((mix(s + U(0xA5A5A5A5)) >> U(56)).astype(np.int64), minlength=256) & 1
+    """Whether each of 64 * ``CODE`` cells that shingles are hashed into holds an odd number of
+    the set's. Two sets differ in at least as many shingles as cells of other parity."""
+    odd = np.bincount(((mix(s + U(0xA5A5A5A5)) >> U(32)) * U(64 * CODE) >> U(32)).astype(np.int64), minlength=64 * CODE) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
@@ -321,14 +327,14 @@ def _few_odd(i: np.ndarray, j: np.ndarray, raw: np.ndarray, at: np.ndarray, size
 
 
 def _close(percent: int):
-    """Rows (k, x, y, own, c, label, n, p0..p3, parity) in the order of (k, x, y): pairs of a
+    """Rows (k, x, y, own, c, label, n, parities, long parity) in the order of (k, x, y): pairs of a
     bucket's blocks x and y that have different labels and that sizes and parities allow to link."""
 
     def compared(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows).combine_chunks()
-        k, x, y, own, c, label, n, *code = (t.column(i).to_numpy() for i in range(11))
+        k, x, y, own, c, label, n, *code = (t.column(i).to_numpy() for i in range(7 + CODE))
         code = np.stack(code, axis=1).view(U)
-        binary = t.column(11).chunk(0)
+        binary = t.column(7 + CODE).chunk(0)
         raw = np.frombuffer(binary.buffers()[2], np.uint8)
         edge = np.frombuffer(binary.buffers()[1], np.int32)[binary.offset : binary.offset + len(binary) + 1].astype(np.int64)
         size = np.diff(edge)
@@ -384,7 +390,7 @@ def close_pairs(sets: DataFrame, percent: int):
         rows = rows.join(blocks, F.col("k") == F.col("of")).withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
         rows = rows.join(sets.select("c", "code", "parity"), "c")
         with_all = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("x"), F.greatest("own", j).alias("y")))
-        rows = rows.withColumn("at", F.explode(with_all)).select("k", "at.x", "at.y", "own", "c", "label", *[f"code.{f}" for f in ("n", "p0", "p1", "p2", "p3")], "parity")
+        rows = rows.withColumn("at", F.explode(with_all)).select("k", "at.x", "at.y", "own", "c", "label", *[f"code.{f}" for f in ("n", *PARITIES)], "parity")
         rows = rows.repartition("k", "x", "y").sortWithinPartitions("k", "x", "y")
         return rows.mapInArrow(giving_back(_close(percent)), "a long, b long").distinct()
 
@@ -395,7 +401,7 @@ def may_link(percent: int):
     """Whether two codes allow their sets to link: by sizes, and by parities."""
 
     def near(x, y):
-        odd = sum((F.bit_count(x[f"p{i}"].bitwiseXOR(y[f"p{i}"])) for i in range(1, 4)), F.bit_count(x["p0"].bitwiseXOR(y["p0"])))
+        odd = reduce(add, (F.bit_count(x[p].bitwiseXOR(y[p])) for p in PARITIES))
         return (odd * (100 + percent) <= (x["n"] + y["n"]) * (100 - percent)) & (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"]))
 
     return near
@@ -488,7 +494,7 @@ def join_components(docs: DataFrame, percent: int = 90, words: int = 3, lower: b
     release(spark)
     active = members.select(F.col("c").alias("doc_id")).distinct()
     texts = docs.join(active, "doc_id").select(F.col("doc_id").alias("c"), "text")
-    sets = materialize(texts.mapInArrow(giving_back(_sets(words, lower)), "c long, code struct<n:long,p0:long,p1:long,p2:long,p3:long>, parity binary"), "jac-sets")
+    sets = materialize(texts.mapInArrow(giving_back(_sets(words, lower)), f"c long, code struct<n:long,{','.join(p + ':long' for p in PARITIES)}>, parity binary"), "jac-sets")
     release(spark)
     labels = link_buckets(members, verifier(docs, sets, percent, words, lower), sets.select("c", "code"), may_link(percent), compare=close_pairs(sets, percent))
     release(spark, sets)

@@ -449,7 +449,7 @@ def test_close_pairs_of_large_buckets_are_all_compared(spark, monkeypatch):
         n = int(rng.integers(100, 260))
         sets.append(np.unique(np.concatenate([base[: n - i], rng.integers(0, 2**63, i).astype(np.uint64)])))
     rows = [(i, bytearray(s.tobytes()), (len(s), *jaccard.parities(s)), bytearray(jaccard.long_parities(s))) for i, s in enumerate(sets)]
-    table = spark.createDataFrame(rows, "c long, items binary, code struct<n:long,p0:long,p1:long,p2:long,p3:long>, parity binary")
+    table = spark.createDataFrame(rows, f"c long, items binary, code struct<n:long,{','.join(p + ':long' for p in jaccard.PARITIES)}>, parity binary")
     buckets = [(k, c, c % 9) for k, of in ((1, range(40)), (2, range(0, 40, 3)), (3, [5]), (4, [6, 7])) for c in of]
     got = {(r.a, r.b) for r in jaccard.close_pairs(table, 80)(spark.createDataFrame(buckets, "k long, c long, label long")).collect()}
     link = {(a, b) for a in range(40) for b in range(a + 1, 40) if a % 9 != b % 9 and jaccard.similar(sets[a], sets[b], 80)}
@@ -524,3 +524,23 @@ def test_texts_that_share_an_id(spark):
     assert words == [(1, 90, 0), (1, 90, 0), (1, 90, 0), (2, 180, 180), (3, 1, 0)]
     raw = sorted((r.doc_id, r.n_removed) for r in dedup_suffixes(docs).collect())
     assert raw == [(1, 0), (1, 0), (1, 0), (2, len(a) + len(b)), (3, 0)]
+
+
+def test_components_by_one_task_and_by_rounds(spark, monkeypatch):
+    from rulespan.llm import graph
+
+    rng = np.random.default_rng(10)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 120, (70, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(7, 7)]
+    least = {}
+    for a, b in edges:
+        least.setdefault(a, a), least.setdefault(b, b)
+    for _ in range(len(least)):
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    alone = {x for x in least if all(a == b for a, b in edges if x in (a, b))}
+    want = {(x, y) for x, y in least.items() if x not in alone}
+    table = spark.createDataFrame(edges, "a long, b long")
+    assert {tuple(r) for r in graph.components(table).collect()} == want
+    monkeypatch.setattr(graph, "FEW", 10)
+    assert {tuple(r) for r in graph.components(table).collect()} == want
+    assert graph.components(table.limit(0)).count() == 0
