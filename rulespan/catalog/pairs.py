@@ -138,7 +138,8 @@ def curated_pairs(spark, d):
 
 
 def effective_pairs(spark, d):
-    return rules.effective_pairs(curated_pairs(spark, d))
+    rule, ruling, crule, cruling, severity, axis, edge, membership, policy = rel(spark, d, "rule", "ruling", "class_rule", "class_ruling", "severity", "axis", "edge", "membership", "policy")
+    return rules.effective_grades(rule, ruling, crule, cruling, severity, axis, edge, membership, policy)
 
 
 query("curated_pairs", f"with recursive {CURATED} select * from curated")(curated_pairs)

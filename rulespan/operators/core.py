@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,13 +18,85 @@ from rulespan.plans.steps import cut
 HOPS = 5
 
 
+#: Edges that every task may hold to walk its own roots; larger hierarchies are walked by joins.
+HELD = 1_000_000
+#: Pairs of root and node that one walk holds before its roots are divided.
+WALKED = 4_000_000
+
+
 def closure(edges: DataFrame, roots: DataFrame, up: bool = False) -> DataFrame:
     """``edges(child, parent)``, ``roots(root)`` -> ``(root, node)``: each root, and all it
     reaches downwards (or upwards). A set: diamonds give one row, cycles end; null ends
-    and roots give none. A round goes ``HOPS`` levels on from what the round before found
-    first at its last level, and ends the walk if it finds nothing there."""
+    and roots give none.
+
+    A hierarchy of at most ``HELD`` edges goes to every task, which walks its roots level by
+    level: one pass, whatever the depth. A larger one is walked by joins, in rounds."""
     step = edges.select(F.col("child" if up else "parent").alias("node"), F.col("parent" if up else "child").alias("next"))
     step = step.where("node is not null and next is not null and node <> next")
+    held = step.limit(HELD + 1).toArrow()
+    if held.num_rows > HELD:
+        return _closure_by_joins(step, roots)
+    kind = edges.schema["child"].dataType.simpleString()
+    graph = edges.sparkSession.sparkContext.broadcast(_Graph(held.column("node"), held.column("next")))
+    wanted = roots.select(F.col("root").cast(kind).alias("root")).where("root is not null").distinct()
+    # Roots are few and what they reach is not, so they are dealt over all tasks.
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return wanted.repartition(parts).mapInArrow(_walk(graph), f"root {kind}, node {kind}")
+
+
+class _Graph:
+    """Children of numbered nodes, one list after the other."""
+
+    def __init__(self, node: pa.ChunkedArray, after: pa.ChunkedArray):
+        self.nodes = pa.chunked_array([*node.chunks, *after.chunks], node.type).unique()
+        a, b = (pc.index_in(x, self.nodes).to_numpy(zero_copy_only=False).astype(np.int64) if len(x) else np.zeros(0, np.int64) for x in (node.combine_chunks(), after.combine_chunks()))
+        order = np.argsort(a, kind="stable")
+        self.after = b[order]
+        self.first = np.searchsorted(a[order], np.arange(len(self.nodes) + 1))
+
+    def walk(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """(place in ``start``, node) of all that is reached, None if that is too much at once."""
+        size = max(1, len(self.nodes))
+        seen = level = np.arange(len(start)) * size + start
+        while len(level):
+            node = level % size
+            many = self.first[node + 1] - self.first[node]
+            step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            reached = np.unique(np.repeat(level - node, many) + self.after[np.repeat(self.first[node], many) + step])
+            level = np.setdiff1d(reached, seen, assume_unique=True)
+            seen = np.union1d(seen, level)
+            if len(seen) > WALKED and len(start) > 1:
+                return None
+        return seen // size, seen % size
+
+
+def _walk(graph):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = graph.value
+        for batch in batches:
+            roots = batch.column(0)
+            at = pc.index_in(roots, g.nodes)
+            # Roots that no edge names reach themselves.
+            alone = roots.filter(at.is_null())
+            yield pa.RecordBatch.from_arrays([alone, alone], names=["root", "node"])
+            known, at = roots.filter(at.is_valid()), at.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+            todo = [(0, len(at))]
+            while todo:
+                a, b = todo.pop()
+                if a == b:
+                    continue
+                found = g.walk(at[a:b])
+                if found is None:
+                    todo += [(a, (a + b) // 2), ((a + b) // 2, b)]
+                    continue
+                yield pa.RecordBatch.from_arrays([known.take(pa.array(found[0] + a)), g.nodes.take(pa.array(found[1])).cast(known.type)], names=["root", "node"])
+
+    return run
+
+
+def _closure_by_joins(step: DataFrame, roots: DataFrame) -> DataFrame:
+    """A closure in rounds: each goes ``HOPS`` levels on from what the one before found first at
+    its last level, and ends the walk if it finds nothing there."""
     level = roots.select("root").where("root is not null").distinct().withColumn("node", F.col("root"))
     known: DataFrame | None = None
     while True:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rulespan.operators.core import closure
+from rulespan.plans.steps import cut
 
 
 def binding(policy: DataFrame) -> DataFrame:
@@ -134,6 +136,44 @@ def effective_pairs(curated: DataFrame) -> DataFrame:
     return best.select(*keys, *[F.col(f"best.{c}.value").alias(c) for c in curated.columns if c not in keys])
 
 
+def effective_grades(rules, rulings, class_rules, class_rulings, severity, axis, edges, membership, policy) -> DataFrame:
+    """The rows of ``effective_pairs(curated_pairs(...))``, by a minimum of numbers.
+
+    Which grade wins depends on the judged rules alone: the partner's member class is the same
+    for all rows of a rule and a pair. So the judged rules, few beside their pairs, are
+    numbered in the order of precedence, pairs carry numbers only, their least is a hash
+    aggregate, and what the number stands for is joined to the winners."""
+    graded = ["severity", "evidence", "reviewed_at", "reviewed_by"]
+    one = rules.select("subject", "object", "rel", "source").distinct().join(rulings.where("superseded_by is null and applies").select("subject", "object", "rel", *graded), ["subject", "object", "rel"])
+    none = F.lit(None).cast("long")
+    one = one.select(F.lit(0).alias("grain_order"), "subject", none.alias("via_subject_class"), F.col("object").alias("via_class"), "rel", F.col("source").alias("candidate_source"), *graded)
+    two = class_rules.select("subject_class", "object_class", "rel", "source").distinct()
+    two = two.join(class_rulings.where("superseded_by is null and applies").select("subject_class", "object_class", "rel", *graded), ["subject_class", "object_class", "rel"])
+    two = two.select(F.lit(1).alias("grain_order"), none.alias("subject"), F.col("subject_class").alias("via_subject_class"), F.col("object_class").alias("via_class"), "rel", F.col("source").alias("candidate_source"), *graded)
+    judged = one.unionByName(two).join(F.broadcast(severity.select("severity", "rank")), "severity", "left")
+    judged = judged.withColumn("effective_rank", F.coalesce("rank", F.lit(0))).drop("rank")
+    last = lambda c: F.struct(F.col(c).isNull(), F.col(c))
+    order = ["effective_rank", "grain_order", *map(last, ("candidate_source", "via_subject_class", "via_class", "reviewed_at", "reviewed_by", "evidence"))]
+    # Numbers within a relation, as a pair's rows have one: each relation is a window of its rules.
+    judged = cut(judged.withColumn("number", F.row_number().over(W.partitionBy("rel").orderBy(*order, "subject"))))
+    ends = judged.select(F.col("via_class").alias("concept"), "rel").union(judged.where("grain_order = 1").select("via_subject_class", "rel")).distinct()
+    subtree = closure(edges, ends.select(F.col("concept").alias("root")))
+    side = cut(expanded_members(ends, axis, subtree, membership, policy))
+    of = lambda end, name: side.select(F.col("concept").alias(end), "rel", F.col("entity").alias(name))
+    first = judged.where("grain_order = 0").select("subject", "via_class", "rel", "number").groupBy("subject", "via_class", "rel").agg(F.min("number").alias("number"))
+    # A subject in several subject classes of one object class is one row, of the least number.
+    second = judged.where("grain_order = 1").select("number", "via_subject_class", "via_class", "rel").join(of("via_subject_class", "subject"), ["via_subject_class", "rel"])
+    second = second.groupBy("subject", "via_class", "rel").agg(F.min("number").alias("number"))
+    # Of both grains a subject keeps its least number for an object class: the partners are the same.
+    both = first.unionByName(second).groupBy("subject", "via_class", "rel").agg(F.min("number").alias("number"))
+    pairs = both.join(of("via_class", "partner"), ["via_class", "rel"]).where("subject <> partner").select("subject", "partner", "rel", "number")
+    best = pairs.groupBy("subject", "partner", "rel").agg(F.min("number").alias("number"))
+    rows = best.join(judged.drop("subject"), ["rel", "number"])
+    rows = rows.join(side.select(F.col("concept").alias("via_class"), "rel", F.col("entity").alias("partner"), "member_class"), ["via_class", "rel", "partner"])
+    grain = F.when(F.col("grain_order") == 0, "entity_rule").otherwise("class_rule").alias("grain")
+    return rows.select("subject", "partner", "rel", "candidate_source", "via_subject_class", "via_class", "member_class", *graded, grain, "effective_rank")
+
+
 def disagreements(curated: DataFrame) -> DataFrame:
     """Pairs, in either order, that the two grains grade differently, by both rules and grades."""
     unordered = (F.least("subject", "partner").alias("lo"), F.greatest("subject", "partner").alias("hi"), "rel")

@@ -36,6 +36,36 @@ def test_closure_ends_on_cycles_and_dedupes_diamonds(spark, world):
 
 def test_closure_of_no_roots_is_empty(spark, world):
     assert core.closure(world[0], frame(spark, [], "root long")).count() == 0
+    assert core.closure(world[0].limit(0), frame(spark, [(3,), (None,), (3,)], "root long").where("true")).collect() == [(3, 3)]
+
+
+def test_closure_by_joins_and_in_one_pass_agree(spark, monkeypatch):
+    import random
+
+    rng = random.Random(6)
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(90)] + [(i + 100, i + 101) for i in range(30)] + [(None, 3), (4, None), (5, 5)]
+    for kind, of in (("long", lambda x: x), ("string", lambda x: None if x is None else f"n{x}")):
+        edge = frame(spark, [(of(a), of(b)) for a, b in pairs], f"child {kind}, parent {kind}")
+        roots = frame(spark, [(of(x),) for x in (*range(0, 60, 7), 130, 999, None, 7)], f"root {kind}")
+        one = {tuple(r) for r in core.closure(edge, roots).collect()}
+        monkeypatch.setattr(core, "WALKED", 5)
+        assert {tuple(r) for r in core.closure(edge, roots).collect()} == one
+        monkeypatch.setattr(core, "HELD", 10)
+        assert {tuple(r) for r in core.closure(edge, roots).collect()} == one
+        monkeypatch.undo()
+        children = {}
+        for a, b in pairs:
+            children.setdefault(b, set()).add(a)
+        want = set()
+        for r in (*range(0, 60, 7), 130, 999, 7):
+            seen, todo = {r}, [r]
+            while todo:
+                for c in children.get(todo.pop(), ()):
+                    if c is not None and c not in seen:
+                        seen.add(c)
+                        todo.append(c)
+            want |= {(of(r), of(x)) for x in seen}
+        assert one == want
 
 
 @pytest.mark.parametrize("decisions, want", [((), {(10, 1, True), (11, 2, False)}), (((1, "deny"),), {(10, 1, True)}), (((1, "allow"),), {(10, 1, True), (11, 2, False)}), (((1, "withdrawn"),), {(10, 1, True), (11, 2, False)}), (((2, "deny"),), {(10, 1, True), (11, 2, False)})])
@@ -153,6 +183,10 @@ def test_class_pairs_reach_and_curated_grains(spark, world):
     best = {(r.subject, r.partner): r.severity for r in rules.effective_pairs(curated).collect()}
     # A grade without a rank comes before all others.
     assert best == {(7, 10): "major", (7, 11): "odd", (10, 7): "odd", (10, 11): "odd", (11, 7): "odd"}
+    # The same by numbers of judged rules, with all columns.
+    fast = rules.effective_grades(rule, ruling, crule, cruling, severity, axis, edge, membership, policy(spark))
+    slow = rules.effective_pairs(curated)
+    assert sorted(map(str, fast.select(*slow.columns).collect())) == sorted(map(str, slow.collect()))
     found = {(r.rule_subject, r.class_subject, r.partners) for r in rules.disagreements(curated).collect()}
     assert found == {(7, 1, 2)}
 
