@@ -330,7 +330,7 @@ PAGE = f"""select concat('<html><head><meta property="article:modified_time" con
 FACTS = """item as (select * from (values (3, 'CYP strong inhibitor', 'CYP', 'inhibitor', 'strong', '1A2', '5'), (3, 'CYP strong inhibitor', 'CYP', 'inhibitor', 'strong', '2C9', null),
     (7, 'CYP moderate sensitive substrate', 'CYP', 'substrate', 'moderate sensitive', '2D6', '5'), (7, 'CYP moderate sensitive substrate', 'CYP', 'substrate', 'moderate sensitive', '3A', '5'),
     (4, 'transporter inhibitor', 'transporter', 'inhibitor', null, 'P-gp', '5'), (4, 'transporter inhibitor', 'transporter', 'inhibitor', null, 'MATE2-K', null)) as t(of, heading, system, role, potency, pathway, cell_markers)),
-fact as (select p_partkey, p_name || ' x' || cast(p_partkey as varchar) as substance, row_number() over (partition by p_brand order by p_partkey) as row, p_size, t.*, case when p_size % 5 = 0 then '14, b' end as row_markers
+fact as (select p_partkey, p_name || ' x' || cast(p_partkey as varchar) as substance, p_size, t.*, case when p_size % 5 = 0 then '14, b' end as row_markers
   from {part} join item t on p_size % t.of = 0)"""
 FACT_ROWS = f"""{FACTS}, facts as (select substance, heading, system, pathway, role, potency, row_markers, cell_markers, nullif(concat_ws(', ', row_markers, cell_markers), '') as markers,
   nullif(concat_ws(' / ', case when row_markers is not null then 'fourteen lines' end, case when cell_markers = '5' then 'five & more' end), '') as footnote, '2026-05-29T14:00' as release from fact)"""
@@ -343,14 +343,13 @@ def _facts(s, d):
     return pages.role_tables(s, path)
 
 
-@query("src_fda_facts", f"""with {FACTS.replace('as row, p_size', 'as n, p_size')}, facts as (select substance, heading, system, pathway, role, potency, row_markers, cell_markers, nullif(concat_ws(', ', row_markers, cell_markers), '') as markers,
-  nullif(concat_ws(' / ', case when row_markers is not null then 'fourteen lines' end, case when cell_markers = '5' then 'five & more' end), '') as footnote, '2026-05-29T14:00' as release from fact) select * from facts""")
+@query("src_fda_facts", f"with {FACT_ROWS} select * from facts")
 def _(s, d):
     heading = F.regexp_replace("heading", r"\\s+", " ")
     return _facts(s, d).select("substance", heading.alias("heading"), "system", "pathway", "role", "potency", "row_markers", "cell_markers", "markers", "footnote", "release")
 
 
-JUDGED = f"""{FACT_ROWS}, judged as (select f.*, case when f.substance like 'red %' and false then '' when p.p_partkey % 6 = 0 then 'non_drug_entity' when p.p_partkey % 3 = 1 then 'unresolved_substance'
+JUDGED = f"""{FACT_ROWS}, judged as (select f.*, case when p.p_partkey % 6 = 0 and p.p_partkey < 25 then 'non_drug_entity' when p.p_partkey % 3 = 1 then 'unresolved_substance'
   when f.markers is not null then 'withheld_qualified' else 'member' end as disposition from facts f join {{part}} p on p.p_name || ' x' || cast(p.p_partkey as varchar) = f.substance)"""
 
 
@@ -360,17 +359,17 @@ def _roles(s, d):
     # Two entities of one folded name resolve to none.
     entities = part.where("p_partkey % 3 <> 1").select(name.alias("name"), F.col("p_partkey").alias("entity"))
     twice = part.where("p_partkey % 3 = 1").select(name.alias("name"), F.explode(F.array(F.lit(-1).cast("long"), F.lit(-2).cast("long"))).alias("entity"))
-    # The list of entities that are no drugs is short and closed.
-    not_drugs = [r["name"] for r in part.where("p_partkey % 6 = 0").select(name.alias("name")).collect()]
+    # The list of names that are no drugs is short and closed.
+    not_drugs = [r["name"] for r in part.where("p_partkey % 6 = 0 and p_partkey < 25").select(name.alias("name")).collect()]
     return ingest.role_facts(_facts(s, d), entities.unionByName(twice), not_drugs)
 
 
-@query("ingest_fda", f"""with {JUDGED.replace('as row, p_size', 'as n, p_size')} select substance, pathway, lower(system) || ':' || lower(replace(pathway, '-', '')) || ':' || role || coalesce(':' || replace(potency, ' ', '-'), '') as code, markers, disposition from judged""")
+@query("ingest_fda", f"""with {JUDGED} select substance, pathway, lower(system) || ':' || lower(replace(pathway, '-', '')) || ':' || role || coalesce(':' || replace(potency, ' ', '-'), '') as code, markers, disposition from judged""")
 def _(s, d):
     return _roles(s, d)["assertions"].select("substance", "pathway", "code", "markers", "disposition")
 
 
-@query("ingest_fda_counts", f"""with {JUDGED.replace('as row, p_size', 'as n, p_size')} select count(*) as facts, count(*) filter (where disposition = 'member') as member, count(*) filter (where disposition = 'withheld_qualified') as withheld_qualified,
+@query("ingest_fda_counts", f"""with {JUDGED} select count(*) as facts, count(*) filter (where disposition = 'member') as member, count(*) filter (where disposition = 'withheld_qualified') as withheld_qualified,
   count(*) filter (where disposition = 'unresolved_substance') as unresolved_substance, 0 as combination_regimen, count(*) filter (where disposition = 'non_drug_entity') as non_drug_entity from judged""")
 def _(s, d):
     return _roles(s, d)["counts"]
@@ -463,3 +462,25 @@ def _(s, d):
     items = (F.size(F.split("html", "<li>")) - 1).cast("long")
     return rel(s, d, "pages")[0].select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), items.alias("items"))
 
+
+
+LABEL = """select p_partkey as product, case when p_partkey % 7 = 0 then '{{"error": "none"}}' when p_partkey % 7 = 1 then null else concat('[{{"seccion": "4.6.', cast(p_size % 3 as varchar(20)), '", "titulo": "Fertilidad, EMBARAZO y ', p_type, '", "contenido": "<p>', p_name, ' &lt;b&gt;<br>&amp;amp;  x</p>"}}, {{"seccion": "4.6.2", "titulo": "Otra", "contenido": null}}]') end as body from {part}"""
+
+
+@query("src_label_sections", """select p_partkey as product, '4.6.' || cast(p_size % 3 as varchar) as code, 'pregnancy' as context, p_name || ' <b> &amp; x' as text from {part} where p_partkey % 7 > 1
+  union all select p_partkey as product, '4.6.2' as code, 'lactation' as context, '' as text from {part} where p_partkey % 7 > 1""")
+def _(s, d):
+    rows = records.label_sections(spark_sql(s, d, LABEL))
+    return rows.select("product", "code", "context", records.flat_text(F.col("html")).alias("text"))
+
+
+@query("revision_dates", "select p_partkey, try_cast(cast(2000 + p_size as varchar) || '-' || lpad(cast(p_partkey % 14 as varchar), 2, '0') || '-' || lpad(cast(p_partkey % 32 as varchar), 2, '0') as date) as revised from {part}")
+def _(s, d):
+    text = lambda c: c.cast("string")
+    return rel(s, d, "part")[0].select("p_partkey", records.revision_date(text(2000 + F.col("p_size")), text(F.col("p_partkey") % 14), text(F.col("p_partkey") % 32)).alias("revised"))
+
+
+@query("with_summary", "select p_partkey from {part} where p_partkey % 3 = 1")
+def _(s, d):
+    sections = F.array(F.struct(F.lit("other").alias("kind"), F.lit("x").alias("text")), F.struct(F.lit("summary").alias("kind"), F.when(F.expr("p_partkey % 3 = 1"), "y").when(F.expr("p_partkey % 3 = 2"), " ").alias("text")))
+    return records.with_summary(rel(s, d, "part")[0].select("p_partkey", sections.alias("sections"))).select("p_partkey")

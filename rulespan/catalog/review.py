@@ -99,3 +99,18 @@ def _(s, d):
 @query("live_judgements", "select subject, object, rel, applies, severity, evidence from {ruling} where superseded_by is null")
 def _(s, d):
     return rules.live_judgements(*rel(s, d, "ruling"))
+
+
+@query("review_record", """with question as (select 'rule' as kind, 'ENTITY:' || cast(user_id as varchar) as gap_key, user_id as question from (select distinct user_id from {events}) where user_id % 4 <> 0),
+  item as (select event_id as id, user_id as question, user_id % 7 as reviewer, ts as at, case when event_type = 'error' then 'reference' else 'annotation' end as item, event_type as content, case when event_type = 'error' then 'DOI' end as scheme from {events})
+  select q.kind, q.gap_key, i.item, i.id, case when i.reviewer <> 3 then 'r' || cast(i.reviewer as varchar) end as author, i.scheme, i.content, row_number() over (partition by q.question, i.item order by i.at, i.id) as turn
+  from question q join item i on i.question = q.question""")
+def _(s, d):
+    (events,) = rel(s, d, "events")
+    key = F.concat(F.lit("ENTITY:"), F.col("user_id"))
+    questions = events.select(F.lit("rule").alias("kind"), key.alias("gap_key"), F.col("user_id").alias("question"), (F.col("user_id") % 4 != 0).alias("is_current")).distinct()
+    rows = events.select(F.col("user_id").alias("question"), F.col("event_id").alias("id"), (F.col("user_id") % 7).alias("reviewer"), F.col("ts").alias("at"), "event_type")
+    notes = rows.where("event_type <> 'error'").withColumnRenamed("event_type", "text")
+    references = rows.where("event_type = 'error'").withColumnRenamed("event_type", "value").withColumn("scheme", F.lit("DOI"))
+    profiles = events.select((F.col("user_id") % 7).alias("reviewer")).distinct().withColumn("name", F.concat(F.lit("r"), "reviewer")).withColumn("superseded_by", F.when(F.col("reviewer") == 3, 1))
+    return review.record(questions.select("kind", "gap_key"), questions, notes, references, profiles)

@@ -148,3 +148,17 @@ def worklist(questions: DataFrame, states: DataFrame, tiers: DataFrame, checks:
     rows = rows.join(done, "question", "left").crossJoin(F.broadcast(all_tiers))
     open_ = F.filter("tiers", lambda t: ~F.coalesce(F.array_contains("done", t["source"]), F.lit(False)))
     return rows.select("question", "kind", "state", F.try_element_at(F.transform(open_, lambda t: t["rank"]), F.lit(1)).alias("rank"))
+
+
+def record(target: DataFrame, questions: DataFrame, annotations: DataFrame, references: DataFrame, profiles: DataFrame) -> DataFrame:
+    """What reviewers left on the current question of each ``target(kind, gap_key)``: annotations
+    and references with their author's live name, the oldest first (``turn``). A target without a current question is not there."""
+    from pyspark.sql import Window as W
+
+    live = profiles.where(LIVE).select("reviewer", F.col("name").alias("author"))
+    asked = target.distinct().join(questions.where("is_current").select("kind", "gap_key", "question"), ["kind", "gap_key"])
+    one = annotations.select("question", "id", "reviewer", "at", F.lit("annotation").alias("item"), F.col("text").alias("content"), F.lit(None).cast("string").alias("scheme"))
+    two = references.select("question", "id", "reviewer", "at", F.lit("reference").alias("item"), F.col("value").alias("content"), "scheme")
+    rows = asked.join(one.unionByName(two), "question").join(live, "reviewer", "left")
+    turn = F.row_number().over(W.partitionBy("question", "item").orderBy("at", "id")).cast("long").alias("turn")
+    return rows.select("kind", "gap_key", "item", "id", "author", "scheme", "content", turn)

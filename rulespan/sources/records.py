@@ -131,3 +131,40 @@ def wanted_concepts(records: DataFrame, wanted: DataFrame) -> DataFrame:
     rows = records.select("*", F.explode("concepts").alias("c")).join(wanted.distinct(), F.col("c.ui") == F.col("concept"))
     best = F.min(F.struct(kind.alias("order"), "ui", "name", "kind", "scr_class", "trees", "uniis", "cas", F.col("c.preferred").alias("preferred"))).alias("best")
     return rows.groupBy("concept").agg(best).select("concept", "best.*").drop("order")
+
+
+SECTION = "array<struct<seccion:string, titulo:string, contenido:string>>"
+
+
+def label_sections(responses: DataFrame) -> DataFrame:
+    """``responses(product, body)`` of a label service -> (product, code, title, html, context). An
+    object with an error says that there are no sections; any other body that is no list is an
+    error. The context is pregnancy or lactation by the section's number or else its title, or mixed."""
+    body = F.trim("body")
+    none = body.startswith("{") & F.get_json_object("body", "$.error").isNotNull()
+    listed = F.from_json("body", SECTION)
+    said = F.raise_error(F.concat(F.lit("no list of sections: "), F.coalesce(F.col("product").cast("string"), F.lit("null")))).cast("boolean")
+    rows = responses.where(F.coalesce(body, F.lit("")) != "").where(F.when(none, False).when(~body.startswith("[") | listed.isNull(), said).otherwise(True))
+    rows = rows.select("product", F.explode(listed).alias("s")).select("product", *[F.coalesce(F.col(f"s.{c}"), F.lit("")).alias(n) for c, n in (("seccion", "code"), ("titulo", "title"), ("contenido", "html"))])
+    folded = F.lower("title")
+    context = F.when(F.col("code").startswith("4.6.1") | folded.contains("embarazo"), "pregnancy").when(F.col("code").startswith("4.6.2") | folded.contains("lactancia"), "lactation").otherwise("mixed")
+    return rows.withColumn("context", context)
+
+
+def flat_text(html: Column) -> Column:
+    """Markup as plain text: tags become spaces, the five basic character references and
+    non-breaking spaces are read, white space is one space. The ampersand comes last, so nothing is read twice."""
+    out = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"(?s)<[^>]*>", " ")
+    for name, char in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("amp", "&")):
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
+    return F.trim(F.regexp_replace(out, r"[\s ]+", " "))
+
+
+def revision_date(year: Column, month: Column, day: Column) -> Column:
+    """A date of its parts, null if they make none."""
+    return F.try_to_date(F.concat_ws("-", F.lpad(F.trim(year), 4, "0"), F.lpad(F.trim(month), 2, "0"), F.lpad(F.trim(day), 2, "0")), "yyyy-MM-dd")
+
+
+def with_summary(records: DataFrame, section: str = "summary") -> DataFrame:
+    """Records that hold a non-blank section of the given kind: ``records(..., sections)`` of (kind, text)."""
+    return records.where(F.exists("sections", lambda s: (s["kind"] == section) & (F.trim(F.coalesce(s["text"], F.lit(""))) != "")))

@@ -223,3 +223,34 @@ def test_role_facts_become_memberships(spark, put, t):
     assert [r.entity for r in got] == [1] and (code.code, code.name) == ("cyp:1a2:inhibitor:strong", "CYP1A2 strong inhibitor [FDA-CYP]")
     want = spark.range(1).select(uuid5(__import__("pyspark").sql.functions.lit("FDACYP:CYP:1A2:INHIBITOR:STRONG"))).first()[0]
     assert code.concept == want and tuple(out["counts"].first()) == (5, 1, 1, 1, 1, 1)
+
+
+def test_label_sections_and_text(spark, t):
+    body = '[{"seccion":"4.6.1","titulo":"x","contenido":"<p>a<style>z</style>&nbsp;b &amp;lt;</p>"},{"seccion":"4.6.9","titulo":"La Lactancia"},{"titulo":"other"}]'
+    rows = records.label_sections(t("product string, body string", ("p", body), ("q", '{"error":"404"}'), ("r", None), ("s", " "), ("t", "[]")))
+    assert {(r.product, r.code, r.context) for r in rows.collect()} == {("p", "4.6.1", "pregnancy"), ("p", "4.6.9", "lactation"), ("p", "", "mixed")}
+    assert rows.where("code = '4.6.1'").select(records.flat_text(rows.html)).first()[0] == "a b &lt;"
+    for bad in ('{"x":1}', "text"):
+        with pytest.raises(Exception, match="no list"):
+            records.label_sections(t("product string, body string", ("p", bad))).collect()
+
+
+def test_chains(spark, put, tmp_path):
+    from rulespan.plans import chain
+
+    put("a_1.txt", "a"), put("b_1.txt", "b"), put("c_1.xml", "c"), put("c_2.xml", "c")
+    folder, ran, heard = f"file://{tmp_path}", [], []
+    step = lambda name, **inputs: chain.Step(name, inputs, lambda s, files, release: ran.append((name, sorted(files), release)))
+    steps = [step("one", a="a_*.txt"), step("two", a="a_*.txt", b="b_*.txt"), step("three", c="c_*.xml"), chain.Step("four", {"d": "d_*"}, lambda s, files, release: 1 / 0, {"d": "packaged"})]
+    releases = {"one": "r", "two": "r", "three": "r", "four": "r"}
+    log = lambda *x: heard.append(x)
+    assert chain.run_chain(spark, steps, folder, releases, log, only=["two", "one"]) == ["one", "two"] and ran == [("one", ["a"], "r"), ("two", ["a", "b"], "r")]
+    assert heard == [("one", "begun"), ("one", "finished"), ("two", "begun"), ("two", "finished")]
+    for only, stated, why in ((["three"], releases, "2 files match"), (["nine"], releases, "no such"), (["one"], {}, "no release"), (["one", "two"], {"one": "r", "two": "s"}, "can't be of release")):
+        ran.clear()
+        with pytest.raises(chain.ChainError, match=why):
+            chain.run_chain(spark, steps, folder, stated, log, only=only)
+        assert not ran
+    with pytest.raises(ZeroDivisionError):
+        chain.run_chain(spark, steps, folder, releases, log, skip=["three"])
+    assert ran == [("one", ["a"], "r"), ("two", ["a", "b"], "r")] and heard[-1] == ("four", "failed")
