@@ -544,3 +544,41 @@ def test_components_by_one_task_and_by_rounds(spark, monkeypatch):
     monkeypatch.setattr(graph, "FEW", 10)
     assert {tuple(r) for r in graph.components(table).collect()} == want
     assert graph.components(table.limit(0)).count() == 0
+
+
+def made_site(pages: int, wrap: tuple[str, str], seed: int):
+    """Pages of one host and their main texts: a menu, a notice and a footer are the same on each,
+    and so are lines within the content that no name gives away."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    every, foot = line(9), line(7)
+    out = []
+    for i in range(pages):
+        title, blocks = line(4), [line(rng.randint(12, 40)) for _ in range(rng.randint(2, 5))]
+        body = "".join(f"<p>{b}</p>" for b in blocks)
+        html = f"<html><head><title>{title}</title></head><body><nav><a href='/'>Home</a></nav><div class='x1'><p>{every}</p></div>{wrap[0]}<h1>{title}</h1>{body}<p>{foot}</p>{wrap[1]}<div class='x2'><p>{every} more</p></div><footer>all rights</footer></body></html>"
+        out.append((i, f"https://made.example/{seed}/{i}", html, "\n\n".join([title, *blocks])))
+    return out
+
+
+@pytest.mark.parametrize("wrap", [("<article>", "</article>"), ("<div class='body'>", "</div>"), ("<section id='a'><div>", "</div></section>")])
+def test_html_of_a_made_site(spark, wrap):
+    from rulespan.llm.html import extract
+
+    site = made_site(50, wrap, len(wrap[0]))
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame([s[:3] for s in site], "page_id long, url string, html string")).collect()}
+    # Word for word what was put in: the template alone tells it from what is on every page.
+    assert got == {s[0]: s[3] for s in site}
+
+
+def test_html_of_empty_and_repeated_pages(spark):
+    from rulespan.llm.html import extract
+
+    schema = "page_id long, url string, html string, text string, host string"
+    assert extract(spark.createDataFrame([], schema)).count() == 0
+    page = "<p>one two three four five six seven</p>"
+    rows = [(1, "https://a.example/x", page, "t", "h"), (1, "https://a.example/x", page, "t", "h"), (2, None, None, "t", "h"), (3, "no url", "", "t", "h"), (4, "https://b.example/", "<b>&lt;tag&gt;  and\n more</b>", None, None)]
+    got = sorted((r.page_id, r.text, r.n_chars) for r in extract(spark.createDataFrame(rows, schema)).collect())
+    text = "one two three four five six seven"
+    assert got == [(1, text, len(text)), (1, text, len(text)), (2, "", 0), (3, "", 0), (4, "<tag> and more", 14)]
