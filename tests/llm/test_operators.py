@@ -378,20 +378,34 @@ def test_quality(spark, docs, none):
     rng = random.Random(1)
     good = lambda: " ".join("".join(rng.choice("abcde") for _ in range(4)) for _ in range(60))
     rows, labels = [], []
-    for i in range(240):
-        bad = i % 4 == 0
+    for i in range(480):
+        # Faulty rows lie in both halves, of which one is labelled.
+        bad = i % 8 in (0, 1)
         rows.append((i, good() + (" vileword" if bad else ""), "en", f"h{i % 3}", 0))
         if i % 2 == 0:
             labels.append((i, 1, int(bad)))
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     got = {r.doc_id: r.keep for r in classify(d, lab).collect()}
-    held = [i for i in range(240) if i % 2]
-    assert all(got[i] for i in held) and not any(got[i] for i in range(0, 240, 4))
+    assert all(got[i] == (i % 8 not in (0, 1)) for i in got)
+    # Labels with nulls, clashing columns and unknown documents.
+    odd = spark.createDataFrame([(0, None, None, "x"), (None, 0, 1, "y"), (10**9, 0, 1, "z")], "doc_id long, quality int, toxic int, text string")
+    assert classify(d, odd).where("keep").count() == 480
     assert classify(docs, lab).count() == len(texts())
     assert classify(none, lab.limit(0)).count() == 0
 
 
+def test_a_sparse_site_is_drawn_to_the_rate_of_all(spark):
+    from rulespan.llm.quality import site_rates
+
+    # A host of one bad path among many good ones, a host with one row, and a null host.
+    rows = [("big", f"p{i % 20}", -6.0) for i in range(2000)] + [("big", "bad", 6.0)] * 200 + [("tiny", "only", 6.0)] + [(None, None, -6.0)] * 50
+    rates, rate = site_rates(spark.createDataFrame(rows, "host string, path string, junk_evidence double"), "junk")
+    got = {(r.host, r.path): r.junk_site_rate for r in rates.collect()}
+    assert len(got) == 23 and 0.05 < rate < 0.15
+    assert got["big", "bad"] > 0.5 > got["tiny", "only"] > rate and got["big", "p0"] < rate
+
+
 def test_long_parities_never_exceed_the_difference():
     from rulespan.llm.jaccard import long_parities, odd_cells
 
