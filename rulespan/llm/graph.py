@@ -75,7 +75,7 @@ def _is_forest_of_stars(links: DataFrame) -> bool:
 
 
 #: Comparisons per row of the buckets left, up to which they are compared pair by pair.
-COMPARED = 32
+COMPARED = 128
 
 
 def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], codes: DataFrame | None = None, near: Callable[[Column, Column], Column] | None = None, rounds: int = 3, compare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

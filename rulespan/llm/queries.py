@@ -1,8 +1,8 @@
-"""Queries that apply each corpus operator to its whole table, and their SQL.
+"""Queries that apply each corpus operator to its whole table.
 
-The operators are not expressible in SQL on whole tables (they return digests of
-results of iterative or order-dependent algorithms), so ``oracle_sql`` has none but the
-word counts that the mix is based on; tests compare each query with brute force.
+Their results are digests of iterative or order-dependent algorithms, which SQL on whole
+tables can't express, so ``oracle_sql`` is empty; tests compare each query with brute force,
+an exact round trip or held-out rows.
 """
 
 from __future__ import annotations
