@@ -142,7 +142,8 @@ def _(s, d):
     run = run.select("run_id", "source", "writer", F.col("started").cast("timestamp").alias("started"), F.col("finished").cast("timestamp").alias("finished"))
     new = supplier.select((5000000 + F.col("s_suppkey")).alias("run_id"), F.lit("S").alias("source"), F.lit("w").alias("writer"), F.lit("2001-01-01 00:00:00").cast("timestamp").alias("started"))
     done = run.where("run_id % 20 = 0").select("run_id", (F.col("started") + F.expr("interval 1 hour")).alias("at"))
-    return registry.finish_runs(registry.open_runs(run, new), done)
+    # Finishes are of stored runs, so they come first: a new run may bear one of their numbers.
+    return registry.open_runs(registry.finish_runs(run, done), new)
 
 
 @query("worklist_by_identity", """select distinct rxcui, max(reason) over (partition by rxcui) as reason, cast(7 as bigint) as run from (select rxcui, min(reason) as reason from {unmatched} group by rxcui) as x

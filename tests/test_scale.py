@@ -11,3 +11,12 @@ def test_even_sample_over_several_range_partitions(spark):
     ids = spark.range(0, 300_000, 1, 8).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     wanted = sorted({round(i * 299_999 / 36) for i in range(37)})
     assert sorted((r.k, r.v) for r in T.even_sample(ids, "k", 37).collect()) == [(k, 2 * k) for k in wanted]
+
+
+def test_a_new_run_that_bears_a_stored_runs_number_stays_open(spark, tmp_path):
+    when = F.lit("2000-01-01 00:00:00").cast("timestamp")
+    ids = spark.createDataFrame([(5_000_020,), (40,), (41,)], "o_orderkey long")
+    ids.select("o_orderkey", F.lit("p").alias("o_orderpriority"), F.lit("O").alias("o_orderstatus"), when.alias("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(20,)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = catalog.queries()["run_ledger"](spark, str(tmp_path)).collect()
+    assert sorted((r.run_id, r.source, r.finished is None) for r in got) == [(40, "p", False), (41, "p", False), (5_000_020, "S", True), (5_000_020, "p", False)]
