@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulespan.functions.text import registry_number
+from rulespan.plans.steps import cut
 
 # Relation types of compositions, as (relation, whether the record is the composite).
 RELATIONS = {
@@ -66,17 +67,18 @@ def concept_release(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     ``counts``, one row of what was refused and why.
 
     Associations name codes, classes are known by NUI (or else their code). A code that
-    two classes claim resolves to neither; associations with an end that isn't resolved are left out."""
+    two classes claim resolves to neither; associations with an end that isn't resolved are left out.
+    The release is parsed once for its concepts and once for its associations, which are then kept as tables."""
     raw = _xml(spark, path, "concept", "namespace string, name string, code string, status string, property array<struct<name:string, value:string>>")
     prop = lambda n: F.trim(F.coalesce(F.try_element_at(F.transform(F.filter("property", lambda p: F.trim(p["name"]) == n), lambda p: p["value"]), F.lit(-1)), F.lit("")))
-    own = raw.where(_text("namespace") == OWN).select(_text("code").alias("code"), _text("name").alias("name"), _text("status").alias("status"), prop("CTY").alias("concept_type"), prop("NUI").alias("nui"))
+    own = cut(raw.where(_text("namespace") == OWN).select(_text("code").alias("code"), _text("name").alias("name"), _text("status").alias("status"), prop("CTY").alias("concept_type"), prop("NUI").alias("nui")))
     typed = own.where(F.col("concept_type").isin(*CONCEPT_TYPES))
     active = typed.where("status in ('', 'A')").withColumn("nui", F.coalesce(F.nullif("nui", F.lit("")), F.nullif("code", F.lit(""))))
     classes = active.where("nui is not null").select("nui", F.coalesce(F.nullif("code", F.lit("")), F.col("nui")).alias("code"), "name", "concept_type")
     by_code = classes.groupBy("code").agg(F.countDistinct("nui").alias("claimants"), F.min("nui").alias("nui"), F.bool_or(F.col("concept_type") == "EPC").alias("epc"))
     codes = by_code.where("claimants = 1").select("code", "nui", "epc")
     a = _xml(spark, path, "association", "name string, from_namespace string, from_code string, to_namespace string, to_code string")
-    a = a.select(*[_text(c).alias(c) for c in a.columns])
+    a = cut(a.select(*[_text(c).alias(c) for c in a.columns]))
     ends = lambda f, t: (F.col("from_namespace") == f) & (F.col("to_namespace") == t)
     at = lambda end: codes.select(F.col("code").alias(f"{end}_code"), F.col("nui").alias(f"{end}_nui"), F.col("epc").alias(f"{end}_epc"))
     parent_of = a.where("name = 'Parent Of'")

@@ -20,3 +20,21 @@ def test_a_new_run_that_bears_a_stored_runs_number_stays_open(spark, tmp_path):
     spark.createDataFrame([(20,)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
     got = catalog.queries()["run_ledger"](spark, str(tmp_path)).collect()
     assert sorted((r.run_id, r.source, r.finished is None) for r in got) == [(40, "p", False), (41, "p", False), (5_000_020, "S", True), (5_000_020, "p", False)]
+
+
+def test_elements_are_not_gathered_in_one_document(spark, tmp_path):
+    from rulespan.catalog import files
+    from rulespan.sources import records
+
+    spark.range(0, 900, 1, 3).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    element = "select concat('<concept><namespace>MED-RT</namespace><name>n</name><code>C', p_partkey, '</code><status>A</status><property><name>CTY</name><value>PE</value></property></concept>') as value from {part}"
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        path = files._xml(spark, str(tmp_path), "test", element, "select '<association><name>odd</name></association>' as value from {part}", compression="gzip")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    documents = spark.read.text(path).groupBy(F.input_file_name()).agg(F.count_if(F.col("value") == "<root>").alias("open"), F.count_if(F.col("value") == "</root>").alias("shut"), F.count("*").alias("n")).collect()
+    assert len(documents) > 2 and all((r.open, r.shut) == (1, 1) and r.n < 900 for r in documents)
+    got = records.concept_release(spark, path)
+    assert got["classes"].select("code").distinct().count() == 900 and got["counts"].first().skipped_predicates == "odd"
