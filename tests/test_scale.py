@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from rulespan import catalog
 from rulespan.functions import text as T
+from rulespan.operators import rules
 
 
 def test_even_sample_over_several_range_partitions(spark):
@@ -38,3 +39,36 @@ def test_elements_are_not_gathered_in_one_document(spark, tmp_path):
     assert len(documents) > 2 and all((r.open, r.shut) == (1, 1) and r.n < 900 for r in documents)
     got = records.concept_release(spark, path)
     assert got["classes"].select("code").distinct().count() == 900 and got["counts"].first().skipped_predicates == "odd"
+
+
+def _small(spark):
+    t = spark.createDataFrame
+    rules = t([(1, 10, "N", "S1"), (1, 10, "N", "S2"), (2, 11, "N", "S1"), (3, 12, "N", "S1"), (4, 10, "R", "S1")], "subject long, object long, rel string, source string")
+    edges = t([(11, 10), (12, 11)], "child long, parent long")
+    membership = t([(1, 11, "N"), (2, 12, "N"), (3, 10, "N"), (4, 10, "R"), (5, 12, "N")], "entity long, concept long, axis string")
+    axis = t([("N", "N", True), ("R", "R", False)], "rel string, membership_axis string, expands boolean")
+    policy = t([(11, "deny", None)], "concept long, decision string, superseded_by long")
+    return rules, axis, edges, membership, policy
+
+
+def test_partners_are_counted_without_making_pairs(spark):
+    small = _small(spark)
+    pairs = rules.candidate_pairs(*small).groupBy("subject", "object", "rel").agg(F.countDistinct("partner").alias("pairs"))
+    want = {tuple(r) for r in pairs.collect()}
+    assert want == {(1, 10, "N", 3), (2, 11, "N", 1), (3, 12, "N", 2)}
+    assert {tuple(r) for r in rules.rule_pairs(*small).collect()} == want
+
+
+def test_grades_of_what_is_asked_only(spark):
+    rule, axis, edges, membership, policy = _small(spark)
+    graded = "applies boolean, severity string, evidence string, reviewed_by string, reviewed_at long, superseded_by long"
+    ruling = spark.createDataFrame([(1, 10, "N", True, "major", "e", "c", 1, None), (2, 11, "N", True, "minor", "e", "c", 1, None)], "subject long, object long, rel string, " + graded)
+    crule = spark.createDataFrame([(10, 12, "N", "S1")], "subject_class long, object_class long, rel string, source string")
+    cruling = spark.createDataFrame([(10, 12, "N", True, "minor", "p", "c", 1, None)], "subject_class long, object_class long, rel string, " + graded)
+    severity = spark.createDataFrame([("major", 2), ("minor", 4)], "severity string, rank int")
+    of = lambda asked=None: {tuple(r) for r in rules.effective_grades(rule, ruling, crule, cruling, severity, axis, edges, membership, policy, asked).collect()}
+    whole = of()
+    assert {r[0] for r in whole} > {1, 2}
+    assert of(spark.createDataFrame([(1,), (1,), (9,)], "subject long")) == {r for r in whole if r[0] == 1}
+    asked = [(1, 5), (2, 1), (5, 2), (2, 2)]
+    assert of(spark.createDataFrame(asked, "subject long, partner long")) == {r for r in whole if r[:2] in asked} != set()
