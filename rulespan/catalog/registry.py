@@ -106,7 +106,7 @@ def _(s, d):
 @query("grades_of_subjects", f"""with recursive {CURATED}, {BEST} select subject, partner, rel, severity, effective_rank, row_number() over (partition by subject order by effective_rank, partner, rel) as turn from best where subject in (select s_suppkey from {{supplier}} where s_nationkey = 7)""")
 def _(s, d):
     subjects = rel(s, d, "supplier")[0].where("s_nationkey = 7").select(F.col("s_suppkey").alias("subject"))
-    return registry.grades_of(effective_pairs(s, d), subjects).select("subject", "partner", "rel", "severity", "effective_rank", "turn")
+    return registry.grades_of(effective_pairs(s, d, subjects), subjects).select("subject", "partner", "rel", "severity", "effective_rank", "turn")
 
 
 @query("policy_live", "select policy_id, concept, decision from {policy} p where superseded_by is null")
