@@ -102,6 +102,8 @@ def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
     def after(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
         gc.collect()
+        if not gc.get_freeze_count():
+            gc.freeze()  # modules stay, so the next tasks needn't go through them
         pa.default_memory_pool().release_unused()
         try:
             ctypes.CDLL(None).malloc_trim(0)

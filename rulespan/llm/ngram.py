@@ -54,6 +54,9 @@ DISCOUNT = 0.75
 SHARD = 1_500_000
 #: Occurrences of n-grams that one task sorts, about, and those it holds in memory.
 DEALT = 3_000_000
+#: Occurrences for which a further task and shard are worth their while, and tasks in any case.
+WORTH = 1_000_000
+TASKS = 12
 SORTED = 1_000_000
 #: Tokens that are counted and looked up at a time; one text at least.
 COUNTED = 2_000_000
@@ -151,6 +154,21 @@ def _running(c: np.ndarray) -> dict[str, np.ndarray]:
     return _packed("sum", EliasFano.build(total, int(total[-1]) + 1))
 
 
+def by_shard(which: np.ndarray) -> Iterator[tuple[int, slice | np.ndarray]]:
+    """Each shard and its places, found in one pass: slices where places are in the order of shards, as most are."""
+    if not len(which):
+        return
+    order = None
+    step = np.diff(which)
+    if (step < 0).any():
+        order = np.argsort(which, kind="stable")
+        which = which[order]
+        step = np.diff(which)
+    edge = [0, *(np.flatnonzero(step) + 1).tolist(), len(which)]
+    for a, b in zip(edge[:-1], edge[1:]):
+        yield int(which[a]), slice(a, b) if order is None else order[a:b]
+
+
 class Counts:
     """Counts of numbered items that lie in files one after the other: how often an item
     occurs, and how often all before it."""
@@ -165,8 +183,7 @@ class Counts:
         """(count, occurrences of lesser numbers) of each number."""
         count, before = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
         which = np.searchsorted(self.base, numbers, "right") - 1
-        for s in np.unique(which).tolist():
-            mine = np.flatnonzero(which == s)
+        for s, mine in by_shard(which):
             sums = _unpacked("sum", load(self.uri, self.files[s]))
             local = numbers[mine] - self.base[s]
             first, after = (x.astype(np.int64) for x in sums.access_two(local))
@@ -190,11 +207,10 @@ class Vocabulary:
         """The number of each word hash, or -1."""
         number = np.full(len(hashes), -1, np.int64)
         which = (hashes >> U(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(hashes), np.int64)
-        for k in np.unique(which).tolist():
+        for k, mine in by_shard(which):
             s = int(np.searchsorted(self.shard, k))
             if s == len(self.shard) or self.shard[s] != k:
                 continue
-            mine = np.flatnonzero(which == k)
             x = hashes[mine] & U((1 << (64 - self.bits)) - 1) if self.bits else hashes[mine]
             at = _unpacked("hash", load(self.uri, self.counts.files[s])).find(x)
             number[mine] = np.where(at >= 0, self.counts.base[s] + at, -1)
@@ -232,12 +248,12 @@ class Level:
         self.left = np.array([_left(sum(parts[c]), t) for c, t in zip(split, total.tolist())])
 
     def _shard(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The shard that would hold each n-gram, -1 before the first."""
-        which = np.searchsorted(self.first, context, "right") - 1
-        opens = np.searchsorted(self.first, context, "left")
-        for c in np.unique(context[(opens <= which) & (which >= 0)]).tolist():
+        """The shard that would hold each n-gram, in the order of contexts; -1 before the first."""
+        opens, shuts = (np.searchsorted(context, self.first, side) for side in ("left", "right"))
+        which = np.repeat(np.arange(-1, len(self.first)), np.diff(opens, prepend=0, append=len(context)))
+        for c in np.unique(self.first[opens < shuts]).tolist():
             lo, hi = (int(np.searchsorted(self.first, c, side)) for side in ("left", "right"))
-            mine = np.flatnonzero(context == c)
+            mine = slice(opens[lo], shuts[lo])
             at = lo + np.searchsorted(self.word[lo:hi], word[mine], "right") - 1
             # Words before the context's first shard lie in it too, unless the one before ends with the context.
             which[mine] = at if lo and self.last[lo - 1] == c else np.maximum(at, lo)
@@ -251,10 +267,12 @@ class Level:
         if not self.files:
             return number, q, left
         which = self._shard(context, word)
-        for s in np.unique(which[which >= 0]).tolist():
-            mine = np.flatnonzero((which == s) & (context <= self.last[s]))
-            if not len(mine):
+        for s, mine in by_shard(which):
+            # Contexts after the shard's last have no n-grams.
+            have = int(np.searchsorted(context[mine], self.last[s], "right")) if s >= 0 else 0
+            if not have:
                 continue
+            mine = np.arange(mine.start, mine.start + have) if isinstance(mine, slice) else mine[:have]
             arrays = load(self.uri, self.files[s])
             pointer, child = (_unpacked(k, arrays) for k in ("pointer", "child"))
             # Bounds are looked up once for each context.
@@ -601,7 +619,9 @@ def train_and_score(docs: DataFrame, order: int = ORDER, least: int = LEAST) ->
     levels: list[Level] = []
     for n in range(2, order + 1):
         totals = levels[-1].counts if levels else vocabulary.counts
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-totals.total // DEALT))
+        # Each batch of tokens asks each shard, so small corpora aren't cut into as many shards as a shuffle has partitions.
+        parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(TASKS, -(-totals.total // WORTH)))
+        parts = max(parts, -(-totals.total // DEALT))
         blocks = numbered.where("not held_out").select("words").mapInArrow(giving_back(_count_grams(vocabulary, levels, parts)), "part int, block binary")
         levels.append(build_level(blocks, parts, max(1, vocabulary.size), least, uri, totals, n == order))
     scored = numbered.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(vocabulary.total).cast("long").alias("train_tokens"), "base_score", "words")

@@ -596,3 +596,27 @@ def test_html_of_empty_and_repeated_pages(spark):
     got = sorted((r.page_id, r.text, r.n_chars) for r in extract(spark.createDataFrame(rows, schema)).collect())
     text = "one two three four five six seven"
     assert got == [(1, text, len(text)), (1, text, len(text)), (2, "", 0), (3, "", 0), (4, "<tag> and more", 14)]
+
+
+def test_small_corpora_make_few_shards(spark, docs, monkeypatch):
+    from rulespan.llm import ngram
+
+    asked, build = [], ngram.build_level
+    monkeypatch.setattr(ngram, "build_level", lambda blocks, parts, *rest: asked.append(parts) or build(blocks, parts, *rest))
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    want = {r.doc_id: r.score for r in ngram.train_and_score(docs).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got = {r.doc_id: r.score for r in ngram.train_and_score(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert asked[-2:] == [ngram.TASKS, ngram.TASKS] and got == pytest.approx(want)
+
+
+def test_places_by_shard():
+    from rulespan.llm.ngram import by_shard
+
+    for which in ([], [3], [0, 0, 2, 2, 5], [2, 0, 2, 5, 0]):
+        which = np.array(which, np.int64)
+        got = {s: np.arange(len(which))[mine].tolist() for s, mine in by_shard(which)}
+        assert got == {s: np.flatnonzero(which == s).tolist() for s in np.unique(which).tolist()}
