@@ -72,3 +72,20 @@ def test_grades_of_what_is_asked_only(spark):
     assert of(spark.createDataFrame([(1,), (1,), (9,)], "subject long")) == {r for r in whole if r[0] == 1}
     asked = [(1, 5), (2, 1), (5, 2), (2, 2)]
     assert of(spark.createDataFrame(asked, "subject long, partner long")) == {r for r in whole if r[:2] in asked} != set()
+
+
+def test_disagreements_are_counted_without_making_pairs(spark):
+    rule, axis, edges, membership, policy = _small(spark)
+    graded = "applies boolean, severity string, evidence string, reviewed_by string, reviewed_at long, superseded_by long"
+    rows = [(1, 10, "major", "e"), (1, 10, None, "e"), (2, 11, "minor", "p"), (3, 12, "minor", None)]
+    ruling = spark.createDataFrame([(s, o, "N", True, v, e, "c", 1, None) for s, o, v, e in rows], "subject long, object long, rel string, " + graded)
+    crule = spark.createDataFrame([(10, 12, "N", "S1"), (10, 12, "N", "S2"), (12, 10, "N", "S1"), (11, 11, "N", "S1"), (10, 10, "N", "S1")], "subject_class long, object_class long, rel string, source string")
+    rows = [(10, 12, "minor"), (12, 10, None), (11, 11, "major"), (10, 10, "minor")]
+    cruling = spark.createDataFrame([(s, o, "N", True, v, "p", "c", 1, None) for s, o, v in rows], "subject_class long, object_class long, rel string, " + graded)
+    severity = spark.createDataFrame([("major", 2), ("minor", 4)], "severity string, rank int")
+    pairs = rules.candidate_pairs(rule, axis, edges, membership, policy)
+    curated = rules.curated_pairs(pairs, ruling, crule, cruling, severity, axis, edges, membership, policy)
+    want = sorted(map(str, rules.disagreements(curated).collect()))
+    counted = rules.disagreement_counts(rule, ruling, crule, cruling, axis, edges, membership, policy)
+    assert len(want) > 9 and sorted(map(str, counted.collect())) == want
+    assert "partner" not in counted._jdf.queryExecution().toString().replace("partners", "")
