@@ -86,6 +86,10 @@ def test_disagreements_are_counted_without_making_pairs(spark):
     pairs = rules.candidate_pairs(rule, axis, edges, membership, policy)
     curated = rules.curated_pairs(pairs, ruling, crule, cruling, severity, axis, edges, membership, policy)
     want = sorted(map(str, rules.disagreements(curated).collect()))
+    # Pairs are made of judged rules only, each with what its rule has.
+    direct = rules.curated_grades(rule, ruling, crule, cruling, severity, axis, edges, membership, policy)
+    assert sorted(direct.columns) == sorted(curated.columns)
+    assert sorted(map(str, direct.select(*curated.columns).collect())) == sorted(map(str, curated.collect()))
     counted = rules.disagreement_counts(rule, ruling, crule, cruling, axis, edges, membership, policy)
     assert len(want) > 9 and sorted(map(str, counted.collect())) == want
     assert "partner" not in counted._jdf.queryExecution().toString().replace("partners", "")
