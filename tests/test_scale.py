@@ -93,3 +93,29 @@ def test_disagreements_are_counted_without_making_pairs(spark):
     counted = rules.disagreement_counts(rule, ruling, crule, cruling, axis, edges, membership, policy)
     assert len(want) > 9 and sorted(map(str, counted.collect())) == want
     assert "partner" not in counted._jdf.queryExecution().toString().replace("partners", "")
+
+
+def test_rules_of_one_condition_are_read_down_and_up_by_all_tasks(spark, monkeypatch):
+    from rulespan.operators import conditions
+
+    monkeypatch.setattr(conditions, "TILE", 8, raising=False)
+    # As where nothing is small enough for every task: a join by condition leaves all of one's rows to one task.
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    t = spark.createDataFrame
+    edges = t([(f"K{i}", "N0") for i in range(40)] + [("N0", "R0"), ("N1", "R0"), ("R0", "R1"), ("R1", "R0"), ("Q", "Q"), ("N9", None)], "child string, parent string")
+    rows = [(s, "N0", "O", "S1") for s in range(40)] + [(None, "N0", "O", None), (7, "N0", "O", "S1"), (3, "R0", "O", "S2"), (3, "N0", "P", "S1"), (4, "K1", "O", "S1"), (5, "away", "O", "S1"), (6, None, "O", "S1"), (8, "N0", "X", "S1"), (9, "Q", "O", "S1")]
+    rules = t(rows, "subject long, condition string, rel string, source string")
+    axis = t([("O", True), ("P", False)], "rel string, expands boolean")
+    below = {"N0": {f"K{i}" for i in range(40)}}
+    below["R0"] = {"N0", "N1", "R1", *below["N0"]}
+    want = [(s, c, m, m == c, r, o) for s, c, r, o in rows if c and r != "X" for m in [c, *(below.get(c, ()) if r == "O" else ())]]
+    got = conditions.expanded_rules(rules, axis, edges)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    asked = [("K1",), ("K1",), ("R0",), ("away",), (None,), ("K9",)]
+    got_up = conditions.rules_for(t(asked, "condition string"), rules, axis, edges)
+    assert sorted(map(str, map(tuple, got_up.collect()))) == sorted(map(str, [w for w in want if (w[2],) in asked]))
+    where = got.where("object = 'N0' and not is_direct").select("member", F.spark_partition_id().alias("task"))
+    tasks = {r.task for r in where.collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert len(tasks) == 4
