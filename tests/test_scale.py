@@ -119,3 +119,44 @@ def test_rules_of_one_condition_are_read_down_and_up_by_all_tasks(spark, monkeyp
     tasks = {r.task for r in where.collect()}
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
     assert len(tasks) == 4
+
+
+def _judged(spark):
+    import random
+
+    r, t = random.Random(5), spark.createDataFrame
+    edges = t([(c, c // 2) for c in range(2, 16)] + [(11, 3), (13, 4)], "child long, parent long")
+    membership = t([*((e, r.randrange(1, 16), r.choice("NNR")) for e in range(40) for _ in range(3)), (None, 5, "N")], "entity long, concept long, axis string").distinct()
+    axis = t([("N", "N", True), ("R", "R", False)], "rel string, membership_axis string, expands boolean")
+    policy = t([(3, "deny", None)], "concept long, decision string, superseded_by long")
+    graded = "applies boolean, severity string, evidence string, reviewed_at long, reviewed_by string, superseded_by long"
+    grade = lambda: (r.random() < 0.9, r.choice(["major", "minor", "odd", None]), r.choice(["e", None]), r.randrange(5), r.choice(["x", None]), r.choice([None, None, None, 1]))
+    rule = sorted({(r.choice([*range(45)]), r.randrange(1, 16), r.choice("NR")) for _ in range(90)})
+    crule = sorted({(r.randrange(1, 8), r.randrange(1, 16), r.choice("NR")) for _ in range(12)})
+    rules_ = t([*((*k, r.choice("ST")) for k in rule), (None, 5, "N", "S")], "subject long, object long, rel string, source string")
+    rulings = t([*((*k, *grade()) for k in rule), (None, 5, "N", True, "major", "e", 1, "x", None)], f"subject long, object long, rel string, {graded}")
+    classes = t([(*k, s) for k in crule for s in "ST"], "subject_class long, object_class long, rel string, source string")
+    class_rulings = t([(*k, *grade()) for k in crule], f"subject_class long, object_class long, rel string, {graded}")
+    return rules_, rulings, classes, class_rulings, t([("major", 2), ("minor", 3)], "severity string, rank int"), axis, edges, membership, policy
+
+
+def test_effective_grades_are_found_in_tiles_and_no_pair_is_moved(spark, monkeypatch):
+    rule, ruling, crule, cruling, severity, axis, edges, membership, policy = given = _judged(spark)
+    pairs = rules.candidate_pairs(rule, axis, edges, membership, policy)
+    want = rules.effective_pairs(rules.curated_pairs(pairs, ruling, crule, cruling, severity, axis, edges, membership, policy))
+    columns = want.columns
+    want = sorted(map(str, want.collect()))
+    assert len(want) > 500
+    # Two tiles across by four partitions, and seven by their size, which hand over a few lists at once.
+    for tile, entries in ((4096, 262_144), (7, 5)):
+        monkeypatch.setattr(rules, "TILE", tile, raising=False)
+        monkeypatch.setattr(rules, "ENTRIES", entries, raising=False)
+        got = rules.effective_grades(*given)
+        assert sorted(map(str, got.select(*columns).collect())) == want
+        plan = [x for x in got._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning(" in x]
+        assert plan and not any("subject#" in x.split("ENSURE")[0] and "partner#" in x.split("ENSURE")[0] for x in plan)
+    nothing = [ruling.limit(0), crule, cruling.limit(0)]
+    assert rules.effective_grades(rule, *nothing, *given[4:]).count() == 0
+    one = spark.createDataFrame([(i,) for i in range(3)], "subject long")
+    asked = rules.effective_grades(*given, one)
+    assert sorted(map(str, asked.select(*columns).collect())) == [x for x in want if x.startswith(("Row(subject=0,", "Row(subject=1,", "Row(subject=2,"))]
