@@ -160,3 +160,17 @@ def test_effective_grades_are_found_in_tiles_and_no_pair_is_moved(spark, monkeyp
     one = spark.createDataFrame([(i,) for i in range(3)], "subject long")
     asked = rules.effective_grades(*given, one)
     assert sorted(map(str, asked.select(*columns).collect())) == [x for x in want if x.startswith(("Row(subject=0,", "Row(subject=1,", "Row(subject=2,"))]
+
+
+def test_class_rules_meet_members_as_lists_and_no_partner_is_copied_for_every_task(spark, monkeypatch):
+    rule, ruling, crule, cruling, severity, axis, edges, membership, policy = given = _judged(spark)
+    pairs = rules.candidate_pairs(rule, axis, edges, membership, policy)
+    want = rules.curated_pairs(pairs, ruling, crule, cruling, severity, axis, edges, membership, policy)
+    columns = want.columns
+    want = sorted(map(str, want.collect()))
+    assert len(want) > 500
+    for tile in (4096, 8):
+        monkeypatch.setattr(rules, "TILE", tile)
+        got = rules.curated_grades(*given)
+        assert sorted(map(str, got.select(*columns).collect())) == want
+        assert "sequence(" not in got._jdf.queryExecution().optimizedPlan().toString()
